@@ -1,0 +1,28 @@
+"""The registered queries of the engine and the SQL they are checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FLAGSHIP = "a01_docs_per_component"
+
+
+def docs_per_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents per component, most first."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy(F.col("source").alias("component")).agg(F.count("*").alias("n"))
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"a01_docs_per_component": docs_per_component}
+_ORACLES: dict[str, str] = {"a01_docs_per_component": "SELECT source AS component, count(*) AS n FROM documents GROUP BY source"}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_ORACLES)
