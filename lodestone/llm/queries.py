@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, url_filter
+from . import common, quality_rules, url_filter
 from .sentencepiece_codec import sentencepiece_encode
 
 PIECES = f"{common.TOKENIZER_DIR}/piece_bpe_32k.model"
@@ -16,6 +16,11 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_encode(common.table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return quality_rules.quality_rules(docs, quality_rules.train_quality(docs, labels))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(common.table(spark, sf_dir, "pages"))
 
