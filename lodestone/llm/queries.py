@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, jaccard_join, license_scan, quality_rules, secret_scan, url_filter
+from . import common, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, url_filter
 from .sentencepiece_codec import sentencepiece_encode
 
 PIECES = f"{common.TOKENIZER_DIR}/piece_bpe_32k.model"
@@ -20,6 +20,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(common.table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     return quality_rules.quality_rules(docs, quality_rules.train_quality(docs, labels))

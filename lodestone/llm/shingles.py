@@ -13,6 +13,9 @@ CODES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 CODES[65:91] = CODES[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and figures.
+MARKS = np.ones(256, bool)
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -40,12 +43,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first byte and end of each word, and where each row's words start (and end). Words don't cross rows."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and end of each word, and where each row's words start (and end). Words don't cross rows.
+
+    ``space`` tells which byte values part words.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    ink = ~SPACE[data]
+    ink = ~space[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     last = ink.copy()
@@ -62,6 +68,14 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes, starts, ends, np.searchsorted(starts, offsets, side="left")
 
 
+def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, across rows too."""
+    mixed = np.full(max(len(hashes) - k + 1, 0), k, np.uint64)
+    for i in range(k):
+        mixed = mix64(mixed + hashes[i : i + len(mixed)])
+    return mixed
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-word shingles and where each row's start; a row of fewer words has all of them as one."""
     n = np.diff(rows)
@@ -69,9 +83,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     at = np.concatenate([[0], np.cumsum(counts)])
     if not at[-1]:
         return np.zeros(0, np.uint64), at
-    mixed = np.full(max(len(hashes) - k + 1, 0), k, np.uint64)
-    for i in range(k):
-        mixed = mix64(mixed + hashes[i : i + len(mixed)])
+    mixed = windows(hashes, k)
     starts = np.repeat(rows[:-1] - at[:-1], counts) + np.arange(at[-1])
     out = mixed[np.minimum(starts, max(len(mixed) - 1, 0))] if len(mixed) else np.zeros(at[-1], np.uint64)
     for r in np.flatnonzero((n > 0) & (n < k)):
