@@ -70,3 +70,31 @@ def text_chunks(batch, limit: int = 4 << 20):
             start, size = i + 1, 0
     if start < n:
         yield batch.slice(start, n - start)
+
+
+def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """``key`` and the compressed text (column packed) of the rows whose keys may be among ``ids`` (a column of that name).
+
+    A bitmap of hashed keys tells; it has ``most_bits`` bits at most, whatever the number of keys, and where they fill
+    it, it only lets more rows pass. What follows joins a small part of the texts, compressed, instead of all of them.
+    """
+    import pyarrow as pa
+
+    slots = min(most_bits, 1 << max(15, 4 + ids.count().bit_length()))
+    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    parts = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(32767)).alias("b"))
+    bits = np.zeros(slots // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["b"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(1).compress
+        for batch in batches:
+            s = batch.column(2).to_numpy(zero_copy_only=False)
+            some = batch.filter(pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([pack(x or b"") for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=[key, "packed"])
+
+    return docs.where(F.col(key).isNotNull()).select(key, "text", slot.alias("slot")).mapInArrow(run, f"{key} bigint, packed binary")

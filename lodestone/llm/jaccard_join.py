@@ -4,12 +4,14 @@
 2. Prefix filter: two sets that link share one of their first few shingles in any order that all keep to. The order
    puts shingles of many texts last, so the keys that classes meet at are rare ones. Which are frequent is counted over
    all texts, each batch summed up before the shuffle; it only decides the order, never what links.
-3. The classes that share a key meet in the tile of the least of them, so a group of copies that shares a hundred keys
-   meets in a few tiles. Tiles of too many shingles are cut by size band and into pairs of blocks; none is dropped.
-4. In a tile, by size: bitmaps of hashed shingles (a bit is the parity of what falls on it) bound the overlap of two sets from above by
-   their count of differing bits; what passes is intersected exactly. Pairs that links have already joined are skipped,
-   so a tile of n classes gives n - 1 links at most.
-5. The links' connected components.
+3. A key goes with a band of sizes; a small set also goes to the next band if a linked set can lie there. The classes that
+   share one meet in the tile of the least of them, so a group of copies that shares a hundred keys meets in a few tiles.
+   Tiles of too many shingles are cut into pairs of blocks; none is dropped.
+4. In a tile, by size: bitmaps of hashed shingles (a bit is the parity of what falls on it) bound the overlap of two sets
+   from above by their count of differing bits. Classes that pass with none are done.
+5. The rest meet again, by the least class that they pass with, now with their texts: pairs that pass are intersected
+   exactly. Pairs that links have already joined are skipped, so a tile of n classes gives n - 1 links at most.
+6. The links' connected components.
 
 Words are runs of other than space and \\t to \\r, A-Z lower-cased. A shingle is a 64-bit hash. Defined cases: a text
 without words, or null, has no shingles and is linked with nothing; fewer words than a shingle takes are one shingle;
@@ -18,6 +20,7 @@ rows with repeated ids each get a result, null ids have a null component unless
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, mix64, text_chunks
+from .common import id_text, materialise, mix64, packed_texts, text_chunks
 from .components import connected_components
 from .shingles import buffers, shingles, words
 
-#: 64-bit words of a signature, and shingles that a tile may hold before it is cut.
-SIGNATURE, TILE = 32, 4_000_000
+#: Bits of the signatures of small and of large sets, the size from which a set is large, and shingles that a tile may
+#: hold before it is cut.
+NARROW, WIDE, WIDE_FROM, TILE = 512, 4096, 2000, 4_000_000
+#: How much larger the sizes of the next band are.
+BAND = 1.5
 #: A shingle counts as frequent from this share of all texts on, and is reported from so many times in a batch.
 FREQUENT, REPORT = 0.001, 8
 
@@ -66,6 +72,13 @@ def _least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _banded(keys: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Keys with the band of a set's size, and with the next one if a larger set that links can lie there."""
+    band = lambda size: int(np.log(size) / np.log(BAND))
+    bands = sorted({band(n), band(n * 100 / percent + 1e-6)})
+    return np.concatenate([mix64(keys + mix64(np.full(1, b + 1, np.uint64))) for b in range(bands[0], bands[-1] + 1)])
+
+
 def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, set size, digest (hi, lo) and the keys that a linked set must share one of."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -75,35 +88,78 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
         for batch in batches:
             for part in text_chunks(batch):
                 ids, sets = _sets(part, k)
-                keys, digests = [], []
+                keys, digests, signs = [], [], []
                 for s in sets:
+                    signs.append(signature(s) if len(s) else None)
                     digests.append(_digest(s) if len(s) else (None, None))
                     take = len(s) - _least_overlap(len(s), percent) + 1 if len(s) else 0
                     if len(often) and take:
                         last = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         s = np.concatenate([s[~last], s[last]])
-                    keys.append(s[:take].view(np.int64))
+                    keys.append(_banded(s[:take], len(s), percent).view(np.int64) if take else np.zeros(0, np.int64))
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), sizes, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), flat], names=["doc_id", "n", "hi", "lo", "keys"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), sizes, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), flat, pa.array(signs, pa.binary())], names=["doc_id", "n", "hi", "lo", "keys", "sign"]
+                )
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, sign binary")
+
+
+def signature(s: np.ndarray) -> bytes:
+    """A bitmap as wide as the set's size asks for; a bit says whether an odd number of shingles falls on it."""
+    bits = NARROW if len(s) < WIDE_FROM else WIDE
+    odd = np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>")
 
+class Near:
+    """Sets of one tile, which come by ascending size, and which of them a new one can link with."""
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 * SIGNATURE bits; a bit says whether an odd number of shingles falls on it."""
-    odd = np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % (64 * SIGNATURE), minlength=64 * SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    def __init__(self, percent: int):
+        self.percent, self.first, self.n = percent, 0, 0
+        self.sizes = np.zeros(16, np.int64)
+        self.narrow, self.wide = np.zeros((16, NARROW // 64), np.uint64), np.zeros((0, WIDE // 64), np.uint64)
+        self.wide_from = None
+
+    def _bounded(self, rows: np.ndarray, size: int, differing: np.ndarray) -> np.ndarray:
+        """The rows whose overlap, bounded from above by the count of differing bits, can be enough."""
+        total = self.sizes[rows] + size
+        return rows[(100 + self.percent) * ((total - differing) // 2) >= self.percent * total]
+
+    def add(self, size: int, bitmap: bytes) -> np.ndarray:
+        """Takes a set in and returns the numbers of those before it that pass."""
+        i = self.n
+        if i == len(self.sizes):
+            self.sizes, self.narrow = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.narrow, np.zeros_like(self.narrow)])
+        while self.first < i and 100 * self.sizes[self.first] < self.percent * size:
+            self.first += 1  # too small for all that follow
+        bits = np.frombuffer(bitmap, np.uint64)
+        wide = bits if len(bits) > NARROW // 64 else None
+        if wide is not None:  # parities of halves add up
+            bits = np.bitwise_xor.reduce(wide.reshape(-1, NARROW // 64), axis=0)
+        rows = np.arange(self.first, i)
+        rows = self._bounded(rows, size, np.bitwise_count(self.narrow[self.first : i] ^ bits).sum(axis=1, dtype=np.int64))
+        if wide is not None:
+            if self.wide_from is None:
+                self.wide_from = i
+            k = i - self.wide_from
+            if k >= len(self.wide):
+                self.wide = np.concatenate([self.wide, np.zeros((max(16, k), WIDE // 64), np.uint64)])
+            self.wide[k] = wide
+            both = rows[rows >= self.wide_from]
+            both = self._bounded(both, size, np.bitwise_count(self.wide[both - self.wide_from] ^ wide).sum(axis=1, dtype=np.int64))
+            rows = np.concatenate([rows[rows < self.wide_from], both])
+        self.sizes[i], self.narrow[i], self.n = size, bits, i + 1
+        return rows
 
 
 class Tile:
     """Links the sets of one tile, which come by ascending size."""
 
     def __init__(self, percent: int):
-        self.percent = percent
-        self.first, self.n = 0, 0
+        self.near, self.percent, self.freed = Near(percent), percent, 0
         self.ids, self.sets, self.parent = [], [], []
-        self.sizes, self.signs = np.zeros(16, np.int64), np.zeros((16, SIGNATURE), np.uint64)
 
     def root(self, i: int) -> int:
         while self.parent[i] != i:
@@ -112,68 +168,101 @@ class Tile:
 
     def add(self, doc_id: int, s: np.ndarray) -> Iterator[tuple[int, int]]:
         """Yields the links that join what was apart."""
-        size, sign, i = len(s), signature(s), self.n
-        while self.first < i and 100 * self.sizes[self.first] < self.percent * size:
-            self.sets[self.first] = None  # too small for all that follow
-            self.first += 1
-        if i == len(self.sizes):
-            self.sizes, self.signs = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.signs, np.zeros_like(self.signs)])
+        i, size = len(self.ids), len(s)
+        passing = self.near.add(size, signature(s))
         self.ids.append(doc_id), self.sets.append(s), self.parent.append(i)
-        self.sizes[i], self.signs[i], self.n = size, sign, i + 1
-        near = slice(self.first, i)
-        differing = np.bitwise_count(self.signs[near] ^ sign).sum(axis=1, dtype=np.int64)
-        bound = (self.sizes[near] + size - differing) // 2  # of the overlap
+        while self.freed < self.near.first:
+            self.sets[self.freed] = None
+            self.freed += 1
         # latest first: the sets of nearest size; a pair that is joined already adds nothing
-        for j in (self.first + np.flatnonzero((100 + self.percent) * bound >= self.percent * (self.sizes[near] + size)))[::-1]:
+        for j in passing[::-1].tolist():
             if self.root(j) != self.root(i):
                 both = len(np.intersect1d(self.sets[j], s, assume_unique=True))
-                if 100 * both >= self.percent * (size + self.sizes[j] - both):
+                if 100 * both >= self.percent * (size + len(self.sets[j]) - both):
                     self.parent[self.root(j)] = self.root(i)
                     yield self.ids[j], doc_id
 
 
-def _tiles(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """rep, tile columns: where each class's representative is compared. Classes that share no key are left out."""
-    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), "hi")
-    leaders = keyed.groupBy("key").agg(F.min("hi").alias("leader"), F.max("hi").alias("last")).where("leader <> last").select("key", "leader")
-    member = keyed.join(leaders, "key").select("hi", "leader").distinct().join(reps, "hi").select("leader", "rep", "n")
-    member = materialise(member, "tiles")
-    heavy = member.groupBy("leader").agg(F.sum("n").alias("total")).where(F.col("total") > TILE).select("leader", F.ceil(F.col("total") / TILE).cast("int").alias("blocks"))
-    split = member.join(heavy, "leader", "left")
-    # a band is as wide as sizes of linked sets can differ; a set stands in its own band and as a smaller partner in the next
+def _placed(members: DataFrame, percent: int) -> DataFrame:
+    """``members`` (tile, rep, n, more) with the cell (band, i, j) of the tile that each is compared in.
+
+    A tile of up to TILE shingles is one cell. A larger one is cut by size, as wide as linked sets can differ, a set going
+    to its own band and as a smaller partner to the next, and each band into pairs of blocks.
+    """
+    heavy = members.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > TILE).select("tile", F.ceil(F.col("total") / TILE).cast("int").alias("blocks"))
+    split = members.join(heavy, "tile", "left")
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.named_struct(F.lit("i"), F.least(block, j), F.lit("j"), F.greatest(block, j)))
-    whole = split.where("blocks is null").select("rep", "leader", F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    cut = split.where("blocks is not null").select("rep", "leader", F.explode(F.array(band, band + 1)).alias("band"), cells.alias("cells"))
-    return whole.union(cut.select("rep", "leader", "band", F.explode("cells").alias("c")).select("rep", "leader", "band", "c.i", "c.j"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.named_struct(F.lit("i"), F.least(block, j), F.lit("j"), F.greatest(block, j)))
+    own = members.columns
+    whole = split.where("blocks is null").select(*own, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    cut = split.where("blocks is not null").select(*own, F.explode(F.array(band, band + 1)).alias("band"), pairs.alias("pairs"))
+    rows = whole.union(cut.select(*own, "band", F.explode("pairs").alias("p")).select(*own, "band", "p.i", "p.j"))
+    return rows.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "n", "rep")
 
 
-def _links(placed: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b for texts (columns rep, text, leader, band, i, j) whose sets link within a tile."""
+def _cells(batches, *columns: str) -> Iterator[tuple[list, list[tuple] | None]]:
+    """Each row with its cell, in order; a last one without a cell."""
+    for batch in batches:
+        yield from zip(zip(*[batch.column(c).to_pylist() for c in ("tile", "band", "i", "j")], strict=True), zip(*[batch.column(c).to_pylist() for c in columns], strict=True), strict=True)
+    yield None, None
 
-    def sets(batches):
-        for batch in batches:
-            for part in text_chunks(batch):
-                ids, found = _sets(part, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), part.column(2)], names=["rep", "n", "shingles", "cells"])
+
+def _passing(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """tile, rep, n of the classes that pass with some other one; the tile is the least class that they pass with."""
+    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), "hi")
+    leaders = keyed.groupBy("key").agg(F.min("hi").alias("tile"), F.max("hi").alias("last")).where("tile <> last").select("key", "tile")
+    member = keyed.join(leaders, "key").select("hi", "tile").distinct().join(reps, "hi").select("tile", "rep", "n", "sign")
 
     def run(batches):
-        at, tile = None, None
-        for batch in batches:
-            a, b = [], []
-            columns = [batch.column(n).to_pylist() for n in ("leader", "band", "i", "j", "rep", "shingles")]
-            for *key, rep, s in zip(*columns, strict=True):
-                if key != at:
-                    at, tile = key, Tile(percent)
-                for x, y in tile.add(rep, np.frombuffer(s, np.uint64)):
-                    a.append(x), b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        at, near, members, parent, out = None, Near(percent), [], [], []
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        for cell, row in _cells(batches, "rep", "n", "sign"):
+            if cell != at:
+                least: dict[int, int] = {}
+                for i, (rep, _) in enumerate(members):
+                    least[root(i)] = min(rep, least.get(root(i), rep))
+                many = Counter(map(root, range(len(members))))
+                out += [(least[root(i)], rep, n) for i, (rep, n) in enumerate(members) if many[root(i)] > 1]
+                at, near, members, parent = cell, Near(percent), [], []
+            if len(out) > 50_000 or (row is None and out):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names=["tile", "rep", "n"])
+                out = []
+            if row is not None:
+                i = len(members)
+                members.append(row[:2]), parent.append(i)
+                for j in near.add(row[1], row[2]).tolist():
+                    parent[root(j)] = root(i)
+
+    return _placed(materialise(member, "members"), percent).mapInArrow(run, "tile bigint, rep bigint, n bigint").distinct()
+
+
+def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b for classes whose sets link within a tile."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        at, tile, links = None, Tile(percent), []
+        for cell, row in _cells(batches, "rep", "packed"):
+            if row is None or len(links) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+                links = []
+            if row is not None:
+                if cell != at:
+                    at, tile = cell, Tile(percent)
+                _, (found,) = _sets(pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([unpack(row[1])], pa.binary())], names=["rep", "text"]), k)
+                links += tile.add(row[0], found)
 
-    cell = "struct<leader:bigint,band:int,i:int,j:int>"
-    rows = placed.select("rep", "text", "cells").mapInArrow(sets, f"rep bigint, n bigint, shingles binary, cells array<{cell}>").select("rep", "n", "shingles", F.explode("cells").alias("c"))
-    rows = rows.select("c.*", "rep", "n", "shingles").repartition("leader", "band", "i", "j").sortWithinPartitions("leader", "band", "i", "j", "n", "rep")
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    tiles = members.groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("tile").alias("tiles"))
+    texts = packed_texts(docs, tiles.select(F.col("rep").alias("doc_id")), "doc_id").join(tiles, F.col("doc_id") == F.col("rep"))
+    return _placed(materialise(texts.select(F.explode("tiles").alias("tile"), "rep", "n", "packed"), "texts"), percent).mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,12 +270,9 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     plain = id_text(docs, id_col, text_col)
     frequent = frequent_shingles(plain, k, plain.count())
     profiles = materialise(_profiles(plain, k, percent, frequent), "profiles")
-    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    tiles = _tiles(profiles, classes.where("rep is not null").select("hi", "rep", "n"), percent)
-    cells = tiles.groupBy("rep").agg(F.collect_set(F.struct("leader", "band", "i", "j")).alias("cells"))
-    cells = materialise(cells, "cells")
-    placed = plain.join(cells, plain["doc_id"] == cells["rep"]).select("rep", "text", "cells")
-    components = connected_components(_links(placed, k, percent))
+    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sign").alias("sign"))
+    members = materialise(_passing(profiles, classes.where("rep is not null").select("hi", "rep", "n", "sign"), percent), "passing")
+    components = connected_components(_links(plain, members, k, percent))
     merged = classes.join(components, classes["rep"] == components["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = profiles.join(merged, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))

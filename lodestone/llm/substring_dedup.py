@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, mix64, text_chunks
+from .common import id_text, materialise, mix64, packed_texts, text_chunks
 from .run_index import RunIndex
 from .shingles import CODES, _powers
 
@@ -90,27 +90,9 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return keyed.join(order.withColumnsRenamed({"doc_id": "_id", "hash": "_hash"}), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).select("doc_id", "text", "row")
 
 
-def _packed(docs: DataFrame, rows: DataFrame, filter_bits: int = 1 << 26) -> DataFrame:
-    """row and the compressed text of the rows that may be among ``rows``; a bitmap of at most ``filter_bits`` tells."""
-    slots = min(filter_bits, 1 << max(15, 4 + rows.count().bit_length()))
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(slots))
-    parts = rows.select(slot("row").alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(32767)).alias("b"))
-    bits = np.zeros(slots // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["b"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches):
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(1).compress
-        for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([pack(x) for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["row", "packed"])
-
-    # of rows that count as one, one is enough
-    return docs.select("row", "text", slot("row").alias("slot")).mapInArrow(run, "row bigint, packed binary").dropDuplicates(["row"])
+def _packed(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """row and the compressed text of the rows that may be among ``rows``; of those that count as one, one is enough."""
+    return packed_texts(docs, rows, "row").dropDuplicates(["row"])
 
 
 def _stretches(found: DataFrame, texts: DataFrame, gram: int, least: int) -> DataFrame:
