@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, license_scan, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from . import common, decontaminate, jaccard_join, license_scan, lm_score, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from .sentencepiece_codec import sentencepiece_encode
 
 PIECES = f"{common.TOKENIZER_DIR}/piece_bpe_32k.model"
@@ -46,6 +46,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    return lm_score.lm_score(docs, lm_score.train_models(docs, labels.where("quality = 1")))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(common.table(spark, sf_dir, "documents"))
 
