@@ -6,6 +6,7 @@ never met is known by its stem. A window of words gives one logit.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +50,25 @@ def tokens(texts: list[bytes]) -> Tokens:
     return Tokens((hashes >> np.uint64(64 - BITS)).astype(np.int32), rows, piece.astype(np.int32), first)
 
 
+def many_tokens(texts: list[bytes], limit: int = 1 << 20) -> Iterator[Tokens]:
+    """Tokens of the texts in turn, of about ``limit`` bytes at a time."""
+    at = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= limit or i == len(texts) - 1:
+            yield tokens(texts[at : i + 1])
+            at, size = i + 1, 0
+
+
+def joined(parts: list[Tokens]) -> Tokens:
+    """One after another."""
+    words_before = np.cumsum([0, *(len(t.word) for t in parts)])
+    pieces_before = np.cumsum([0, *(len(t.piece) for t in parts)])
+    rows = np.concatenate([*(t.rows[:-1] + n for t, n in zip(parts, words_before, strict=False)), words_before[-1:]])
+    first = np.concatenate([*(t.first[:-1] + n for t, n in zip(parts, pieces_before, strict=False)), pieces_before[-1:]])
+    return Tokens(np.concatenate([t.word for t in parts]), rows, np.concatenate([t.piece for t in parts]), first)
+
+
 def windows(rows: np.ndarray, width: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of words and text of each window; windows overlap and cover every word of a text."""
     n = np.diff(rows)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_text, text_chunks
-from .gated_network import BITS, Adam, Network, Tokens, sigmoid, tokens, windows
+from .gated_network import BITS, Adam, Network, Tokens, joined, many_tokens, sigmoid, tokens, windows
 
 WIDTH, STEP = 48, 32
 HELD_OUT, FOLDS, LEAST_SCORE = 2, 4, 0.3
@@ -29,14 +29,21 @@ def fold(column):
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def _stand_out(t: Tokens, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _stand_out(parts: list[Tokens], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each bucket of words and of pieces: log odds that a text that holds it is toxic, less where few do."""
-    text = np.repeat(np.arange(len(y)), np.diff(t.rows))
+    counts = np.zeros((2, 2, 1 << BITS))
+    at = 0
+    for t in parts:
+        n = len(t.rows) - 1
+        text = np.repeat(np.arange(at, at + n), np.diff(t.rows))
+        for kind, (bucket, owner) in enumerate(((t.word, text), (t.piece, np.repeat(text, np.diff(t.first))))):
+            pair = np.unique(owner << BITS | bucket)
+            of, b = pair >> BITS, pair & ((1 << BITS) - 1)
+            for v in (0, 1):
+                counts[kind, v] += np.bincount(b[y[of] == v], minlength=1 << BITS)
+        at += n
     out = []
-    for bucket, owner in ((t.word, text), (t.piece, np.repeat(text, np.diff(t.first)))):
-        pair = np.unique(owner.astype(np.int64) << BITS | bucket)
-        of, b = pair >> BITS, pair & ((1 << BITS) - 1)
-        yes, no = (np.bincount(b[y[of] == v], minlength=1 << BITS) for v in (1, 0))
+    for no, yes in counts:
         odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / ((1 - y).sum() + 1))
         out.append((odds * (yes + no) / (yes + no + 4)).astype(np.float32))
     return out[0], out[1]
@@ -47,8 +54,11 @@ def train_network(texts: list[bytes], labels: list[int], share: float, epochs: i
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
-    net, t, random = Network(seed), tokens(texts), np.random.default_rng(seed)
-    word, piece = _stand_out(t, y)
+    net, random = Network(seed), np.random.default_rng(seed)
+    parts = list(many_tokens(texts))
+    word, piece = _stand_out(parts, y)
+    t = joined(parts)
+    del parts
     net.p["word"][:, 0], net.p["piece"][:, 0] = word / 2, piece / 2
     start, size, owner = windows(t.rows, WIDTH, STEP)
     at = np.concatenate([[0], np.cumsum(np.maximum(word[t.word], 0) + np.maximum(np.add.reduceat(piece[t.piece], t.first[:-1]) * t.share[:, 0], 0))])
@@ -57,7 +67,7 @@ def train_network(texts: list[bytes], labels: list[int], share: float, epochs: i
     epochs = max(epochs, min(40, -(-steps * batch // (2 * len(y)))))  # few texts need more rounds
     for epoch in range(epochs):
         if epoch:
-            worst = _logits(net, net.inputs(t), start, size)
+            worst = _window_logits(net, t, start, size)
         order = np.lexsort((-worst, owner))
         top = np.zeros(len(order), np.int64)
         top[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
@@ -72,9 +82,8 @@ def train_network(texts: list[bytes], labels: list[int], share: float, epochs: i
             logit = net.forward(x, at, size[b], WIDTH, keep)
             g, dx = net.gradients(x, keep, ((sigmoid(logit) - y[owner[b]]) * heavy[i : i + batch] / len(b)).astype(np.float32))
             optimiser.update(g | net.table_gradients(some, dx))
-    x = net.inputs(t)
     best = np.full(len(y), -20.0)
-    np.maximum.at(best, owner, _logits(net, x, start, size))
+    np.maximum.at(best, owner, _window_logits(net, t, start, size))
     net.scale, net.shift = _fitted(best, y, share)
     return net
 
@@ -101,6 +110,15 @@ def _logits(net: Network, x: np.ndarray, start: np.ndarray, size: np.ndarray, mo
     return out
 
 
+def _window_logits(net: Network, t: Tokens, start: np.ndarray, size: np.ndarray, most: int = 2048) -> np.ndarray:
+    """The same of a large sample, with the inputs of some windows at a time."""
+    out = np.zeros(len(start), np.float32)
+    for i in range(0, len(start), most):
+        some, at = net.part(t, start[i : i + most], size[i : i + most])
+        out[i : i + most] = _logits(net, net.inputs(some), at, size[i : i + most])
+    return out
+
+
 def scores(net: Network | None, texts: list[bytes]) -> np.ndarray:
     """The score of each text."""
     worst = np.full(len(texts), -np.inf)
@@ -136,3 +154,15 @@ def toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(s), pa.array((s >= LEAST_SCORE).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return id_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))).mapInArrow(run, SCHEMA)
+
+
+def drop_toxic(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is under ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        for batch in batches:
+            good = [s < least for part in text_chunks(batch.select([text_col])) for s in scores(shared.value, [x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
