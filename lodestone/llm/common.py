@@ -7,6 +7,8 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def text_chunks(batch, limit: int = 4 << 20):
+def text_chunks(batch, limit: int = 1 << 20):
     """Slices of a record batch with about ``limit`` bytes of its string columns each, a row at least."""
     n, start, size = batch.num_rows, 0, 0
     if not n:
@@ -60,8 +62,6 @@ def text_chunks(batch, limit: int = 4 << 20):
     per_row = np.zeros(n, dtype=np.int64)
     for column in batch.columns:
         if str(column.type) in ("string", "large_string", "binary", "large_binary"):
-            import pyarrow.compute as pc
-
             per_row += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for i in range(n):
         size += int(per_row[i])
@@ -72,20 +72,29 @@ def text_chunks(batch, limit: int = 4 << 20):
         yield batch.slice(start, n - start)
 
 
-def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
-    """``key`` and the compressed text (column packed) of the rows whose keys may be among ``ids`` (a column of that name).
-
-    A bitmap of hashed keys tells; it has ``most_bits`` bits at most, whatever the number of keys, and where they fill
-    it, it only lets more rows pass. What follows joins a small part of the texts, compressed, instead of all of them.
-    """
-    import pyarrow as pa
-
+def _bitmap(ids: DataFrame, key: str, most_bits: int) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed keys and its number of bits: enough for few collisions, ``most_bits`` at most."""
     slots = min(most_bits, 1 << max(15, 4 + ids.count().bit_length()))
     slot = F.pmod(F.xxhash64(key), F.lit(slots))
     parts = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(32767)).alias("b"))
     bits = np.zeros(slots // 8, np.uint8)
     for r in parts.toLocalIterator():
         bits[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(r["b"], np.uint8)
+    return bits, slots
+
+
+def _met(bits: np.ndarray, slots) -> np.ndarray:
+    s = slots.to_numpy(zero_copy_only=False)
+    return (bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
+
+
+def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """``key`` and the compressed text (column packed) of the rows whose keys may be among ``ids`` (a column of that name).
+
+    A bitmap of hashed keys tells; it has ``most_bits`` bits at most, whatever the number of keys, and where they fill
+    it, it only lets more rows pass. What follows joins a small part of the texts, compressed, instead of all of them.
+    """
+    bits, slots = _bitmap(ids, key, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -93,8 +102,25 @@ def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 <
 
         pack = zstandard.ZstdCompressor(1).compress
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            some = batch.filter(pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1))
+            some = batch.filter(pa.array(_met(shared.value, batch.column(2))))
             yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([pack(x or b"") for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=[key, "packed"])
 
-    return docs.where(F.col(key).isNotNull()).select(key, "text", slot.alias("slot")).mapInArrow(run, f"{key} bigint, packed binary")
+    return docs.where(F.col(key).isNotNull()).select(key, "text", F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).mapInArrow(run, f"{key} bigint, packed binary")
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
+    """The rows of ``docs`` whose keys are not among ``ids``, all columns kept; rows with a null key stay.
+
+    Rows that the bitmap of ``ids`` clears stay where they are; only the others are joined.
+    """
+    bits, slots = _bitmap(ids, key, most_bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def part(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_met(shared.value, batch.column(batch.num_columns - 1)) == wanted)).select(range(batch.num_columns - 1))
+
+        return docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots))).mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(ids.select(F.col(key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti"))

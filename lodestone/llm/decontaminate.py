@@ -149,6 +149,25 @@ def _finder(shared, threshold: float):
     return run
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, block_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that no item leaks into; blocks of items pass over the texts in turn."""
+
+    def keeper(shared):
+        def run(batches):
+            for batch in batches:
+                good, row = np.ones(batch.num_rows, bool), 0
+                for part in text_chunks(batch.select([text_col])):
+                    good[[row + r for r, _, _ in leaks(shared.value, part.column(0), threshold)]] = False
+                    row += part.num_rows
+                yield batch.filter(pa.array(good))
+
+        return run
+
+    for block in _blocks(benchmark, least, block_words):
+        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+    return docs
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, items (ascending) and the best coverage of every row; 0.0 where nothing leaks."""
     pairs = contamination(docs, benchmark, threshold, least, id_col=id_col, text_col=text_col)

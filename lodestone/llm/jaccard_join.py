@@ -28,13 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, mix64, packed_texts, text_chunks
+from .common import id_text, materialise, mix64, packed_texts, text_chunks, without
 from .components import connected_components
 from .shingles import buffers, shingles, words
 
-#: Bits of the signatures of small and of large sets, the size from which a set is large, and shingles that a tile may
-#: hold before it is cut.
-NARROW, WIDE, WIDE_FROM, TILE = 512, 4096, 2000, 4_000_000
+#: Bits of the signatures, and the sizes from which sets have the second and the third.
+WIDTHS, WIDE_FROM = (512, 4096, 32768), (800, 8000)
+#: Shingles that a tile may hold before it is cut.
+TILE = 4_000_000
 #: How much larger the sizes of the next band are.
 BAND = 1.5
 #: A shingle counts as frequent from this share of all texts on, and is reported from so many times in a batch.
@@ -79,7 +80,7 @@ def _banded(keys: np.ndarray, n: int, percent: int) -> np.ndarray:
     return np.concatenate([mix64(keys + mix64(np.full(1, b + 1, np.uint64))) for b in range(bands[0], bands[-1] + 1)])
 
 
-def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, key_bits: int) -> DataFrame:
     """doc_id, set size, digest (hi, lo) and the keys that a linked set must share one of."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -96,7 +97,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
                     if len(often) and take:
                         last = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                         s = np.concatenate([s[~last], s[last]])
-                    keys.append(_banded(s[:take], len(s), percent).view(np.int64) if take else np.zeros(0, np.int64))
+                    keys.append((_banded(s[:take], len(s), percent) >> np.uint64(64 - key_bits)).view(np.int64) if take else np.zeros(0, np.int64))
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -108,7 +109,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> Da
 
 def signature(s: np.ndarray) -> bytes:
     """A bitmap as wide as the set's size asks for; a bit says whether an odd number of shingles falls on it."""
-    bits = NARROW if len(s) < WIDE_FROM else WIDE
+    bits = WIDTHS[int(np.searchsorted(WIDE_FROM, len(s), side="right"))]
     odd = np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -119,8 +120,9 @@ class Near:
     def __init__(self, percent: int):
         self.percent, self.first, self.n = percent, 0, 0
         self.sizes = np.zeros(16, np.int64)
-        self.narrow, self.wide = np.zeros((16, NARROW // 64), np.uint64), np.zeros((0, WIDE // 64), np.uint64)
-        self.wide_from = None
+        # of each width the bitmaps of the sets that have it, and the first such set
+        self.bitmaps = [np.zeros((16, w // 64), np.uint64) if not k else np.zeros((0, w // 64), np.uint64) for k, w in enumerate(WIDTHS)]
+        self.since = [0, None, None]
 
     def _bounded(self, rows: np.ndarray, size: int, differing: np.ndarray) -> np.ndarray:
         """The rows whose overlap, bounded from above by the count of differing bits, can be enough."""
@@ -131,26 +133,24 @@ class Near:
         """Takes a set in and returns the numbers of those before it that pass."""
         i = self.n
         if i == len(self.sizes):
-            self.sizes, self.narrow = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.narrow, np.zeros_like(self.narrow)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         while self.first < i and 100 * self.sizes[self.first] < self.percent * size:
             self.first += 1  # too small for all that follow
-        bits = np.frombuffer(bitmap, np.uint64)
-        wide = bits if len(bits) > NARROW // 64 else None
-        if wide is not None:  # parities of halves add up
-            bits = np.bitwise_xor.reduce(wide.reshape(-1, NARROW // 64), axis=0)
-        rows = np.arange(self.first, i)
-        rows = self._bounded(rows, size, np.bitwise_count(self.narrow[self.first : i] ^ bits).sum(axis=1, dtype=np.int64))
-        if wide is not None:
-            if self.wide_from is None:
-                self.wide_from = i
-            k = i - self.wide_from
-            if k >= len(self.wide):
-                self.wide = np.concatenate([self.wide, np.zeros((max(16, k), WIDE // 64), np.uint64)])
-            self.wide[k] = wide
-            both = rows[rows >= self.wide_from]
-            both = self._bounded(both, size, np.bitwise_count(self.wide[both - self.wide_from] ^ wide).sum(axis=1, dtype=np.int64))
-            rows = np.concatenate([rows[rows < self.wide_from], both])
-        self.sizes[i], self.narrow[i], self.n = size, bits, i + 1
+        own, rows = np.frombuffer(bitmap, np.uint64), np.arange(self.first, i)
+        for level, width in enumerate(WIDTHS):
+            if len(own) * 64 < width:
+                break
+            if self.since[level] is None:
+                self.since[level] = i
+            since, bits = self.since[level], np.bitwise_xor.reduce(own.reshape(-1, width // 64), axis=0)  # parities of parts add up
+            if i - since >= len(self.bitmaps[level]):
+                more = np.zeros((max(16, len(self.bitmaps[level])), width // 64), np.uint64)
+                self.bitmaps[level] = np.concatenate([self.bitmaps[level], more])
+            wide = rows[rows >= since]
+            differing = np.bitwise_count(self.bitmaps[level][wide - since] ^ bits).sum(axis=1, dtype=np.int64)
+            rows = np.concatenate([rows[rows < since], self._bounded(wide, size, differing)])
+            self.bitmaps[level][i - since] = bits
+        self.sizes[i], self.n = size, i + 1
         return rows
 
 
@@ -208,11 +208,12 @@ def _cells(batches, *columns: str) -> Iterator[tuple[list, list[tuple] | None]]:
     yield None, None
 
 
-def _passing(profiles: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _passing(profiles: DataFrame, reps: DataFrame, percent: int, class_bits: int) -> DataFrame:
     """tile, rep, n of the classes that pass with some other one; the tile is the least class that they pass with."""
-    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), "hi")
-    leaders = keyed.groupBy("key").agg(F.min("hi").alias("tile"), F.max("hi").alias("last")).where("tile <> last").select("key", "tile")
-    member = keyed.join(leaders, "key").select("hi", "tile").distinct().join(reps, "hi").select("tile", "rep", "n", "sign")
+    short = F.shiftrightunsigned("hi", 64 - class_bits)  # two classes of one short name only meet more often
+    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), short.alias("class"))
+    leaders = keyed.groupBy("key").agg(F.min("class").alias("tile"), F.max("class").alias("last")).where("tile <> last").select("key", "tile")
+    member = keyed.join(leaders, "key").select("class", "tile").distinct().join(reps.withColumn("class", short), "class").select("tile", "rep", "n", "sign")
 
     def run(batches):
         at, near, members, parent, out = None, Near(percent), [], [], []
@@ -268,11 +269,27 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets link where 100 * intersection >= percent * union."""
     plain = id_text(docs, id_col, text_col)
-    frequent = frequent_shingles(plain, k, plain.count())
-    profiles = materialise(_profiles(plain, k, percent, frequent), "profiles")
+    n_docs = max(plain.count(), 1)
+    # as many bits as keep chance meetings rare at this number of rows; what meets by chance is told apart later
+    key_bits, class_bits = min(63, n_docs.bit_length() + 13), min(63, n_docs.bit_length() + 12)
+    profiles = materialise(_profiles(plain, k, percent, frequent_shingles(plain, k, n_docs), key_bits), "profiles")
     classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sign").alias("sign"))
-    members = materialise(_passing(profiles, classes.where("rep is not null").select("hi", "rep", "n", "sign"), percent), "passing")
+    members = materialise(_passing(profiles, classes.where("rep is not null").select("hi", "rep", "n", "sign"), percent, class_bits), "passing")
     components = connected_components(_links(plain, members, k, percent))
     merged = classes.join(components, classes["rep"] == components["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
     out = profiles.join(merged, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
+    """The rows of ``docs``, with all columns, that are the least id of their component.
+
+    Of rows with one id and one text, one stays; rows with a null id stay. ``docs`` has the columns doc_id and text.
+    """
+    joined = materialise(jaccard_join(docs, k, percent), "components")
+    gone = joined.where("component_id < doc_id").select("doc_id").distinct()
+    twice = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = without(docs, gone, "doc_id")
+    if not twice.limit(1).count():
+        return kept
+    return without(kept, twice, "doc_id").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))

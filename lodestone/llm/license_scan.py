@@ -6,8 +6,9 @@ It then holds one of the first n - need + 1 tokens in that order: the template's
 and where its first shared token stands at place p of the template, n - p tokens at most can be shared (positional
 filter). What passes is counted exactly.
 
-All of it is DataFrame functions over one row at a time; shuffled are the counts of the templates' tokens only. The
-template list is a literal of the plan, and the driver gets a row for each of its tokens at most.
+All of it is DataFrame functions. Words are cut once: each row's tokens that the templates and phrases know are written
+to the shared folder, with the text where they could be enough. Shuffled are the counts of those tokens only. The template list is a literal of the
+plan, and the driver gets a row for each of its tokens at most.
 
 Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII. Defined cases: a null text counts as empty;
 without a match the labels are empty, the positions null and the score 0. Repeated rows are scanned each.
@@ -18,10 +19,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Notices under which works are released; several of one label may be given.
@@ -54,11 +58,20 @@ def _split(text: str) -> list[str]:
     return re.findall(WORD, text.lower())
 
 
-def token_frequencies(words: DataFrame, templates: Sequence[tuple[str, str]]) -> dict[str, int]:
-    """In how many rows each token of the templates stands (``words`` has a column of that name)."""
-    wanted = sorted({t for _, text in templates for t in _split(text)})
-    counts = words.select(F.explode(F.array_intersect("words", F.lit(wanted))).alias("token")).groupBy("token").count()
-    return {t: 0 for t in wanted} | {r["token"]: r["count"] for r in counts.collect()}
+def token_frequencies(held: DataFrame) -> dict[str, int]:
+    """In how many rows each token stands (``held`` has a row's different tokens in a column of that name)."""
+    return {r["token"]: r["count"] for r in held.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
+
+
+def _need(tokens: Sequence[str], threshold: float) -> int:
+    return max(1, math.ceil(threshold * len(set(tokens)) - 1e-9))
+
+
+def _in_reach(tokens: Sequence[Sequence[str]], phrases: Sequence[Sequence[str]], threshold: float) -> Column:
+    """Whether a row's tokens (column ``held``) can make up a phrase or enough of a template at all."""
+    some = [F.size(F.array_intersect("held", F.lit(sorted(set(t))))) >= _need(t, threshold) for t in tokens]
+    some += [F.size(F.array_intersect("held", F.lit(sorted(set(p))))) >= len(set(p)) for p in phrases]
+    return reduce(lambda a, b: a | b, some, F.lit(False))
 
 
 def _places(phrase: str) -> Column:
@@ -74,15 +87,10 @@ def _places(phrase: str) -> Column:
     return F.array_compact(F.transform("words", start))
 
 
-def _phrases_met(phrase_labels: Mapping[str, str]) -> Column:
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-    return F.col("text").rlike("(?i)" + "|".join(gap.join(map(re.escape, p.split(" "))) for p in phrase_labels))
-
-
 def _containment(block: Column, template: Sequence[str], order: Mapping[str, int], threshold: float) -> Column:
     """The share of the template's tokens in a block's different words, or 0 under the threshold."""
     tokens = sorted(set(template), key=lambda t: (order.get(t, 0), t))
-    need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
+    need = _need(tokens, threshold)
     prefix = tokens[: len(tokens) - need + 1]
     # the first shared token's place bounds what can be shared; in the prefix it always leaves enough
     reach = F.coalesce(*[F.when(F.array_contains(block, t), F.lit(len(tokens) - p)) for p, t in enumerate(prefix)], F.lit(0))
@@ -95,17 +103,20 @@ def license_scan(
 ) -> DataFrame:
     """Counts, first and last place, labels and score; the score is the best containment, 1 where a phrase stands."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = token_frequencies(plain.select(_words(F.col("text")).alias("words")), templates)
     tokens = [_split(text) for _, text in templates]
+    phrases = [p.split(" ") for p in phrase_labels]
+    wanted = sorted({t for some in (*tokens, *phrases) for t in some})
+    cut = plain.withColumn("words", _words(F.col("text"))).select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", F.lit(wanted)).alias("held"), "text")
+    # the words are cut once; the few texts in reach are kept beside their tokens
+    held = materialise(cut.select("doc_id", "n_words", "held", F.when(_in_reach(tokens, phrases, threshold), F.col("text")).alias("text")), "license-tokens")
+    order = token_frequencies(held)
     rare = set()
     for t in tokens:
         ranked = sorted(set(t), key=lambda x: (order.get(x, 0), x))
-        rare |= set(ranked[: len(ranked) - max(1, math.ceil(threshold * len(ranked) - 1e-9)) + 1])
-    words = plain.withColumn("words", _words(F.col("text")))
+        rare |= set(ranked[: len(ranked) - _need(t, threshold) + 1])
     no_ints, no_scores = F.array().cast("array<int>"), F.array().cast("array<struct<label:string,score:double>>")
-    places = words.withColumn("met", _phrases_met(phrase_labels)).select(
-        "doc_id", F.size("words").cast("bigint").alias("n_words"),
-        *[F.when(F.col("met"), _places(p)).otherwise(no_ints).alias(f"_p{k}") for k, p in enumerate(phrase_labels)],
+    places = held.withColumn("words", F.when(F.col("text").isNotNull(), _words(F.col("text"))).otherwise(F.array().cast("array<string>"))).select(
+        "doc_id", "n_words", *[_places(p).alias(f"_p{k}") for k, p in enumerate(phrase_labels)],
         F.when(F.arrays_overlap("words", F.lit(sorted(rare))), F.col("text")).alias("_text"),
     )
     lines = F.concat(F.split("_text", "\n"), F.split("_text", r"\n[\x20\x09\x0D]*\n"))
