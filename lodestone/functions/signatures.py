@@ -97,10 +97,21 @@ def parsed(text: Column, rules: SignatureRules = RULES) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def deduped(signatures: Column) -> Column:
     """The first of each kind and text; then, but for codes, without what a longer one of its kind contains."""
-    first = F.filter(signatures, lambda s, i: F.size(F.filter(F.slice(signatures, F.lit(1), i), lambda t: (t["kind"] == s["kind"]) & (t["text"] == s["text"]))) == 0)
-    return F.filter(first, lambda s: (s["kind"] == "errcode") | ~F.exists(first, lambda t: (t["kind"] == s["kind"]) & (F.length(t["text"]) > F.length(s["text"])) & F.contains(t["text"], s["text"])))
+
+    def first(all_of: Column) -> Column:
+        return F.filter(all_of, lambda s, i: ~F.exists(F.slice(all_of, F.lit(1), i), lambda t: (t["kind"] == s["kind"]) & (t["text"] == s["text"])))
+
+    def longest(some: Column) -> Column:
+        return F.filter(some, lambda s: (s["kind"] == "errcode") | ~F.exists(some, lambda t: (t["kind"] == s["kind"]) & (F.length(t["text"]) > F.length(s["text"])) & F.contains(t["text"], s["text"])))
+
+    return _once(signatures, lambda x: _once(first(x), longest))
 
 
 def extract_signatures(text: Column, rules: SignatureRules = RULES, symbols: Column | None = None, signals: Sequence[str] = ()) -> Column:

@@ -57,7 +57,7 @@ def normalised(name: Column) -> Column:
     """One form for the spellings of an operator: without suffixes, words parted by underscores, lower case."""
     out = F.trim(name)
     for s in SUFFIXES:
-        out = F.when(F.lower(out).endswith(s), out.substr(F.lit(1), F.length(out) - len(s))).otherwise(out)
+        out = F.regexp_replace(out, f"(?i){s}$", "")
     out = F.regexp_replace(out, "(?<=[a-z0-9])(?=[A-Z])", "_")
     return F.lower(F.regexp_replace(out, "(?<=[A-Z])(?=[A-Z][a-z])", "_"))
 

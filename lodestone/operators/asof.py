@@ -13,11 +13,27 @@ def _side(rows: DataFrame, calendar: DataFrame, keys: list[str], at: str) -> Dat
     return row.unionByName(cal)
 
 
+#: A calendar of up to so many releases is sent to the rows; a larger one is sorted together with them.
+SMALL = 2000
+
+
+def _lists(calendar: DataFrame, keys: list[str]) -> DataFrame | None:
+    """keys and the releases (date, tag) of each as an array, for a calendar whose size allows it."""
+    if calendar.limit(SMALL + 1).count() > SMALL:
+        return None
+    return F.broadcast(calendar.groupBy(*keys).agg(F.collect_list(F.struct("date", "tag")).alias("_releases")))
+
+
 def latest_before(rows: DataFrame, calendar: DataFrame, at: str, keys: list[str], out: str = "tag") -> DataFrame:
     """``rows`` with the tag of the last release (columns of ``keys``, tag, date) at or before ``at``; null if there is none.
 
-    One sort by key and time, no pairs: it holds for large calendars. Of releases at one time the highest tag counts.
+    Rows stay where they are if the calendar is small; else one sort by key and time. Of releases at one time the highest
+    tag counts.
     """
+    small = _lists(calendar, keys)
+    if small is not None:
+        best = F.array_max(F.filter("_releases", lambda r: r["date"] <= F.col(at)))
+        return rows.join(small, keys, "left").withColumn(out, best["tag"]).drop("_releases")
     w = Window.partitionBy(*keys).orderBy("_at", "_row", "_tag").rowsBetween(Window.unboundedPreceding, 0)
     both = _side(rows, calendar, keys, at).withColumn("_found", F.when(F.col("_at").isNotNull(), F.last("_tag", ignorenulls=True).over(w)))
     return both.where("_row = 1").select("_all.*", F.col("_found").alias(out))
@@ -26,6 +42,10 @@ def latest_before(rows: DataFrame, calendar: DataFrame, at: str, keys: list[str]
 def first_after(rows: DataFrame, calendar: DataFrame, at: str, keys: list[str], out: str = "tag") -> DataFrame:
     """``rows`` with the tag of the first release at or after ``at``, both to the minute; the lowest tag of a minute counts."""
     minute = calendar.withColumn("date", F.date_trunc("minute", "date"))
+    small = _lists(minute, keys)
+    if small is not None:
+        best = F.array_min(F.filter("_releases", lambda r: r["date"] >= F.date_trunc("minute", F.col(at))))
+        return rows.join(small, keys, "left").withColumn(out, best["tag"]).drop("_releases")
     both = _side(rows.withColumn("_minute", F.date_trunc("minute", F.col(at))), minute, keys, "_minute")
     w = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.asc("_row"), F.desc("_tag")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_found", F.when(F.col("_at").isNotNull(), F.last("_tag", ignorenulls=True).over(w)))

@@ -80,9 +80,9 @@ def filled_counts(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def modes(observed: DataFrame) -> DataFrame:
     """version, component, value, count: the commonest value that documents of a version name; ties by value."""
-    counts = observed.groupBy("version", "component", "value").count()
-    best = F.max_by(F.struct("value", "count"), F.struct(F.col("count"), F.transform(F.split("value", ""), lambda ch: -F.ascii(ch))))
-    return counts.groupBy("version", "component").agg(best.alias("b")).select("version", "component", "b.value", F.col("b.count").alias("n"))
+    counts = observed.groupBy("version", "component", "value").agg(F.count("*").alias("n"))
+    most = counts.groupBy("version", "component").agg(F.max("n").alias("n"))
+    return counts.join(most, ["version", "component", "n"]).groupBy("version", "component", "n").agg(F.min("value").alias("value"))
 
 
 def representatives(tags: DataFrame) -> DataFrame:
