@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -40,8 +41,35 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch. Batches of ten thousand long texts would fill a worker's memory.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by bytes; a bound that is lower already stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def released(run):
+    """A function of batches that gives free memory back when its partition ends: workers live on, with what they hold."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; whatever else the table has can't clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
@@ -72,10 +100,13 @@ def text_chunks(batch, limit: int = 1 << 20):
         yield batch.slice(start, n - start)
 
 
-def _bitmap(ids: DataFrame, key: str, most_bits: int) -> tuple[np.ndarray, int]:
-    """A bitmap of hashed keys and its number of bits: enough for few collisions, ``most_bits`` at most."""
+def bitmap(ids: DataFrame, key: str, most_bits: int, hashed: bool = False) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed keys and its number of bits: enough for few collisions, ``most_bits`` at most.
+
+    ``hashed`` keys are random bits already.
+    """
     slots = min(most_bits, 1 << max(15, 4 + ids.count().bit_length()))
-    slot = F.pmod(F.xxhash64(key), F.lit(slots))
+    slot = F.pmod(F.col(key) if hashed else F.xxhash64(key), F.lit(slots))
     parts = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(32767)).alias("b"))
     bits = np.zeros(slots // 8, np.uint8)
     for r in parts.toLocalIterator():
@@ -94,7 +125,8 @@ def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 <
     A bitmap of hashed keys tells; it has ``most_bits`` bits at most, whatever the number of keys, and where they fill
     it, it only lets more rows pass. What follows joins a small part of the texts, compressed, instead of all of them.
     """
-    bits, slots = _bitmap(ids, key, most_bits)
+    small_batches(docs.sparkSession)
+    bits, slots = bitmap(ids, key, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -105,7 +137,7 @@ def packed_texts(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 <
             some = batch.filter(pa.array(_met(shared.value, batch.column(2))))
             yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array([pack(x or b"") for x in some.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=[key, "packed"])
 
-    return docs.where(F.col(key).isNotNull()).select(key, "text", F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).mapInArrow(run, f"{key} bigint, packed binary")
+    return docs.where(F.col(key).isNotNull()).select(key, "text", F.pmod(F.xxhash64(key), F.lit(slots)).alias("slot")).mapInArrow(released(run), f"{key} bigint, packed binary")
 
 
 def without(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26) -> DataFrame:
@@ -113,7 +145,8 @@ def without(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26)
 
     Rows that the bitmap of ``ids`` clears stay where they are; only the others are joined.
     """
-    bits, slots = _bitmap(ids, key, most_bits)
+    small_batches(docs.sparkSession)
+    bits, slots = bitmap(ids, key, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def part(wanted: bool) -> DataFrame:
@@ -121,6 +154,6 @@ def without(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26)
             for batch in batches:
                 yield batch.filter(pa.array(_met(shared.value, batch.column(batch.num_columns - 1)) == wanted)).select(range(batch.num_columns - 1))
 
-        return docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots))).mapInArrow(run, docs.schema)
+        return docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots))).mapInArrow(released(run), docs.schema)
 
     return part(False).unionByName(part(True).join(ids.select(F.col(key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti"))

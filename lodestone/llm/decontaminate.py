@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_chunks
+from .common import id_text, released, small_batches, text_chunks
 from .shingles import MARKS, buffers, windows, words
 
 TABLE_BITS = 20
@@ -134,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
     plain, sc = id_text(docs, id_col, text_col), docs.sparkSession.sparkContext
     out = plain.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
     for block in _blocks(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, block_words):
-        out = out.union(plain.mapInArrow(_finder(sc.broadcast(block), threshold), "doc_id bigint, item_id bigint, coverage double"))
+        out = out.union(plain.mapInArrow(released(_finder(sc.broadcast(block), threshold)), "doc_id bigint, item_id bigint, coverage double"))
     return out
 
 
@@ -163,8 +163,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         return run
 
+    small_batches(docs.sparkSession)
     for block in _blocks(benchmark, least, block_words):
-        docs = docs.mapInArrow(keeper(docs.sparkSession.sparkContext.broadcast(block)), docs.schema)
+        docs = docs.mapInArrow(released(keeper(docs.sparkSession.sparkContext.broadcast(block))), docs.schema)
     return docs
 
 

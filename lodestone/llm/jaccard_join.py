@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, mix64, packed_texts, text_chunks, without
+from .common import bitmap, id_text, materialise, mix64, packed_texts, released, text_chunks, without
 from .components import connected_components
 from .shingles import buffers, shingles, words
 
@@ -36,10 +37,12 @@ from .shingles import buffers, shingles, words
 WIDTHS, WIDE_FROM = (512, 4096, 32768), (800, 8000)
 #: Shingles that a tile may hold before it is cut.
 TILE = 4_000_000
+#: Bits of the bitmap of shared keys at most.
+KEY_BITS = 1 << 27
 #: How much larger the sizes of the next band are.
 BAND = 1.5
-#: A shingle counts as frequent from this share of all texts on, and is reported from so many times in a batch.
-FREQUENT, REPORT = 0.001, 8
+#: A shingle counts as frequent from this share of all texts on; it is reported from so many times among COUNTED shingles.
+FREQUENT, REPORT, COUNTED = 0.001, 8, 5_000_000
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[list, list[np.ndarray]]:
@@ -59,13 +62,28 @@ def frequent_shingles(docs: DataFrame, k: int, n_docs: int, share: float = FREQU
     """Shingles of at least ``share`` of all texts, sorted; there are 1 / share times a text's mean size at most."""
 
     def run(batches):
-        for batch in batches:
-            sets = [s for part in text_chunks(batch) for s in _sets(part, k)[1]]
-            values, counts = np.unique(np.concatenate(sets) if sets else np.zeros(0, np.uint64), return_counts=True)
-            often = counts >= max(REPORT, share * len(sets) / 2)
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+        held, size, n = [], 0, 0
+
+        def counted():
+            every = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            held.clear()
+            every.sort()
+            start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(start, len(every)))
+            often = counts >= max(REPORT, share * n / 2)
+            return pa.RecordBatch.from_arrays([pa.array(every[start[often]].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
 
-    met = docs.mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_docs).select("shingle")
+        for batch in batches:
+            for part in text_chunks(batch):
+                sets = _sets(part, k)[1]
+                held += sets
+                n, size = n + len(sets), size + sum(map(len, sets))
+                if size >= COUNTED:
+                    yield counted()
+                    size, n = 0, 0
+        yield counted()
+
+    met = docs.mapInArrow(released(run), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= share * n_docs).select("shingle")
     return np.sort(np.array([r[0] for r in met.toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -104,7 +122,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, key_b
                     [pa.array(ids, pa.int64()), sizes, pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), flat, pa.array(signs, pa.binary())], names=["doc_id", "n", "hi", "lo", "keys", "sign"]
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, sign binary")
+    return docs.mapInArrow(released(run), "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, sign binary")
 
 
 def signature(s: np.ndarray) -> bytes:
@@ -208,12 +226,33 @@ def _cells(batches, *columns: str) -> Iterator[tuple[list, list[tuple] | None]]:
     yield None, None
 
 
+def _kept_keys(profiles: DataFrame, leaders: DataFrame) -> DataFrame:
+    """key and hi of the keys that may be among the leaders': a bitmap of bounded size leaves most others out.
+
+    Where there are too many keys for it, it only lets more rows go to the join that follows.
+    """
+    bits, slots = bitmap(leaders, "key", KEY_BITS, hashed=True)
+    shared = profiles.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            slot = keys % slots
+            met = (shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[met]), batch.column(0).take(pa.array(owner[met]))], names=["key", "hi"])
+
+    return profiles.where("hi is not null").select("hi", "keys").mapInArrow(released(run), "key bigint, hi bigint")
+
+
 def _passing(profiles: DataFrame, reps: DataFrame, percent: int, class_bits: int) -> DataFrame:
     """tile, rep, n of the classes that pass with some other one; the tile is the least class that they pass with."""
     short = F.shiftrightunsigned("hi", 64 - class_bits)  # two classes of one short name only meet more often
     keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), short.alias("class"))
     leaders = keyed.groupBy("key").agg(F.min("class").alias("tile"), F.max("class").alias("last")).where("tile <> last").select("key", "tile")
-    member = keyed.join(leaders, "key").select("class", "tile").distinct().join(reps.withColumn("class", short), "class").select("tile", "rep", "n", "sign")
+    leaders = materialise(leaders, "leaders")
+    member = _kept_keys(profiles, leaders).select("key", short.alias("class")).join(leaders, "key").select("class", "tile").distinct().join(reps.withColumn("class", short), "class").select("tile", "rep", "n", "sign")
 
     def run(batches):
         at, near, members, parent, out = None, Near(percent), [], [], []
@@ -240,7 +279,7 @@ def _passing(profiles: DataFrame, reps: DataFrame, percent: int, class_bits: int
                 for j in near.add(row[1], row[2]).tolist():
                     parent[root(j)] = root(i)
 
-    return _placed(materialise(member, "members"), percent).mapInArrow(run, "tile bigint, rep bigint, n bigint").distinct()
+    return _placed(materialise(member, "members"), percent).mapInArrow(released(run), "tile bigint, rep bigint, n bigint").distinct()
 
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -263,15 +302,15 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
 
     tiles = members.groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("tile").alias("tiles"))
     texts = packed_texts(docs, tiles.select(F.col("rep").alias("doc_id")), "doc_id").join(tiles, F.col("doc_id") == F.col("rep"))
-    return _placed(materialise(texts.select(F.explode("tiles").alias("tile"), "rep", "n", "packed"), "texts"), percent).mapInArrow(run, "a bigint, b bigint")
+    return _placed(materialise(texts.select(F.explode("tiles").alias("tile"), "rep", "n", "packed"), "texts"), percent).mapInArrow(released(run), "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; sets link where 100 * intersection >= percent * union."""
     plain = id_text(docs, id_col, text_col)
     n_docs = max(plain.count(), 1)
-    # as many bits as keep chance meetings rare at this number of rows; what meets by chance is told apart later
-    key_bits, class_bits = min(63, n_docs.bit_length() + 13), min(63, n_docs.bit_length() + 12)
+    # as many bits as keep chance meetings of a row rare, by all of its keys; what meets by chance is told apart later
+    key_bits, class_bits = min(63, n_docs.bit_length() + 20), min(63, n_docs.bit_length() + 12)
     profiles = materialise(_profiles(plain, k, percent, frequent_shingles(plain, k, n_docs), key_bits), "profiles")
     classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sign").alias("sign"))
     members = materialise(_passing(profiles, classes.where("rep is not null").select("hi", "rep", "n", "sign"), percent, class_bits), "passing")
@@ -293,3 +332,15 @@ def drop_near_copies(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFram
     if not twice.limit(1).count():
         return kept
     return without(kept, twice, "doc_id").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def oracle_sql(percent: int = 90) -> str:
+    """The same over the view ``documents`` for shingles of three words: all pairs that share one are counted."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id FROM sets JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) ON a = doc_id"""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosted_trees import Forest, train
-from .common import id_text, text_chunks
+from .common import id_text, released, text_chunks
 
 #: Words that are common in the languages of the corpus.
 COMMON = frozenset(b"the of and to in is that for it as was with be by on de la le et les des un une que en el los las y del der die und das den von zu mit ist".split())
@@ -94,7 +94,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col
             for ids, _, x in _measured([batch.select(["doc_id", "text"])]):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    measured = id_text(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, x array<double>")
+    measured = id_text(docs, id_col, text_col).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(released(run), "doc_id bigint, x array<double>")
     label = {r["doc_id"]: r["label"] for r in chosen.collect()}
     rows = sorted((r["doc_id"], r["x"]) for r in measured.dropDuplicates(["doc_id"]).collect())
     y = np.array([label[i] for i, _ in rows], float)
@@ -114,4 +114,4 @@ def quality_rules(docs: DataFrame, forest: Forest | None, threshold: float = 0.5
             columns = [pa.array(ids, pa.int64()), *[pa.array(c) for c in counts.T], pa.array(failed), pa.array(~failed & (score >= threshold)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)

@@ -63,5 +63,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scan": secret_scan.oracle_sql(),
         "op5_url_filter": url_filter.oracle_sql(),
+        "op6_jaccard_join": jaccard_join.oracle_sql(),
+        "op7_substring_dedup": substring_dedup.oracle_sql(),
         "op10_license_scan": license_scan.oracle_sql(),
     }

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, text_chunks
+from .common import id_text, released, text_chunks
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
@@ -121,7 +121,7 @@ class Model:
 class Codec:
     """Encodes and decodes; keeps the ids of segments that it has met, ``keep`` at most."""
 
-    def __init__(self, data: bytes, keep: int = 400_000):
+    def __init__(self, data: bytes, keep: int = 300_000):
         import sentencepiece
 
         self.model = Model(data)
@@ -225,7 +225,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
             for part in text_chunks(batch, 1 << 20):
                 yield _rows(c, part.column(0).to_pylist(), part.column(1).to_pylist())
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
 
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -240,4 +240,4 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, id_col: str = "doc
             texts = [None if x is None else c.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids").mapInArrow(released(run), "doc_id bigint, text string")

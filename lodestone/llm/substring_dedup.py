@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, mix64, packed_texts, text_chunks
+from .common import id_text, materialise, mix64, packed_texts, released, text_chunks
 from .run_index import RunIndex
 from .shingles import CODES, _powers
 
@@ -75,7 +75,7 @@ def _anchors(docs: DataFrame, gram: int, least: int) -> DataFrame:
                 start = np.concatenate([[0], ends])[row]
                 yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(64 - HASH_BITS)).astype(np.int64)), pa.array(rows[row].astype(np.int64)), pa.array((at - start).astype(np.int32))], names=["anchor", "row", "pos"])
 
-    return docs.where(F.octet_length("text") >= least).select("row", "text").mapInArrow(run, "anchor bigint, row bigint, pos int")
+    return docs.where(F.octet_length("text") >= least).select("row", "text").mapInArrow(released(run), "anchor bigint, row bigint, pos int")
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _stretches(found: DataFrame, texts: DataFrame, gram: int, least: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["tile", "row", "start", "n", "packed"])
 
     per = found.groupBy("row").agg(F.collect_list(F.struct("pos", "tile")).alias("places"))
-    return per.join(texts, "row").select("row", "places", "packed").mapInArrow(run, "tile bigint, row bigint, start bigint, n bigint, packed binary")
+    return per.join(texts, "row").select("row", "places", "packed").mapInArrow(released(run), "tile bigint, row bigint, start bigint, n bigint, packed binary")
 
 
 def _marked(batch: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[int, int, int]]:
@@ -184,7 +184,7 @@ def _covered(stretches: DataFrame, least: int) -> DataFrame:
                 size += len(held[-1][2])
         yield done()
 
-    return rows.mapInArrow(run, "row bigint, start bigint, end bigint")
+    return rows.mapInArrow(released(run), "row bigint, start bigint, end bigint")
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, gram: int = 32) -> DataFrame:
@@ -232,8 +232,21 @@ def substring_dedup(docs: DataFrame, least: int = 100, gram: int = 32, id_col: s
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["row", "removed", "many", "sha"])
 
-    cut = spans.join(texts, "row").select("row", "spans", "packed").mapInArrow(run, "row bigint, removed bigint, many bigint, sha string")
+    cut = spans.join(texts, "row").select("row", "spans", "packed").mapInArrow(released(run), "row bigint, removed bigint, many bigint, sha string")
     whole = numbered.select("doc_id", "row", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     return whole.join(cut, "row", "left").select(
         "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).alias("n_removed"), F.coalesce("many", F.lit(0)).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256")
     )
+
+
+def oracle_sql(least: int = 100) -> str:
+    """The same over the view ``documents``: every window of every text compared with all."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS b, CASE WHEN 2 * (i + {least}) <= length(h) THEN substr(h, 2 * i + 1, {2 * least}) END AS s
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM d)),
+again AS (SELECT doc_id, i, b, s IS NOT NULL AND row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM w),
+cover AS (SELECT doc_id, i, b, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS {least - 1} PRECEDING) AS gone FROM again),
+edge AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM cover),
+per AS (SELECT doc_id, count(*) FILTER (gone) AS n, count(*) FILTER (first) AS r, coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), '') AS k FROM edge GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(r, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""

@@ -17,10 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, text_chunks
-from .gated_network import BITS, Adam, Network, Tokens, joined, many_tokens, sigmoid, tokens, windows
+from .common import id_text, released, small_batches, text_chunks
+from .gated_network import BITS, WORD, Adam, Network, Tokens, joined, many_tokens, sigmoid, tokens, windows
 
 WIDTH, STEP = 48, 32
+#: Bytes of text that are scored at once.
+CHUNK = 1 << 18
+#: Share of words hidden in training, and how fast unused vectors fade.
+HIDDEN_WORDS, DECAY = 0.4, 0.5
+#: Share of the sample that isn't trained on but fits the scores.
+ASIDE = 0.2
 HELD_OUT, FOLDS, LEAST_SCORE = 2, 4, 0.3
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
@@ -45,7 +51,8 @@ def _stand_out(parts: list[Tokens], y: np.ndarray) -> tuple[np.ndarray, np.ndarr
     out = []
     for no, yes in counts:
         odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((no + 0.5) / ((1 - y).sum() + 1))
-        out.append((odds * (yes + no) / (yes + no + 4)).astype(np.float32))
+        seen = yes + no
+        out.append(np.where(seen >= 3, odds * seen / (seen + 10), 0).astype(np.float32))
     return out[0], out[1]
 
 
@@ -64,6 +71,9 @@ def train_network(texts: list[bytes], labels: list[int], share: float, epochs: i
     at = np.concatenate([[0], np.cumsum(np.maximum(word[t.word], 0) + np.maximum(np.add.reduceat(piece[t.piece], t.first[:-1]) * t.share[:, 0], 0))])
     worst = at[start + size] - at[start]
     optimiser = Adam(net.p, rate)
+    aside = random.random(len(y)) < ASIDE  # for fitting the scores
+    if min(y[aside].sum(), (1 - y[aside]).sum()) < 5:
+        aside[:] = False
     epochs = max(epochs, min(40, -(-steps * batch // (2 * len(y)))))  # few texts need more rounds
     for epoch in range(epochs):
         if epoch:
@@ -72,19 +82,26 @@ def train_network(texts: list[bytes], labels: list[int], share: float, epochs: i
         top = np.zeros(len(order), np.int64)
         top[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         pick = np.flatnonzero((top == 0) | ((y[owner] == 0) & (random.random(len(owner)) < min(1.0, len(y) / len(owner)))))
-        pick = random.permutation(pick)
+        pick = random.permutation(pick[~aside[owner[pick]]])
         heavy = np.where(y[owner[pick]] == 1, (y[owner[pick]] == 0).sum() / max((y[owner[pick]] == 1).sum(), 1), 1.0).clip(0.2, 5).astype(np.float32)
         optimiser.rate = rate * (1 - epoch / (epochs + 1))
         for i in range(0, len(pick), batch):
             b, keep = pick[i : i + batch], {}
             some, at = net.part(t, start[b], size[b])
             x = net.inputs(some)
+            # words are left out at random, so that pieces must do too, and what few texts hold isn't learned by heart
+            hidden = random.random(len(x)) < HIDDEN_WORDS
+            x[hidden, :WORD] = 0
             logit = net.forward(x, at, size[b], WIDTH, keep)
             g, dx = net.gradients(x, keep, ((sigmoid(logit) - y[owner[b]]) * heavy[i : i + batch] / len(b)).astype(np.float32))
+            dx[hidden, :WORD] = 0
             optimiser.update(g | net.table_gradients(some, dx))
+            for table in ("word", "piece"):
+                net.p[table] *= 1 - DECAY * optimiser.rate
     best = np.full(len(y), -20.0)
     np.maximum.at(best, owner, _window_logits(net, t, start, size))
-    net.scale, net.shift = _fitted(best, y, share)
+    own = aside if aside.any() else np.ones(len(y), bool)
+    net.scale, net.shift = _fitted(best[own], y[own], share)
     return net
 
 
@@ -149,20 +166,21 @@ def toxicity(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            for part in text_chunks(batch, 1 << 20):
+            for part in text_chunks(batch, CHUNK):
                 s = scores(shared.value, [x or b"" for x in part.column(1).cast(pa.binary()).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), pa.array(s), pa.array((s >= LEAST_SCORE).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return id_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).withColumn("held_out", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))).mapInArrow(released(run), SCHEMA)
 
 
 def drop_toxic(docs: DataFrame, net: Network | None, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, whose score is under ``least``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
         for batch in batches:
-            good = [s < least for part in text_chunks(batch.select([text_col])) for s in scores(shared.value, [x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])]
+            good = [s < least for part in text_chunks(batch.select([text_col]), CHUNK) for s in scores(shared.value, [x or b"" for x in part.column(0).cast(pa.binary()).to_pylist()])]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
