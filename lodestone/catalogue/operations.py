@@ -159,3 +159,63 @@ def corpus_stats(spark, sf_dir):
 @query("SELECT event_id, json_keys(props) AS keys FROM events")
 def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("keys"))
+
+
+@query("SELECT p_partkey AS id, '8.' || p_partkey % 5 || '.rc1' AS cann, 'dev' || p_partkey % 3 AS soc, CASE WHEN p_partkey % 2 = 0 THEN '3.' || p_partkey % 4 + 9 ELSE '' END AS python FROM part")
+def env_list_extract(spark, sf_dir):
+    """Versions in the environment of images."""
+    from ..operators.companion import environment_versions
+
+    n = lambda m, add=0: (F.col("p_partkey") % m + add).cast("string")
+    env = F.array(F.lit("HOME=/root"), F.concat(F.lit("SOC_VERSION=dev"), n(3)), F.concat(F.lit("TOOL=/usr/cann-8."), n(5), F.lit(".rc1/lib")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("PATH=/opt/python3."), n(4, 9))).otherwise("PATH=/bin"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), environment_versions(env).alias("v")).select("id", "v.*")
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '0.' || p_partkey % 7 || '.1' WHEN 1 THEN '0.' || p_partkey % 5 || '.2' ELSE '0.3.' || p_partkey % 4 END AS version, (['upstream', 'notes', 'tag'])[p_partkey % 3 + 1] AS source FROM part")
+def release_notes_version(spark, sf_dir):
+    """The version of another component that release notes name, and where it was found."""
+    from ..operators.companion import noted_version
+
+    n = lambda m: (F.col("p_partkey") % m).cast("string")
+    notes = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("engine 9.9.9; upstream Engine v0."), n(7), F.lit(".1"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("works with engine 0."), n(5), F.lit(".2"))).otherwise("none")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), noted_version(notes, F.concat(F.lit("v0.3."), n(4), F.lit("rc1")), "engine").alias("v")).select("id", "v.*")
+
+
+@query("SELECT doc_id AS item_ref, 'unverified' AS category FROM documents WHERE doc_id % 4 = 1 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'title' FROM documents WHERE doc_id % 5 = 2 AND doc_id % 3 <> 0")
+def review_seeds(spark, sf_dir):
+    """Unverified documents and marked titles that the queue doesn't have yet; a second run adds nothing."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 1, "unverified").otherwise("tested").alias("verification"), F.when(F.col("doc_id") % 5 == 2, "[待审核] a").otherwise("b").alias("title"))
+    new = docs.where("verification = 'unverified'").select(F.lit("unverified").alias("category"), F.col("doc_id").alias("item_ref")).unionByName(docs.where(F.col("title").rlike("待审核|待修改")).select(F.lit("title").alias("category"), F.col("doc_id").alias("item_ref")))
+    return review.added(new, new.where("item_ref % 3 = 0"))
+
+
+@query("SELECT doc_id, substr(text, 1, 500) AS snippet FROM documents")
+def result_snippets(spark, sf_dir):
+    return search.search_result(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("SELECT page_id, '| url | n |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(replace(url, '|', '\\|'), chr(10), ' ') || ' |  |' AS body FROM pages")
+def table_to_markdown(spark, sf_dir):
+    from ..sources.registry import markdown_table
+
+    rows = F.array(F.array(F.lit("url"), F.lit("n")), F.array("url"))
+    return table(spark, sf_dir, "pages").select("page_id", markdown_table(rows).alias("body"))
+
+
+@query("SELECT page_id, 'src/p' || page_id || '.py' AS path FROM pages WHERE page_id % 4 = 0")
+def indexed_paths(spark, sf_dir):
+    """Paths in indexed folders, of indexed kinds, outside excluded folders."""
+    from ..operators.code import indexed_sources
+
+    k = F.col("page_id")
+    path = F.when(k % 4 == 0, F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py"))).when(k % 4 == 1, F.lit("src/tests/a.py")).when(k % 4 == 2, F.lit("docs/x.py")).otherwise("src/readme.txt")
+    return indexed_sources(table(spark, sf_dir, "pages").select("page_id", path.alias("path")), ["src"])
+
+
+@query("WITH f AS (SELECT doc_id, doc_id % 10 || '.png' AS file, sha256(text) AS sha, first_value(sha256(text)) OVER (PARTITION BY doc_id % 10 ORDER BY doc_id::VARCHAR) AS f FROM documents) SELECT doc_id::VARCHAR || '/' || file AS path, sha, CASE WHEN sha = f THEN file ELSE replace(file, '.png', '') || '.' || substr(sha, 1, 12) || '.png' END AS name FROM f")
+def asset_copies(spark, sf_dir):
+    """Documents as files of ten names: equal ones share a name, others get their hash."""
+    from ..sources.registry import asset_names
+
+    docs = table(spark, sf_dir, "documents")
+    return asset_names(docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("/"), (F.col("doc_id") % 10).cast("string"), F.lit(".png")).alias("path"), F.encode("text", "UTF-8").alias("content")))

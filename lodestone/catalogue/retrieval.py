@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chunking, fulltext, vectors
+from ..operators.stored import stored
 from ..functions.text import search_tokens
 from .registry import registry, table
 
@@ -46,7 +47,7 @@ def _items(spark, sf_dir, words):
 
 def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return fulltext.postings(docs, "doc_id", "text"), fulltext.token_lengths(docs, "doc_id", "text")
+    return stored(fulltext.postings(docs, "doc_id", "text"), "postings", "token"), stored(fulltext.token_lengths(docs, "doc_id", "text"), "lengths")
 
 
 _RANK = """
@@ -222,7 +223,7 @@ def hybrid_topk_confidence(spark, sf_dir):
     index, lengths = _index(spark, sf_dir)
     docs = derived_documents(spark, sf_dir).drop("text")
     chunks = docs.select("chunk_id", "doc_id")
-    found = fulltext.phrase_places(index, _one_word(spark, sf_dir)).select("query_id").distinct()
+    found = stored(fulltext.phrase_places(index, _one_word(spark, sf_dir)), "places").select("query_id").distinct()
     queries = _one_word(spark, sf_dir).join(found, "query_id", "left_semi")
     hits = hybrid_search(chunks, docs.drop("chunk_id"), index, lengths, queries, F.lit(NOW).cast("timestamp"), F.lit("0.5.0"))
     return hits.select("query_id", "doc_id", F.round("final", 6).alias("final"), "resolved")

@@ -88,3 +88,23 @@ def modes(observed: DataFrame) -> DataFrame:
 def representatives(tags: DataFrame) -> DataFrame:
     """base, tag, n of tags (base, tag): the one of the base's own name, else the lowest."""
     return tags.groupBy("base").agg(F.coalesce(F.max(F.when(F.col("tag") == F.col("base"), F.col("tag"))), F.min("tag")).alias("tag"), F.count("*").alias("n"))
+
+
+#: Versions and devices in the environment of a container image.
+ENVIRONMENT = {"cann": r"(?i)cann[^0-9]*(\d+\.\d+(?:\.\d+)?(?:\.?rc\d+)?)", "soc": r"^SOC_VERSION=(\S+)", "python": r"(?i)python[-/]?(\d+\.\d+(?:\.\d+)?)"}
+
+
+def environment_versions(env, patterns=None):
+    """struct of the first match of each pattern in an array of settings; empty where there is none."""
+    first = lambda p: F.coalesce(F.get(F.filter(F.transform(env, lambda e: F.regexp_extract(e, p, 1)), lambda v: v != ""), F.lit(0)), F.lit(""))
+    return F.struct(*[first(p).alias(k) for k, p in (patterns or ENVIRONMENT).items()])
+
+
+def noted_version(notes, tag, component: str):
+    """struct(version, source): what release notes say goes with a release (upstream, else anywhere), else the tag's own base version."""
+    name = "".join("\\" + ch if not ch.isalnum() else ch for ch in component)
+    upstream = F.nullif(F.regexp_extract(notes, rf"(?i)upstream\s+{name}\s+v?(\d+\.\d+\.\d+)", 1), F.lit(""))
+    anywhere = F.nullif(F.regexp_extract(notes, rf"(?i)\b{name}\s+v?(\d+\.\d+\.\d+)", 1), F.lit(""))
+    own = F.nullif(F.regexp_extract(tag, r"^v?(\d+\.\d+\.\d+)", 1), F.lit(""))
+    source = F.when(upstream.isNotNull(), "upstream").when(anywhere.isNotNull(), "notes").when(own.isNotNull(), "tag").otherwise("")
+    return F.struct(F.coalesce(upstream, anywhere, own, F.lit("")).alias("version"), source.alias("source"))

@@ -1 +1 @@
-"""Query entry points: functions of DataFrames, without writes."""
+"""Query entry points: functions of DataFrames."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -11,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
-
-
-def _shared(spark: SparkSession) -> str:
-    """The shared folder of the cluster, or where it names none, one of this machine's."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")).rstrip("/")
+from ..operators.stored import shared_folder
 
 
 class Store:
@@ -53,7 +47,7 @@ def ingest_stream(spark: SparkSession, files: str, schema, store: Store, checkpo
 
 def run_available(spark: SparkSession, path: str, key: str, embed: Sequence[str], every: Sequence[str]) -> DataFrame:
     """The stored rows (key and hashes) after a stream has taken in all files under ``path``."""
-    base = f"{_shared(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     store = Store(spark, f"{base}/store")
     schema = spark.read.parquet(path).schema
     ingest_stream(spark, path, schema, store, f"{base}/checkpoint", key, embed, every).awaitTermination()
