@@ -35,6 +35,8 @@ from .shingles import buffers, shingles, words
 
 #: Bits of the signatures, and the sizes from which sets have the second and the third.
 WIDTHS, WIDE_FROM = (512, 4096, 32768), (800, 8000)
+#: Levels of the signatures that are sent.
+SENT = 2
 #: Shingles that a tile may hold before it is cut.
 TILE = 4_000_000
 #: Bits of the bitmap of shared keys at most.
@@ -109,7 +111,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, key_b
                 ids, sets = _sets(part, k)
                 keys, digests, signs = [], [], []
                 for s in sets:
-                    signs.append(signature(s) if len(s) else None)
+                    signs.append(signature(s, SENT) if len(s) else None)
                     digests.append(_digest(s) if len(s) else (None, None))
                     take = len(s) - _least_overlap(len(s), percent) + 1 if len(s) else 0
                     if len(often) and take:
@@ -125,9 +127,12 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, key_b
     return docs.mapInArrow(released(run), "doc_id bigint, n bigint, hi bigint, lo bigint, keys array<bigint>, sign binary")
 
 
-def signature(s: np.ndarray) -> bytes:
-    """A bitmap as wide as the set's size asks for; a bit says whether an odd number of shingles falls on it."""
-    bits = WIDTHS[int(np.searchsorted(WIDE_FROM, len(s), side="right"))]
+def signature(s: np.ndarray, levels: int = len(WIDTHS)) -> bytes:
+    """A bitmap as wide as the set's size asks for; a bit says whether an odd number of shingles falls on it.
+
+    What is sent with every key's tile has two levels; where the sets themselves are, the widest costs nothing more.
+    """
+    bits = WIDTHS[min(int(np.searchsorted(WIDE_FROM, len(s), side="right")), levels - 1)]
     odd = np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
@@ -208,14 +213,16 @@ def _placed(members: DataFrame, percent: int) -> DataFrame:
     to its own band and as a smaller partner to the next, and each band into pairs of blocks.
     """
     heavy = members.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > TILE).select("tile", F.ceil(F.col("total") / TILE).cast("int").alias("blocks"))
-    split = members.join(heavy, "tile", "left")
+    heavy, own = materialise(heavy, "heavy"), members.columns
+    if not heavy.limit(1).count():
+        rows = members.select(*own, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+        return rows.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "n", "rep")
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / percent))).cast("int")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.named_struct(F.lit("i"), F.least(block, j), F.lit("j"), F.greatest(block, j)))
-    own = members.columns
-    whole = split.where("blocks is null").select(*own, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"))
-    cut = split.where("blocks is not null").select(*own, F.explode(F.array(band, band + 1)).alias("band"), pairs.alias("pairs"))
-    rows = whole.union(cut.select(*own, "band", F.explode("pairs").alias("p")).select(*own, "band", "p.i", "p.j"))
+    cell = lambda b, i, j: F.named_struct(F.lit("band"), b, F.lit("i"), i, F.lit("j"), j)
+    pairs = lambda b: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: cell(b, F.least(block, j), F.greatest(block, j)))
+    cells = F.when(F.col("blocks").isNull(), F.array(cell(F.lit(0), F.lit(0), F.lit(0)))).otherwise(F.concat(pairs(band), pairs(band + 1)))
+    rows = members.join(heavy, "tile", "left").select(*own, F.explode(cells).alias("c")).select(*own, "c.band", "c.i", "c.j")
     return rows.repartition("tile", "band", "i", "j").sortWithinPartitions("tile", "band", "i", "j", "n", "rep")
 
 
