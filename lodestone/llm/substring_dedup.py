@@ -157,12 +157,16 @@ def _marked(batch: list[tuple[int, int, bytes]], least: int) -> Iterator[tuple[i
 def _covered(stretches: DataFrame, least: int) -> DataFrame:
     """row, start, end of what stands earlier, as each tile sees it."""
     heavy = stretches.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > TILE).select("tile", F.ceil(2 * F.col("total") / TILE).cast("int").alias("blocks"))
-    split = stretches.join(heavy, "tile", "left")
-    block = F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.named_struct(F.lit("i"), F.least(block, j), F.lit("j"), F.greatest(block, j)))
-    whole = split.where("blocks is null").select("tile", F.lit(0).alias("i"), F.lit(0).alias("j"), "row", "start", "packed")
-    cut = split.where("blocks is not null").select("tile", F.explode(pairs).alias("p"), "row", "start", "packed").select("tile", "p.i", "p.j", "row", "start", "packed")
-    rows = whole.union(cut).repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
+    heavy, own = materialise(heavy, "heavy"), ("tile", "row", "start", "packed")
+    if heavy.limit(1).count():
+        block = F.pmod(F.xxhash64("row", "start"), F.col("blocks")).cast("int")
+        cell = lambda i, j: F.named_struct(F.lit("i"), i, F.lit("j"), j)
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: cell(F.least(block, j), F.greatest(block, j)))
+        cells = F.when(F.col("blocks").isNull(), F.array(cell(F.lit(0), F.lit(0)))).otherwise(pairs)
+        rows = stretches.join(heavy, "tile", "left").select(*own, F.explode(cells).alias("c")).select(*own, "c.i", "c.j")
+    else:
+        rows = stretches.select(*own, F.lit(0).alias("i"), F.lit(0).alias("j"))
+    rows = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
 
     def run(batches):
         import zstandard
