@@ -124,7 +124,7 @@ def symbol_extract(spark, sf_dir):
     return _table(spark, sf_dir)
 
 
-@query(f"WITH {_NAMES} SELECT id, CASE id % 4 WHEN 0 THEN 'dispatch_gather' || id // 1 * 0 + id % 5 WHEN 1 THEN 'npu_moe_combine' || id % 6 ELSE name END AS norm FROM names".replace("id // 1 * 0 + id % 5", "id % 5"))
+@query(f"WITH {_NAMES} SELECT id, CASE id % 4 WHEN 0 THEN 'dispatch_gather' || id % 5 WHEN 1 THEN 'npu_moe_combine' || id % 6 ELSE name END AS norm FROM names")
 def symbol_normalize(spark, sf_dir):
     return _names(spark, sf_dir).select("id", symbols.normalised(F.col("name")).alias("norm"))
 

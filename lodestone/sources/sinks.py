@@ -40,6 +40,6 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
 def export_json(docs: DataFrame, path: str) -> None:
     """JSON lines; line separators inside a text are escaped, so a document is a line for every reader."""
     line = F.to_json(F.struct("*"))
-    for ch in (" ", " ", "\u0085"):
+    for ch in ("\u2028", "\u2029", "\u0085"):
         line = F.replace(line, F.lit(ch), F.lit(f"\\u{ord(ch):04x}"))
     docs.select(line.alias("value")).write.mode("overwrite").text(path)

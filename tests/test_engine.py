@@ -161,7 +161,7 @@ def test_sources(spark, tmp_path):
 
     for kind in ("issues", "prs", "comments"):
         (tmp_path / kind).mkdir()
-    (tmp_path / "issues/1.json").write_text(json.dumps({"number": 1, "title": "T", "body": "B C", "labels": [{"name": "v0.2"}], "state": "open", "created_at": "2026-01-01T00:00:00Z"}))
+    (tmp_path / "issues/1.json").write_text(json.dumps({"number": 1, "title": "T", "body": "B\u2028C", "labels": [{"name": "v0.2"}], "state": "open", "created_at": "2026-01-01T00:00:00Z"}))
     (tmp_path / "prs/2.json").write_text(json.dumps({"number": 2, "title": "P", "body": "", "labels": [], "state": "closed", "pull_request": {"merged": True, "merged_at": "2026-01-02T00:00:00Z"}}))
     (tmp_path / "comments/1.json").write_text(json.dumps([{"user": {"login": "me"}, "created_at": "t", "body": "hi"}]))
     (tmp_path / "md").mkdir()
