@@ -33,10 +33,10 @@ from .common import bitmap, id_text, materialise, mix64, packed_texts, released,
 from .components import connected_components
 from .shingles import buffers, shingles, words
 
-#: Bits of the signatures, and the sizes from which sets have the second and the third.
-WIDTHS, WIDE_FROM = (512, 4096, 32768), (800, 8000)
+#: Bits of the signatures, and the sizes from which sets have the next wider one: enough to tell unlike sets apart.
+WIDTHS, WIDE_FROM = (512, 1024, 2048, 4096, 32768), (800, 1800, 3600, 7200)
 #: Levels of the signatures that are sent.
-SENT = 2
+SENT = 4
 #: Shingles that a tile may hold before it is cut.
 TILE = 4_000_000
 #: Bits of the bitmap of shared keys at most.
@@ -130,7 +130,7 @@ def _profiles(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, key_b
 def signature(s: np.ndarray, levels: int = len(WIDTHS)) -> bytes:
     """A bitmap as wide as the set's size asks for; a bit says whether an odd number of shingles falls on it.
 
-    What is sent with every key's tile has two levels; where the sets themselves are, the widest costs nothing more.
+    What is sent to every tile has SENT levels; where the sets themselves are, the widest costs nothing more.
     """
     bits = WIDTHS[min(int(np.searchsorted(WIDE_FROM, len(s), side="right")), levels - 1)]
     odd = np.bincount((mix64(s) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) & 1
@@ -145,7 +145,7 @@ class Near:
         self.sizes = np.zeros(16, np.int64)
         # of each width the bitmaps of the sets that have it, and the first such set
         self.bitmaps = [np.zeros((16, w // 64), np.uint64) if not k else np.zeros((0, w // 64), np.uint64) for k, w in enumerate(WIDTHS)]
-        self.since = [0, None, None]
+        self.since = [0, *[None] * (len(WIDTHS) - 1)]
 
     def _bounded(self, rows: np.ndarray, size: int, differing: np.ndarray) -> np.ndarray:
         """The rows whose overlap, bounded from above by the count of differing bits, can be enough."""
