@@ -16,7 +16,8 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, released, text_chunks
 
+#: Segments that are encoded as one text.
+JOINED = 500
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 SCHEMA = "doc_id bigint, n_chars bigint, n_tokens bigint, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
@@ -121,7 +124,7 @@ class Model:
 class Codec:
     """Encodes and decodes; keeps the ids of segments that it has met, ``keep`` at most."""
 
-    def __init__(self, data: bytes, keep: int = 300_000):
+    def __init__(self, data: bytes, keep: int = 400_000):
         import sentencepiece
 
         self.model = Model(data)
@@ -130,8 +133,11 @@ class Codec:
         self.off: set[str] = set()
         self.keep = keep
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+        long = any("\n" in p for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+        ends = self.reference.encode("\n\n")
+        self.line_end = ends[-1] if self.model.kind != 1 and not long and ends[-2:] == [ends[-1]] * 2 and not self.model.trim else None
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
-        self.unk_bytes = " ⁇ ".encode()
+        self.bytes_of[self.model.unk] = " ⁇ ".encode()
 
     def normalise(self, text: str) -> str:
         if self.normal is not None:
@@ -140,15 +146,41 @@ class Codec:
             text = " " + text
         return text.replace(" ", MARK) if self.model.escape else text
 
-    def _reference(self, segments: list[str]) -> list[list[int]]:
-        """A segment that starts with a marker is a text of its own less its first space; others follow a line end."""
+    def _apart(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of segments by tokenizers and by sentencepiece, each segment on its own."""
+        got = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
         if not (self.model.dummy_prefix and self.model.escape):
-            return self.reference.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
+            return [g.ids for g in got], self.reference.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
+        # a segment that starts with a marker is a text of its own less its first space; others follow a line end
         plain = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in segments]
         skip = len(self.reference.encode("\n"))
-        got = self.reference.encode(plain, num_threads=1)
+        theirs = self.reference.encode(plain, num_threads=1)
         # one marker alone is the prefix of an empty text, which the reference leaves out
-        return [g[skip:] if s[0] != MARK else g if s != MARK else [self.model.ids[MARK]] for s, g in zip(segments, got, strict=True)]
+        return [g.ids for g in got], [g[skip:] if s[0] != MARK else g if s != MARK else [self.model.ids[MARK]] for s, g in zip(segments, theirs, strict=True)]
+
+    def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The same, many segments at a time, joined by line ends where no piece reaches across one."""
+        if self.line_end is None or not self.model.escape:
+            return self._apart(segments)
+        one = [s for s in segments if "\n" not in s]
+        texts = ["\n" + "\n".join(one[i : i + JOINED]) + "\n" for i in range(0, len(one), JOINED)]
+        mine = self._between([g.ids for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        theirs = self._between(self.reference.encode([t.replace(MARK, " ") for t in texts], num_threads=1))
+        if len(one) < len(segments):
+            rest = [s for s in segments if "\n" in s]
+            a, b = self._apart(rest)
+            found = dict(zip(one + rest, zip(mine + a, theirs + b, strict=True), strict=True))
+            return [found[s][0] for s in segments], [found[s][1] for s in segments]
+        return mine, theirs
+
+    def _between(self, lists: list[list[int]]) -> list[list[int]]:
+        """What stands between two line ends."""
+        out = []
+        for ids in lists:
+            values = np.array(ids, np.int32)
+            at = np.flatnonzero(values == self.line_end).tolist()
+            out += [ids[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
+        return out
 
     def learn(self, segments: set[str]) -> None:
         new = [s for s in segments if s not in self.known]
@@ -156,27 +188,23 @@ class Codec:
             return
         if len(self.known) + len(new) > self.keep:
             self.known, self.off, new = {}, set(), list(segments)
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        for s, mine, theirs in zip(new, got, self._reference(new), strict=True):
-            if mine.ids != theirs:
+        for s, mine, theirs in zip(new, *self._ids(new), strict=True):
+            if mine != theirs:
                 self.off.add(s)
             self.known[s] = tuple(theirs)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], bool]]:
+    def encode(self, texts: list[str]) -> Iterator[tuple[array, bool]]:
         """Ids of each text, and whether tokenizers and sentencepiece agree on all of its segments."""
         cut = [self.segments.findall(self.normalise(t)) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        get = self.known.__getitem__
+        met = set(chain.from_iterable(cut))
+        self.learn(met)
+        get = {s: self.known[s] for s in met}.__getitem__  # small enough for the processor's cache
         for parts in cut:
-            yield list(chain.from_iterable(map(get, parts))), not self.off or self.off.isdisjoint(parts)
+            yield array("i", chain.from_iterable(map(get, parts))), not self.off or self.off.isdisjoint(parts)
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
-        if self.model.unk in ids:
-            data = b"".join(self.unk_bytes if i == self.model.unk else self.bytes_of[i] for i in ids)
-        else:
-            data = b"".join(map(self.bytes_of.__getitem__, ids))
-        text = data.decode("utf-8", "replace")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
@@ -195,7 +223,7 @@ def _rows(c: Codec, ids: list, texts: list[str | None]) -> pa.RecordBatch:
     plain = [t or "" for t in texts]
     offsets, flat, digests, same, parity = [0], [], [], [], []
     for text, (tokens, agree) in zip(plain, c.encode(plain), strict=True):
-        values = np.array(tokens, dtype=np.int32)
+        values = np.frombuffer(tokens, np.int32)
         flat.append(values)
         offsets.append(offsets[-1] + len(values))
         digests.append(hashlib.sha256(values.tobytes()).hexdigest())
