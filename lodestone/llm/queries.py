@@ -48,7 +48,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    return lm_score.lm_score(docs, lm_score.train_models(docs, labels.where("quality = 1")))
+    return lm_score.corpus_scores(docs, labels.where("quality = 1"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,6 +153,51 @@ def test_language_models(spark, messy):
     assert same.where("abs(score) > 1e-6").count() == 0
 
 
+@pytest.mark.parametrize("chunk", [7, 1 << 21])
+def test_language_models_of_all_words(spark, messy, monkeypatch, chunk):
+    monkeypatch.setattr(lm_score, "CHUNK_WORDS", chunk)
+    rare = [(100, "one rareaax two"), (101, "one rareaax two"), (102, "one rarebbx two")]
+    rows = messy + rare
+    docs = frame(spark, rows).repartition(3)
+    targets = spark.createDataFrame([(1,), (1,), (None,), (5,), (20,), (100,), (999,)], "doc_id long")
+    got = lm_score.corpus_scores(docs, targets).collect()
+    texts = [[b"", *(text or "").encode().lower().split()] for _, text in rows]
+    is_target = [d in (1, 5, 20, 100) for d, _ in rows]
+    every = [list(zip(w, w[1:], strict=False)) for w in texts]
+    size = len({b for x in every for _, b in x})
+
+    def model(chosen, scale):
+        pairs = Counter(p for x in chosen for p in x)
+        single, history, kinds = Counter(), Counter(), Counter(a for a, _ in pairs)
+        for (a, b), n in pairs.items():
+            single[b] += n * scale
+            history[a] += n * scale
+        total = sum(single.values())
+
+        def loss(x):
+            out = 0.0
+            for a, b in x:
+                low = (single[b] + 1) / (total + size)
+                seen = history[a] + kinds[a]
+                out -= math.log((pairs[a, b] * scale + kinds[a] * low) / seen if seen else low)
+            return out / max(len(x), 1)
+
+        return loss, sum(pairs.values())
+
+    chosen = [x for x, t in zip(every, is_target, strict=True) if t]
+    target, n = model(chosen, 1)
+    background, _ = model(every, n / sum(map(len, every)))
+    key = lambda x: (x[0] is not None, x[0] or 0, *x[1:])
+    want = sorted(((d, len(x), target(x), background(x)) for (d, _), x in zip(rows, every, strict=True)), key=key)
+    have = sorted(((r.doc_id, r.n_tokens, r.target_loss, r.background_loss) for r in got), key=key)
+    for a, b in zip(have, want, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-9)
+    by_id = {r.doc_id: r.target_loss for r in got}
+    assert by_id[100] == by_id[101] < by_id[102]  # words of one length and last letter are told apart
+    assert lm_score.corpus_scores(frame(spark, []), targets).count() == 0
+    assert lm_score.corpus_scores(docs, targets.where("false")).where("abs(score) > 1e-9").count() == 0
+
+
 TEXTS = ["", " ", "  two", "a\n b", "\n\n", "   x   \n  y ", "\tq", "日本\u0000 é\U0001f600 " + " " * 40 + "z", "Hello World, naïve façade 12345", "a" * 300]
 
 
