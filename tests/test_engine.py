@@ -120,6 +120,28 @@ def test_signatures(spark):
     assert one(spark, signatures.extract_signatures(F.lit(None).cast("string")))[0] == []
 
 
+def test_signature_search_takes_every_twentieth(spark, sf_dir):
+    from lodestone.catalogue import texts
+
+    reports = texts._reports(spark, sf_dir)
+    docs = reports.select("id", "title", search_tokens(F.col("text")).alias("w"), signatures.extract_signatures(F.col("text")).alias("s")).orderBy("id")
+    found = docs.select("id", "title", "w", F.transform("s", lambda s: F.struct(s["kind"], s["text"], s["weight"], search_tokens(s["text"]))).alias("s")).collect()
+    padded = {r.id: f" {' '.join(r.w)} " for r in found}
+    want = set()
+    for q in (r for r in found if r.id % 20 == 0):
+        scores, held = {}, {}
+        for _, text, weight, tokens in q.s:
+            hits = [r for r in found if tokens and f" {' '.join(tokens)} " in padded[r.id]][:30]
+            for r in hits:
+                scores[r.id] = scores.get(r.id, 0) + weight * (1.5 if text in (r.title or "").lower() else 1)
+                held.setdefault(r.id, set()).add(text)
+        best = sorted(scores, key=lambda d: (-round(scores[d], 3), d))[:15]
+        want |= {(q.id, d, round(scores[d], 3), tuple(sorted(held[d])), n + 1) for n, d in enumerate(best)}
+    got = texts.signature_search_scores(spark, sf_dir).collect()
+    assert {(r.query_id, r.doc_id, r.score, tuple(r.signatures), r.place) for r in got} == want and len(got) == len(want)
+    assert {r.query_id for r in got} == {r.id for r in found if r.id % 20 == 0}
+
+
 def test_references(spark):
     text = "Fixes #12, closes issue #7 and resolves own/other#9; fixed in #3"
     r = one(spark, references.fix_references(F.lit(text), F.lit("a/b")), references.fixed_by_references(F.lit("fixed by #5, fixed in #6"), F.lit("a/b")), references.source_id(F.lit("a/b"), "pr", F.lit(4)))
