@@ -217,18 +217,30 @@ SELECT query_id, doc_id, round(final, 6) AS final, closed AS resolved FROM score
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(late, false)::INT, final DESC, f, doc_id) <= 10"""
 )
 def hybrid_topk_confidence(spark, sf_dir):
-    """Full-text search of each benchmark item's first two words, weighted by confidence: ten documents each."""
-    from ..plans.search import hybrid_search
+    """Full-text search of the first two words of each benchmark item with a phrase hit, weighted by confidence: ten documents each.
 
+    The SQL has no fallback to prefixes; ``hybrid_topk_all_items`` answers every item.
+    """
     index, lengths = _index(spark, sf_dir)
+    found = stored(fulltext.phrase_places(index, _one_word(spark, sf_dir)), "places").select("query_id").distinct()
+    return _hybrid(spark, sf_dir, index, lengths, _one_word(spark, sf_dir).join(found, "query_id", "left_semi"))
+
+
+def _hybrid(spark, sf_dir, index, lengths, queries):
+    from ..plans.search import hybrid_search
+
     docs = derived_documents(spark, sf_dir).drop("text")
     chunks = docs.select("chunk_id", "doc_id")
-    found = stored(fulltext.phrase_places(index, _one_word(spark, sf_dir)), "places").select("query_id").distinct()
-    queries = _one_word(spark, sf_dir).join(found, "query_id", "left_semi")
     hits = hybrid_search(chunks, docs.drop("chunk_id"), index, lengths, queries, F.lit(NOW).cast("timestamp"), F.lit("0.5.0"))
     return hits.select("query_id", "doc_id", F.round("final", 6).alias("final"), "resolved")
 
 
+@query()
+def hybrid_topk_all_items(spark, sf_dir):
+    """As ``hybrid_topk_confidence``, but of every benchmark item: those without a phrase hit fall back to prefixes."""
+    return _hybrid(spark, sf_dir, *_index(spark, sf_dir), _one_word(spark, sf_dir))
+
+
 @query(
     f"""
 WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),

@@ -142,6 +142,42 @@ def test_signature_search_takes_every_twentieth(spark, sf_dir):
     assert {r.query_id for r in got} == {r.id for r in found if r.id % 20 == 0}
 
 
+def test_hybrid_answers_every_item(spark, sf_dir):
+    import math
+
+    from lodestone.catalogue import retrieval
+
+    words = {r.doc_id: r.w for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", search_tokens(F.col("text")).alias("w")).collect()}
+    mean = sum(map(len, words.values())) / len(words)
+    docs = retrieval.derived_documents(spark, sf_dir).withColumn("sim", F.lit(1.0))
+    weight = {r.doc_id: (r.final, r.resolved) for r in hybrid.weighted(docs, F.lit(retrieval.NOW).cast("timestamp"), F.lit("0.5.0")).collect()}
+
+    def ranks(tf):
+        idf = math.log((len(words) - len(tf) + 0.5) / (len(tf) + 0.5))
+        return {d: (idf if idf > 0 else 1e-6) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(words[d]) / mean)) for d, n in tf.items()}
+
+    def counts(hit):
+        return {d: n for d, w in words.items() if (n := sum(hit(w, i) for i in range(len(w))))}
+
+    want, fell_back = {}, set()
+    for r in retrieval._one_word(spark, sf_dir).collect():
+        rank = ranks(counts(lambda w, i, q=r.tokens: w[i : i + len(q)] == q))
+        if not rank:
+            fell_back.add(r.query_id)
+            for t in r.tokens:
+                for d, x in ranks(counts(lambda w, i, t=t: w[i].startswith(t))).items():
+                    rank[d] = rank.get(d, 0) + x
+        top = sorted(rank, key=lambda d: (-rank[d], d))[:50]
+        sim = {d: min(0.5, rank[d] / (rank[d] + 3)) for d in top}
+        late = max((round(sim[d], 4) for d in top if weight[d][1]), default=1) < 0.5
+        final = {d: sim[d] ** 0.6 * weight[d][0] for d in top}
+        best = sorted(top, key=lambda d: (late and weight[d][1], -final[d], top.index(d)))[:10]
+        want |= {(r.query_id, d): final[d] for d in best}
+    got = {(r.query_id, r.doc_id): r.final for r in retrieval.hybrid_topk_all_items(spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    assert fell_back & {q for q, _ in got}
+
+
 def test_references(spark):
     text = "Fixes #12, closes issue #7 and resolves own/other#9; fixed in #3"
     r = one(spark, references.fix_references(F.lit(text), F.lit("a/b")), references.fixed_by_references(F.lit("fixed by #5, fixed in #6"), F.lit("a/b")), references.source_id(F.lit("a/b"), "pr", F.lit(4)))
