@@ -1,22 +1,22 @@
 """SentencePiece encoding and decoding on the ``tokenizers`` library.
 
 The model's protobuf is parsed here and rebuilt as a ``tokenizers.Tokenizer``: normaliser (character map, space
-marker, dummy prefix), unigram scores or BPE merges, byte fallback. Texts are cut where no piece can reach across
-(before a run of markers, around characters that no longer piece holds); each different segment is encoded once per
-worker, all of a batch at once and multithreaded, and held against the ``sentencepiece`` library: where the two differ,
-the ids of ``sentencepiece`` are used and the row says so.
+marker, dummy prefix), unigram scores or BPE merges, byte fallback. Texts of BPE models are cut where no piece can reach
+across (before a run of markers, around line ends and tabs that no longer piece holds); each different segment is encoded
+once per worker, all new ones of a batch at once and multithreaded, and its ids are kept, of 16 MB of segments at most.
+Unigram models take whole texts. All ids are those of ``tokenizers``; the ``sentencepiece`` library encodes each new
+segment too, and ``parity`` tells whether both agree on all segments of a row.
 
 Only one row's data is ever needed at a time: there is no shuffle, a lost executor costs its own tasks.
 
-Defined cases: a null text has null ids and counts of zero; an empty text has no ids. Repeated rows are encoded each.
+Defined cases: ids of rows are longs or null. A null text has null ids and counts of zero; an empty text has no ids.
+Repeated rows are encoded each; texts may have any length; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
-from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -93,7 +93,8 @@ class Model:
 
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.trim:
-            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+            end = f"[ {MARK}]+" if self.escape else " +"  # a marker that the text has itself counts as a space at the end only
+            steps += [normalizers.Replace(Regex(p), r) for p, r in ((r"\A +", ""), (" {2,}", " "), (rf"{end}\z", ""))]
         return normalizers.Sequence(steps) if steps else None
 
     def tokenizer(self):
@@ -109,98 +110,153 @@ class Model:
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return out
 
-    def cut(self) -> re.Pattern:
-        """Matches the segments of a normalised text; no piece reaches across two of them."""
+    def alone(self) -> str | None:
+        """Line ends and tabs that no longer piece holds, or None where a piece may reach across the start of a word."""
         long = [p for p, _, kind in self.pieces if kind in (NORMAL, USER) and len(p) > 1]
-        if self.kind == 1 or not self.escape or any(MARK in p.lstrip(MARK) for p in long):
-            return re.compile(r".+", re.S)
-        alone = "".join(c for c in "\n\r\t" if not any(c in p for p in long))
-        if not alone:
-            return re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        c = re.escape(alone)
-        return re.compile(f"{MARK}*[^{MARK}{c}]+|{MARK}+|[{c}]")
+        known = lambda c: self.byte_fallback or c in self.ids  # noqa: E731  unknown characters in a row are one
+        if self.kind == 1 or not self.escape or not known(MARK) or any(MARK in p.lstrip(MARK) for p in long):
+            return None
+        return "".join(c for c in "\n\r\t" if known(c) and not any(c in p for p in long))
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of lists in a row, and how many each has."""
+    size = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum())), size
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run of ``size``."""
+    ends = np.cumsum(size)
+    return np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _alike(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the runs of a (of sizes n) are those of b (of sizes m)."""
+    same, k = n == m, np.where(n == m, n, 0)
+    off = np.concatenate([[0], np.cumsum(a[_spread(np.cumsum(n) - n, k)] != b[_spread(np.cumsum(m) - m, k)])])
+    return same & (np.diff(off[np.concatenate([[0], np.cumsum(k)])]) == 0)
 
 
 class Codec:
-    """Encodes and decodes; keeps the ids of segments that it has met, ``keep`` at most."""
+    """Encodes and decodes; keeps the ids of the segments that it has met, of ``keep`` bytes at most."""
 
-    def __init__(self, data: bytes, keep: int = 400_000):
+    def __init__(self, data: bytes, keep: int = 16 << 20):
         import sentencepiece
 
         self.model = Model(data)
-        self.tokenizer, self.normal, self.segments = self.model.tokenizer(), self.model.normaliser(), self.model.cut()
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.off: set[str] = set()
+        self.tokenizer, self.normal, self.alone = self.model.tokenizer(), self.model.normaliser(), self.model.alone()
         self.keep = keep
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
-        long = any("\n" in p for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
-        ends = self.reference.encode("\n\n")
-        self.line_end = ends[-1] if self.model.kind != 1 and not long and ends[-2:] == [ends[-1]] * 2 and not self.model.trim else None
+        self.line = len(self.reference.encode("\n"))
         self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
         self.bytes_of[self.model.unk] = " ⁇ ".encode()
+        self.pieces = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.piece_start = np.concatenate([[0], np.cumsum([len(b) for b in self.bytes_of])])
+        ends = self.tokenizer.encode("a\n", add_special_tokens=False).ids  # the id of a line end, where it is one and no other text has it
+        self.line_end = ends[-1] if self.alone and "\n" in self.alone and ends[-1] != self.model.unk and self.bytes_of[ends[-1]] == b"\n" else None
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty store: of each segment met its place; of each place the ids, whether they decode to it, whether both libraries agree."""
+        self.place: dict[str, int] = {}
+        self.held = 0
+        self.start, self.flat = np.zeros(1, np.int64), np.zeros(0, np.int32)
+        self.back, self.agree = np.zeros(0, bool), np.zeros(0, bool)
 
     def normalise(self, text: str) -> str:
+        """The text as the model sees it, with spaces for markers."""
         if self.normal is not None:
             text = self.normal.normalize_str(text)
         if self.model.dummy_prefix and text:
             text = " " + text
-        return text.replace(" ", MARK) if self.model.escape else text
-
-    def _apart(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of segments by tokenizers and by sentencepiece, each segment on its own."""
-        got = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        if not (self.model.dummy_prefix and self.model.escape):
-            return [g.ids for g in got], self.reference.encode([s.replace(MARK, " ") for s in segments], num_threads=1)
-        # a segment that starts with a marker is a text of its own less its first space; others follow a line end
-        plain = [s[1:].replace(MARK, " ") if s[0] == MARK else "\n" + s for s in segments]
-        skip = len(self.reference.encode("\n"))
-        theirs = self.reference.encode(plain, num_threads=1)
-        # one marker alone is the prefix of an empty text, which the reference leaves out
-        return [g.ids for g in got], [g[skip:] if s[0] != MARK else g if s != MARK else [self.model.ids[MARK]] for s, g in zip(segments, theirs, strict=True)]
-
-    def _ids(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """The same, many segments at a time, joined by line ends where no piece reaches across one."""
-        if self.line_end is None or not self.model.escape:
-            return self._apart(segments)
-        one = [s for s in segments if "\n" not in s]
-        texts = ["\n" + "\n".join(one[i : i + JOINED]) + "\n" for i in range(0, len(one), JOINED)]
-        mine = self._between([g.ids for g in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-        theirs = self._between(self.reference.encode([t.replace(MARK, " ") for t in texts], num_threads=1))
-        if len(one) < len(segments):
-            rest = [s for s in segments if "\n" in s]
-            a, b = self._apart(rest)
-            found = dict(zip(one + rest, zip(mine + a, theirs + b, strict=True), strict=True))
-            return [found[s][0] for s in segments], [found[s][1] for s in segments]
-        return mine, theirs
-
-    def _between(self, lists: list[list[int]]) -> list[list[int]]:
-        """What stands between two line ends."""
-        out = []
-        for ids in lists:
-            values = np.array(ids, np.int32)
-            at = np.flatnonzero(values == self.line_end).tolist()
-            out += [ids[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
-        return out
-
-    def learn(self, segments: set[str]) -> None:
-        new = [s for s in segments if s not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > self.keep:
-            self.known, self.off, new = {}, set(), list(segments)
-        for s, mine, theirs in zip(new, *self._ids(new), strict=True):
-            if mine != theirs:
-                self.off.add(s)
-            self.known[s] = tuple(theirs)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[array, bool]]:
-        """Ids of each text, and whether tokenizers and sentencepiece agree on all of its segments."""
-        cut = [self.segments.findall(self.normalise(t)) for t in texts]
-        met = set(chain.from_iterable(cut))
-        self.learn(met)
-        get = {s: self.known[s] for s in met}.__getitem__  # small enough for the processor's cache
-        for parts in cut:
-            yield array("i", chain.from_iterable(map(get, parts))), not self.off or self.off.isdisjoint(parts)
+        return text.replace(MARK, " ") if self.model.escape else text
+
+    def _cuts(self, data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Where the segments of the texts that stand between ``rows`` in ``data`` start; no piece reaches across a cut."""
+        begins = rows[:-1][np.diff(rows) > 0]
+        if self.alone is None or not len(data):
+            return begins
+        new = data == 32
+        new[1:] &= data[:-1] != 32
+        for c in self.alone.encode():
+            new |= data == c
+            new[1:] |= data[:-1] == c
+        new[begins] = True
+        return np.flatnonzero(new)
+
+    def by_tokenizers(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments in a row, and how many each has; encoded multithreaded, each as if it stood alone."""
+        marked = [s.replace(" ", MARK) for s in segments] if self.model.escape else segments
+        if self.line_end is None or any("\n" in s for s in marked):
+            return _flat([e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)])
+        joined = ["\n".join(marked[i : i + JOINED]) + "\n" for i in range(0, len(marked), JOINED)]
+        ids, _ = _flat([e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == self.line_end)
+        return ids[ids != self.line_end], np.diff(ends, prepend=-1) - 1
+
+    def by_sentencepiece(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the reference library, which puts a prefix before each text: one that a segment has is left off."""
+        if not self.model.dummy_prefix:
+            return _flat(self.reference.encode(segments, num_threads=1))
+        # markers alone would be trimmed, or left out as the prefix of an empty text: they get an end, whose ids are cut off
+        end = self.alone[:1] if self.alone else ""
+        plain = [s[1:] if s[0] == " " else "\n" + s for s in segments]
+        if self.model.trim and self.model.escape:  # spaces that are still there were markers in the text
+            plain = [p.replace(" ", MARK) for p in plain]
+        bare = [end and not s.strip(" ") for s in segments]
+        ids = self.reference.encode([p + end if b else p for p, b in zip(plain, bare, strict=True)], num_threads=1)
+        tail = len(self.reference.encode("a" + end)) - len(self.reference.encode("a"))
+        return _flat([g[: len(g) - tail] if b else g[self.line :] if s[0] != " " else g for s, g, b in zip(segments, ids, bare, strict=True)])
+
+    def _learn(self, segments: list[str]) -> None:
+        """Put segments into the store, those with line ends apart from the others."""
+        for some in ([s for s in segments if "\n" not in s], [s for s in segments if "\n" in s]):
+            if not some:
+                continue
+            self.place.update(zip(some, range(len(self.back), len(self.back) + len(some)), strict=True))
+            ids, size = self.by_tokenizers(some)
+            plain = [s.encode() for s in some]
+            self.held += sum(map(len, plain))
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, ids])
+            n = self.piece_start[ids + 1] - self.piece_start[ids]
+            made = self.pieces[_spread(self.piece_start[ids], n)]
+            long = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(size)])])
+            given = np.fromiter(map(len, plain), np.int64, len(plain))
+            self.back = np.append(self.back, _alike(made, long, np.frombuffer(b"".join(plain), np.uint8), given))
+            self.agree = np.append(self.agree, _alike(ids, size, *self.by_sentencepiece(some)))
+
+    def _places(self, different: list[str]) -> np.ndarray:
+        if self.held > self.keep:
+            self._forget()
+        new = [s for s in different if s not in self.place]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, different), np.int64, len(different))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids in a row, where each text's begin (and the last one's end), whether each is decoded to the same text, and
+        whether tokenizers and sentencepiece agree on all of its segments."""
+        normal = [self.normalise(t) for t in texts]
+        parts = [t.encode() for t in normal]
+        rows = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        buffer = b"".join(parts)
+        cuts = self._cuts(np.frombuffer(buffer, np.uint8), rows)
+        offsets = np.append(cuts, len(buffer)).astype(np.int64)
+        segments = pa.LargeStringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(buffer)).dictionary_encode()
+        place = self._places(segments.dictionary.to_pylist())[segments.indices.to_numpy()]
+        size = np.diff(self.start)[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[_spread(self.start[place], size)]
+        first = np.searchsorted(cuts, rows)
+        wrong = lambda ok: np.diff(np.concatenate([[0], np.cumsum(~ok[place])])[first]) > 0
+        begin = ends[first]
+        same, agree = ~wrong(self.back), ~wrong(self.agree)
+        prefix = " " if self.model.dummy_prefix else ""
+        for i in np.flatnonzero(~same | np.fromiter((bool(t) and n != prefix + t for n, t in zip(normal, texts, strict=True)), bool, len(texts))):
+            same[i] = self.decode(ids[begin[i] : begin[i + 1]].tolist()) == texts[i]
+        return ids, begin, same, agree
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids; bytes that aren't UTF-8 become replacement characters."""
@@ -219,21 +275,13 @@ def codec(data: bytes) -> Codec:
     return _CODECS[key]
 
 
-def _rows(c: Codec, ids: list, texts: list[str | None]) -> pa.RecordBatch:
+def _rows(c: Codec, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
     plain = [t or "" for t in texts]
-    offsets, flat, digests, same, parity = [0], [], [], [], []
-    for text, (tokens, agree) in zip(plain, c.encode(plain), strict=True):
-        values = np.frombuffer(tokens, np.int32)
-        flat.append(values)
-        offsets.append(offsets[-1] + len(values))
-        digests.append(hashlib.sha256(values.tobytes()).hexdigest())
-        same.append(c.decode(tokens) == text)
-        parity.append(agree)
-    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array([t is None for t in texts]))
-    sizes = np.diff(np.array(offsets, dtype=np.int64))
+    flat, begin, same, agree = c.encode(plain)
+    digests = [hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat), mask=pa.array([t is None for t in texts]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in plain], pa.int64()), pa.array(sizes), lists, pa.array(digests), pa.array(same), pa.array(parity)],
+        [ids.cast(pa.int64()), pa.array([len(t) for t in plain], pa.int64()), pa.array(np.diff(begin)), lists, pa.array(digests, pa.string()), pa.array(same), pa.array(agree)],
         names=["doc_id", "n_chars", "n_tokens", "ids", "ids_sha256", "round_trip", "parity"],
     )
 
@@ -251,7 +299,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
         c = codec(shared.value)
         for batch in batches:
             for part in text_chunks(batch, 1 << 20):
-                yield _rows(c, part.column(0).to_pylist(), part.column(1).to_pylist())
+                yield _rows(c, part.column(0), part.column(1).to_pylist())
 
     return id_text(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
 

@@ -6,9 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import boosted_trees, lm_score, quality_rules, sentencepiece_codec, toxicity
+from lodestone.llm import boosted_trees, lm_score, quality_rules, toxicity
 from lodestone.llm.gated_network import Network, tokens, windows
-from lodestone.llm.queries import PIECES
 
 from .conftest import frame
 
@@ -198,30 +197,6 @@ def test_language_models_of_all_words(spark, messy, monkeypatch, chunk):
     assert lm_score.corpus_scores(docs, targets.where("false")).where("abs(score) > 1e-9").count() == 0
 
 
-TEXTS = ["", " ", "  two", "a\n b", "\n\n", "   x   \n  y ", "\tq", "日本\u0000 é\U0001f600 " + " " * 40 + "z", "Hello World, naïve façade 12345", "a" * 300]
-
-
-def test_pieces(spark, messy):
-    import sentencepiece
-
-    rows = messy + [(100 + i, t) for i, t in enumerate(TEXTS)]
-    got = sentencepiece_codec.sentencepiece_encode(frame(spark, rows), PIECES)
-    reference = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    assert sorted(r.ids for r in got.where("ids is not null").collect()) == sorted(reference.encode(t) for _, t in rows if t is not None)
-    assert got.where("not round_trip").count() == 0 and got.where("ids is null").count() == sum(t is None for _, t in rows)
-    back = sentencepiece_codec.sentencepiece_decode(got, PIECES)
-    assert sorted((r.text for r in back.where("text is not null").collect())) == sorted(t for _, t in rows if t is not None)
-    assert sentencepiece_codec.sentencepiece_encode(frame(spark, []), PIECES).count() == 0
-
-
-@pytest.mark.parametrize("text", TEXTS)
-def test_codec_parity(text):
-    with open(PIECES, "rb") as f:
-        c = sentencepiece_codec.codec(f.read())
-    ids = next(c.encode([text]))[0]
-    assert list(ids) == c.reference.encode(text) and c.decode(ids) == text
-
-
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline as p
 
