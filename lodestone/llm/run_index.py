@@ -1,4 +1,10 @@
-"""A run-length index of a text: its Burrows-Wheeler transform as runs, sampled where runs begin and end."""
+"""A run-length index of a text: its Burrows-Wheeler transform as runs, sampled where runs begin and end.
+
+Of the suffix order only two text positions of each run are kept. Where a run goes on, the suffix before a position in
+order is the one before its predecessor in the text, one further: a step backwards within a run keeps neighbours
+neighbours. So neighbours and their matches stream along the text from the samples, a stretch between two samples at a
+time, and a repetitive text has few runs.
+"""
 
 from __future__ import annotations
 
@@ -42,36 +48,41 @@ def suffix_order(text: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 class RunIndex:
-    """The transform of ``text`` as runs of one byte, and the text positions at the first and last place of each run.
+    """The runs of the transform of ``text``: each one's byte and length, and the text positions of its first and last place.
 
-    The suffix order itself is only kept while it is built and read out in :meth:`matches`.
+    The suffix order is dropped once the runs are read off it.
     """
 
     def __init__(self, text: np.ndarray):
-        self.text = text
-        self.packed = packed(text)
-        self.order = suffix_order(text, self.packed)
-        last = text[self.order - 1]
-        head = np.ones(len(text), bool)
+        n = len(text)
+        key = packed(text)
+        order = suffix_order(text, key)
+        last = text[order - 1]
+        head = np.ones(n, bool)
         head[1:] = last[1:] != last[:-1]
-        whole = np.flatnonzero(self.order == 0)  # nothing stands before the whole text: a run of its own
+        whole = np.flatnonzero(order == 0)  # nothing stands before the whole text: a run of its own
         head[whole] = True
-        head[whole[whole + 1 < len(text)] + 1] = True
-        self.heads = np.flatnonzero(head)
-        self.bytes = last[self.heads]
-        self.first_sample = self.order[self.heads]
-        self.last_sample = self.order[np.append(self.heads[1:], len(text)) - 1]
+        head[whole[whole + 1 < n] + 1] = True
+        heads = np.flatnonzero(head)
+        self.size = n
+        self.bytes, self.lengths = last[heads], np.diff(np.append(heads, n))
+        self.firsts, self.lasts = order[heads], order[heads + self.lengths - 1]
+        del order, last
+        # the samples in order of the text: where a run's first place lies, what the run before ends with, and how much they share
+        along = np.argsort(self.firsts)
+        self.at = self.firsts[along]
+        self.before = np.concatenate([[-1], self.lasts[:-1]])[along]
+        self.shared = np.zeros(len(along), np.int64)
+        some = self.before >= 0
+        self.shared[some] = self._common(key, self.at[some], self.before[some])
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def _common(self, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, compared eight at a time."""
-        n = len(self.text)
-        words = self.packed.byteswap()
-        out = np.zeros(len(a), np.int64)
-        active = np.arange(len(a))
+        words, out, active = key.byteswap(), np.zeros(len(a), np.int64), np.arange(len(a))
         while len(active):
             x, y = a[active] + out[active], b[active] + out[active]
-            most = n - np.maximum(x, y)
-            differ = words[np.minimum(x, n)] ^ words[np.minimum(y, n)]
+            most = self.size - np.maximum(x, y)
+            differ = words[np.minimum(x, self.size)] ^ words[np.minimum(y, self.size)]
             lowest = differ & (~differ + np.uint64(1))
             same = np.where(differ == 0, 8, np.bitwise_count(lowest - np.uint64(1)) >> 3).astype(np.int64)
             same = np.minimum(same, most)
@@ -79,29 +90,37 @@ class RunIndex:
             active = active[same == 8]
         return out
 
-    def matching_statistics(self) -> np.ndarray:
-        """For each text position, how long a match it has with the suffix before it in order.
+    def matching_statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each text position the suffix before it in order (-1: none), and how long a match both have.
 
-        Only the positions sampled where a run begins are compared. Within a run the suffix before is followed to the
-        left by the same byte, so its match is that of the position before, less one: the values stream along the text.
+        Only sampled positions were compared. From one sample to the next, the suffix before moves along with the
+        position, and its match gets shorter by one.
         """
-        n = len(self.text)
-        value = np.zeros(n, np.int64)
-        before = self.last_sample[:-1]  # the suffix before a run's first is the last of the run before
-        value[self.first_sample[1:]] = self._common(self.first_sample[1:], before)
-        known = np.zeros(n, bool)
-        known[self.first_sample] = True
-        place = np.arange(n)
-        origin = np.maximum.accumulate(np.where(known, place, 0))
-        return np.maximum(value[origin] - (place - origin), 0)
+        gap = np.diff(np.append(self.at, self.size))
+        step = np.arange(self.size) - np.repeat(self.at, gap)
+        match = np.maximum(np.repeat(self.shared, gap) - step, 0)
+        return np.where(match > 0, np.repeat(self.before, gap) + step, -1), match
 
     def earlier(self, key: np.ndarray, least: int) -> np.ndarray:
-        """Whether a position's first ``least`` bytes also stand at a position of lower key."""
-        if not len(self.text):
-            return np.zeros(0, bool)
-        matched = self.matching_statistics()[self.order]
-        starts = np.flatnonzero(matched < least)
-        lowest = np.minimum.reduceat(key[self.order], starts)
-        out = np.empty(len(self.text), bool)
-        out[self.order] = key[self.order] > np.repeat(lowest, np.diff(np.append(starts, len(self.text))))
+        """Whether a position's first ``least`` bytes also stand at a position of lower key.
+
+        Positions whose match reaches ``least`` follow their suffix before to the first one of all that begin alike.
+        """
+        before, match = self.matching_statistics()
+        to = np.arange(self.size)
+        todo = np.flatnonzero(match >= least)
+        to[todo] = before[todo]
+        del before, match
+        met = todo
+        while len(todo):  # each goes on from where its place has gone: chains get half as long
+            further = to[to[todo]]
+            moved = further != to[todo]
+            to[todo] = further
+            todo = todo[moved]
+        out = np.zeros(self.size, bool)
+        if len(met):
+            every = np.union1d(met, to[met])
+            low = np.full(self.size, np.iinfo(np.int64).max)
+            np.minimum.at(low, to[every], key[every])
+            out[every] = key[every] > low[to[every]]
         return out

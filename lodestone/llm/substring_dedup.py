@@ -3,13 +3,14 @@
 1. Anchors: of each ``least``-byte window the ``gram``-byte piece with the lowest hash. Two equal windows have equal
    anchors at equal places, so windows that match meet by an anchor that stands twice; the rest of the text is never sent.
 2. An anchor's tile is the lowest row that has it, so all that copies one document meets in few tiles. What a row sends
-   to a tile is the stretches around those anchors. Tiles of more than TILE bytes are cut into pairs of blocks.
-3. Equal stretches are one. Of the rest a run-length index is built (see run_index): the transform as runs, sampled where
+   to a tile is the stretches around those anchors, in parts of bounded size. Tiles of more than TILE bytes are cut into
+   pairs of blocks.
+3. Equal parts are one. Of the rest a run-length index is built (see run_index): the transform as runs, sampled where
    they begin and end; matching statistics stream along the text from the samples. Positions whose match reaches
    ``least`` bytes form groups, and all of a group but the earliest are marked.
 4. The marked windows of a row are merged and cut out of its text.
 
-Rows are in order of their id; positions are bytes of the whole text in UTF-8. Defined cases: a null text is empty; null
+Rows are in order of their id (a long); positions are bytes of the whole text in UTF-8. Defined cases: a null text is empty; null
 ids come first; rows with one id are in order of a hash of their texts, and if those are the same too they count as one
 row, each with that row's result. Matches may overlap themselves. Hashes only gather what is then compared byte by byte.
 """
@@ -30,6 +31,10 @@ from .shingles import CODES, _powers
 
 #: Bytes of stretches that a tile may hold, that are indexed at once, and a byte that UTF-8 never has.
 TILE, BATCH, STOP = 2_000_000, 1_000_000, 0xFF
+#: Bytes of a stretch before it is cut, and of a text that are looked at at once.
+PIECE, SLAB = 1 << 16, 1 << 20
+#: An anchor that has more than one in so many of all places (and more than HOT_LEAST) is hot.
+HOT, HOT_LEAST = 2000, 1000
 #: Bits kept of an anchor's hash.
 HASH_BITS = 48
 CASED = CODES.copy()
@@ -60,6 +65,18 @@ def anchors(data: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
+def _in_slabs(data: np.ndarray, gram: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same, some windows at a time: memory doesn't grow with the text."""
+    if len(data) <= SLAB + least:
+        return anchors(data, gram, least)
+    parts = []
+    for a in range(0, len(data) - least + 1, SLAB):
+        at, h = anchors(data[a : a + SLAB + least - 1], gram, least)
+        parts.append((at + a, h))
+    at, first = np.unique(np.concatenate([x for x, _ in parts]), return_index=True)
+    return at, np.concatenate([x for _, x in parts])[first]
+
+
 def _anchors(docs: DataFrame, gram: int, least: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -68,7 +85,7 @@ def _anchors(docs: DataFrame, gram: int, least: int) -> DataFrame:
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 data = np.frombuffer(b"".join(texts), np.uint8)
                 ends = np.cumsum([len(x) for x in texts])
-                at, h = anchors(data, gram, least)
+                at, h = _in_slabs(data, gram, least)
                 row = np.searchsorted(ends, at, side="right")
                 inside = at + gram <= ends[np.minimum(row, len(ends) - 1)]
                 at, h, row = at[inside], h[inside], row[inside]
@@ -96,15 +113,23 @@ def _packed(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _stretches(found: DataFrame, texts: DataFrame, gram: int, least: int) -> DataFrame:
-    """tile, row, start, bytes (compressed): what each row holds around the anchors of each tile."""
+    """tile, row, start, bytes (compressed): what each row holds around the anchors of each tile.
+
+    Long stretches are cut; the parts overlap, so that each window stands whole in one of them.
+    """
     before = least - gram
 
     def run(batches):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(1).compress
+        def made(out):
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["tile", "row", "start", "n", "packed"])
+
         for batch in batches:
-            out = []
+            out, size = [], 0
             for row, places, text in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = unpack(text)
                 pos, tile = places.values.field("pos").to_numpy(), places.values.field("tile").to_numpy()
@@ -115,12 +140,14 @@ def _stretches(found: DataFrame, texts: DataFrame, gram: int, least: int) -> Dat
                 new[1:] = (tile[1:] != tile[:-1]) | (start[1:] > end[:-1] - least + 1)
                 cuts = np.flatnonzero(new)
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pos)], strict=True):
-                    s, e = int(start[a]), int(end[b - 1])
-                    if e - s >= least:
+                    for s in range(int(start[a]), int(end[b - 1]) - least + 1, PIECE):
+                        e = min(int(end[b - 1]), s + PIECE + least - 1)
                         out.append((int(tile[a]), row, s, e - s, pack(text[s:e])))
-            columns = zip(*out, strict=True) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["tile", "row", "start", "n", "packed"])
+                        size += e - s
+                        if size > SLAB:
+                            yield made(out)
+                            out, size = [], 0
+            yield made(out)
 
     per = found.groupBy("row").agg(F.collect_list(F.struct("pos", "tile")).alias("places"))
     return per.join(texts, "row").select("row", "places", "packed").mapInArrow(released(run), "tile bigint, row bigint, start bigint, n bigint, packed binary")
@@ -194,8 +221,14 @@ def _covered(stretches: DataFrame, least: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, least: int = 100, gram: int = 32) -> DataFrame:
     """row, spans (maximal, ascending arrays of [start, end)) of the numbered rows that have any."""
     found = _anchors(docs, gram, least)
-    tiles = found.groupBy("anchor").agg(F.min("row").alias("tile"), F.count("*").alias("n")).where("n > 1").select("anchor", "tile")
-    repeated = materialise(found.join(tiles, "anchor").select("row", "pos", "tile"), "anchors")
+    tiles = materialise(found.groupBy("anchor").agg(F.min("row").alias("tile"), F.count("*").alias("n")).where("n > 1"), "tiles")
+    # hot anchors, HOT at most, are told apart where their places are and dealt out by place; the others meet their tile by a join
+    total = tiles.agg(F.sum("n")).first()[0] or 0
+    hot = materialise(tiles.where(F.col("n") > max(total / HOT, HOT_LEAST)).select(F.col("anchor").alias("hot"), F.col("tile").alias("hot_tile")), "hot")
+    told = found.join(F.broadcast(hot), F.col("anchor") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("anchor")).otherwise(-1 - F.abs(F.xxhash64("row", "pos") % (1 << 40))))
+    rest = tiles.join(F.broadcast(hot), F.col("anchor") == F.col("hot"), "left_anti").select(F.col("anchor").alias("key"), "tile")
+    tile = F.coalesce("hot_tile", "tile")
+    repeated = materialise(told.join(rest, "key", "left").where(tile.isNotNull()).select("row", "pos", tile.alias("tile")), "anchors")
     texts = _packed(docs, repeated.select("row").distinct())
     stretches = materialise(_stretches(repeated, texts, gram, least), "stretches")
     spans = F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("end"))))
