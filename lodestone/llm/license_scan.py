@@ -1,17 +1,20 @@
 """License scans: phrases at word positions, and an exact set-similarity join of text blocks with license templates.
 
-The templates' tokens are ordered by how many documents hold them, rarest first. A block of text (a line, or a paragraph
-between blank lines) meets a template if it holds at least ``threshold`` of its different tokens, that is ``need`` of n.
-It then holds one of the first n - need + 1 tokens in that order: the template's prefix (prefix filter). A block also needs ``need`` different tokens (length filter),
-and where its first shared token stands at place p of the template, n - p tokens at most can be shared (positional
-filter). What passes is counted exactly.
+A text block is a run of words a quarter longer than the template. It meets the template if it holds all of the template's
+``names`` (the words that tell one license from another) and at least ``need`` of its n different tokens: ``threshold`` of
+them, or all where there are fewer than ALL_BELOW, as a short notice without one of its words says something else. Tokens
+are ordered by how many documents hold them, rarest first. A block that meets holds one of the template's first
+n - need + 1 tokens in that order: its prefix (prefix filter). It has ``need`` known tokens (length filter). And where its
+first token of the prefix stands at place p of the template and q of the block's own m known tokens in order, no more than
+n - p and m - q tokens are shared (positional filter). What passes is counted exactly.
 
 All of it is DataFrame functions. Words are cut once: each row's tokens that the templates and phrases know are written
-to the shared folder, with the text where they could be enough. Shuffled are the counts of those tokens only. The template list is a literal of the
-plan, and the driver gets a row for each of its tokens at most.
+to the shared folder, with the text where they could be enough. Shuffled are the counts of those tokens only. The template
+list is a literal of the plan, and the driver gets a row for each of its tokens at most.
 
 Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII. Defined cases: a null text counts as empty;
-without a match the labels are empty, the positions null and the score 0. Repeated rows are scanned each.
+without a match the labels are empty, the positions null and the score 0. Repeated rows are scanned each; ids may be of
+any type, null or repeated; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,21 +32,31 @@ from .common import materialise
 
 #: Phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices under which works are released; several of one label may be given.
+@dataclass(frozen=True)
+class Notice:
+    """A notice under which works are released; a block must hold all of ``names``. Several of one label may be given."""
+
+    label: str
+    names: str
+    text: str
+
+
 TEMPLATES = (
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("apache-2.0", "licensed under the apache license version 2.0"),
-    ("apache-2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mit", "released under the mit license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4.0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4.0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("reserved", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
+    Notice("gpl", "gnu general public", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    Notice("gpl-3.0", "gnu general public", "this work is licensed under the gnu general public license version 3"),
+    Notice("apache-2.0", "apache", "licensed under the apache license version 2.0"),
+    Notice("apache-2.0", "apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    Notice("mit", "granted restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    Notice("mit", "mit", "released under the mit license"),
+    Notice("bsd", "redistribution permitted", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Notice("cc-by-nc", "cc nc", "licensed under cc by nc 4.0"),
+    Notice("cc-by-sa", "creative commons sharealike", "licensed under a creative commons attribution sharealike 4.0 international license"),
+    Notice("cc0", "waived copyright", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    Notice("mpl", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    Notice("reserved", "reserved reproduced", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 )
+#: Templates of fewer different tokens must be there whole.
+ALL_BELOW = 10
 #: The contract's words, with A-Z taken in before they are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The only letter beyond ASCII whose lower case is an ASCII letter alone, and another that stays beyond.
@@ -63,15 +77,38 @@ def token_frequencies(held: DataFrame) -> dict[str, int]:
     return {r["token"]: r["count"] for r in held.select(F.explode("held").alias("token")).groupBy("token").count().collect()}
 
 
-def _need(tokens: Sequence[str], threshold: float) -> int:
-    return max(1, math.ceil(threshold * len(set(tokens)) - 1e-9))
+class _Template:
+    """A notice's tokens with what a block needs: how many, which names, in how many words."""
+
+    def __init__(self, notice: Notice, threshold: float):
+        words = _split(notice.text)
+        self.label, self.names, self.tokens = notice.label, sorted(set(_split(notice.names))), set(words)
+        self.need = len(self.tokens) if len(self.tokens) < ALL_BELOW else max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
+        self.width = len(words) + len(words) // 4
+
+    def in_reach(self, held: str) -> Column:
+        """Whether a row's tokens can be enough at all."""
+        names = F.size(F.array_intersect(held, F.lit(self.names))) == len(self.names)
+        return names & (F.size(F.array_intersect(held, F.lit(sorted(self.tokens)))) >= self.need)
+
+    def best(self, ranks: str, order: Mapping[str, int]) -> Column:
+        """The largest share of the tokens in a block of the column ``ranks`` (each word's place in ``order``, null: unknown)."""
+        mine = sorted(order[t] for t in self.tokens)
+        n, names = len(mine), [order[t] for t in self.names]
+        prefix = mine[: n - self.need + 1]
+        starts = F.array_compact(F.transform(ranks, lambda r, i: F.when(F.array_contains(F.lit(mine), r), i)))
 
+        def share(i: Column) -> Column:
+            return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(F.array_compact(F.slice(ranks, i + 1, self.width))))), met), 1)
 
-def _in_reach(tokens: Sequence[Sequence[str]], phrases: Sequence[Sequence[str]], threshold: float) -> Column:
-    """Whether a row's tokens (column ``held``) can make up a phrase or enough of a template at all."""
-    some = [F.size(F.array_intersect("held", F.lit(sorted(set(t))))) >= _need(t, threshold) for t in tokens]
-    some += [F.size(F.array_intersect("held", F.lit(sorted(set(p))))) >= len(set(p)) for p in phrases]
-    return reduce(lambda a, b: a | b, some, F.lit(False))
+        def met(block: Column) -> Column:
+            first = F.array_min(F.array_intersect(block, F.lit(prefix)))
+            reach = F.least(n + 1 - F.array_position(F.lit(mine), first), F.size(block) + 1 - F.array_position(block, first))
+            shared = F.size(F.array_intersect(block, F.lit(mine)))
+            good = (F.size(block) >= self.need) & (reach >= self.need) & (shared >= self.need) & (F.size(F.array_intersect(block, F.lit(names))) == len(names))
+            return F.when(good, shared / F.lit(n)).otherwise(F.lit(0.0))
+
+        return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
 
 
 def _places(phrase: str) -> Column:
@@ -87,45 +124,28 @@ def _places(phrase: str) -> Column:
     return F.array_compact(F.transform("words", start))
 
 
-def _containment(block: Column, template: Sequence[str], order: Mapping[str, int], threshold: float) -> Column:
-    """The share of the template's tokens in a block's different words, or 0 under the threshold."""
-    tokens = sorted(set(template), key=lambda t: (order.get(t, 0), t))
-    need = _need(tokens, threshold)
-    prefix = tokens[: len(tokens) - need + 1]
-    # the first shared token's place bounds what can be shared; in the prefix it always leaves enough
-    reach = F.coalesce(*[F.when(F.array_contains(block, t), F.lit(len(tokens) - p)) for p, t in enumerate(prefix)], F.lit(0))
-    shared = F.size(F.array_intersect(block, F.lit(tokens)))
-    return F.when((F.size(block) >= need) & (F.least(reach, F.size(block)) >= need) & (shared >= need), shared / F.lit(len(tokens))).otherwise(F.lit(0.0))
-
-
 def license_scan(
-    docs: DataFrame, phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Counts, first and last place, labels and score; the score is the best containment, 1 where a phrase stands."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    tokens = [_split(text) for _, text in templates]
-    phrases = [p.split(" ") for p in phrase_labels]
-    wanted = sorted({t for some in (*tokens, *phrases) for t in some})
+    each, phrases = [_Template(t, threshold) for t in templates], [p.split(" ") for p in phrase_labels]
+    known = sorted(set().union(*(t.tokens for t in each)))
+    wanted = sorted({*known, *(w for p in phrases for w in p)})
     cut = plain.withColumn("words", _words(F.col("text"))).select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", F.lit(wanted)).alias("held"), "text")
+    some = [t.in_reach("held") for t in each] + [F.size(F.array_intersect("held", F.lit(sorted(set(p))))) >= len(set(p)) for p in phrases]
     # the words are cut once; the few texts in reach are kept beside their tokens
-    held = materialise(cut.select("doc_id", "n_words", "held", F.when(_in_reach(tokens, phrases, threshold), F.col("text")).alias("text")), "license-tokens")
-    order = token_frequencies(held)
-    rare = set()
-    for t in tokens:
-        ranked = sorted(set(t), key=lambda x: (order.get(x, 0), x))
-        rare |= set(ranked[: len(ranked) - _need(t, threshold) + 1])
-    no_ints, no_scores = F.array().cast("array<int>"), F.array().cast("array<struct<label:string,score:double>>")
-    places = held.withColumn("words", F.when(F.col("text").isNotNull(), _words(F.col("text"))).otherwise(F.array().cast("array<string>"))).select(
-        "doc_id", "n_words", *[_places(p).alias(f"_p{k}") for k, p in enumerate(phrase_labels)],
-        F.when(F.arrays_overlap("words", F.lit(sorted(rare))), F.col("text")).alias("_text"),
-    )
-    lines = F.concat(F.split("_text", "\n"), F.split("_text", r"\n[\x20\x09\x0D]*\n"))
-    blocks = F.filter(F.transform(lines, lambda x: F.array_distinct(_words(x))), lambda b: F.arrays_overlap(b, F.lit(sorted(rare))))
-    shares = lambda b: F.array(*[F.struct(F.lit(label).alias("label"), _containment(b, t, order, threshold).alias("score")) for (label, _), t in zip(templates, tokens, strict=True)])
-    scored = F.filter(F.flatten(F.transform(blocks, shares)), lambda s: s["score"] > 0) if templates else no_scores
-    every = F.concat(*[F.col(f"_p{k}") for k in range(len(phrase_labels))]) if phrase_labels else no_ints
-    base = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrase_labels.values())]))
-    found = places.select("doc_id", "n_words", every.alias("places"), base.alias("base"), F.when(F.col("_text").isNotNull(), scored).otherwise(no_scores).alias("scored"))
+    held = materialise(cut.select("doc_id", "n_words", "held", F.when(reduce(lambda a, b: a | b, some, F.lit(False)), F.col("text")).alias("text")), "license-tokens")
+    counts = token_frequencies(held)
+    order = {t: k for k, t in enumerate(sorted(known, key=lambda t: (counts.get(t, 0), t)))}
+    none = F.array().cast("array<string>")
+    words = held.withColumn("words", F.when(F.col("text").isNotNull(), _words(F.col("text"))).otherwise(none))
+    ranked = [F.when(t.in_reach("held"), t.best("ranks", order)).otherwise(F.lit(0.0)) for t in each]
+    places = words.select("doc_id", "n_words", "held", *[_places(p).alias(f"_p{k}") for k, p in enumerate(phrase_labels)], F.transform("words", _rank(order)).alias("ranks"))
+    every = F.concat(*[F.col(f"_p{k}") for k in range(len(phrase_labels))]) if phrase_labels else F.array().cast("array<int>")
+    base = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrase_labels.values())]).cast("array<string>"))
+    scored = F.array(*[F.struct(F.lit(t.label).alias("label"), r.alias("score")) for t, r in zip(each, ranked, strict=True)]) if each else F.array().cast("array<struct<label:string,score:double>>")
+    found = places.select("doc_id", "n_words", every.alias("places"), base.alias("base"), F.filter(scored, lambda s: s["score"] > 0).alias("scored"))
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     return found.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
@@ -134,24 +154,31 @@ def license_scan(
     )
 
 
-def oracle_sql(phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The same over the view ``documents``, every block held against every template."""
+def _rank(order: Mapping[str, int]):
+    """A word's place in ``order`` as a function of its column; null where it has none."""
+    places = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]).cast("map<string,int>") if order else F.lit(None).cast("map<string,int>")
+    return lambda word: places[word]
+
+
+def oracle_sql(phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8) -> str:
+    """The same over the view ``documents``: every block that begins with a token of a template is held against it."""
     listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
     phrases = " UNION ALL ".join(
         f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(p.split(' '), 1))})) AS place FROM texts"
         for p, label in phrase_labels.items()
     )
-    held = ", ".join(f"('{label}', {listed(sorted(set(_split(t))))})" for label, t in templates)
+    each = [_Template(t, threshold) for t in templates]
+    held = ", ".join(f"('{t.label}', {listed(sorted(t.tokens))}, {listed(t.names)}, {t.need}, {t.width})" for t in each)
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {words("coalesce(text, '')")} AS w FROM documents),
 places AS ({phrases}),
 base AS (SELECT r, count(*) AS n, min(place) AS f, max(place) AS l, list(DISTINCT label) AS labels FROM places GROUP BY r),
-template(label, tokens) AS (VALUES {held}),
-block AS (SELECT r, unnest(list_concat(string_split(t, chr(10)), regexp_split_to_array(t, '\\n[\\x20\\x09\\x0D]*\\n'))) AS b FROM texts),
-sets AS (SELECT r, list_distinct({words("b")}) AS s FROM block),
-share AS (SELECT r, label, len(list_intersect(s, tokens)) / len(tokens)::DOUBLE AS score FROM sets, template),
-met AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM share WHERE score >= {threshold} - 1e-9 GROUP BY r)
+template(label, tokens, names, need, width) AS (VALUES {held}),
+near AS (SELECT r, label, tokens, names, need, width, w FROM texts, template WHERE list_has_all(w, names)),
+block AS (SELECT r, label, tokens, names, need, list_distinct(w[i:i + width - 1]) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near) WHERE list_contains(tokens, w[i])),
+share AS (SELECT r, label, need, len(list_intersect(s, tokens)) AS n, len(tokens) AS size FROM block WHERE list_has_all(s, names)),
+met AS (SELECT r, list(DISTINCT label) AS labels, max(n / size::DOUBLE) AS score FROM share WHERE n >= need GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
   coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,
   coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), 'string_agg', ','), '') AS labels,
