@@ -1,21 +1,26 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and benchmark items are words (runs of letters, figures and characters beyond ASCII, in lower case). All runs of
-``least`` words of the items are seeds; Karp-Rabin windows over a text find the seeds that it shares. For each pair of
-text and item, the longest match of words that no tile has yet becomes a tile, again and again down to ``least`` words.
-An item leaks into a text whose tiles cover ``threshold`` of it or more, in whatever order its passages stand.
+``least`` words of the items are seeds; rolling Karp-Rabin hashes over a text find the seeds that it shares, and what they
+find is compared word by word (words are told by 64-bit hashes). For each pair of text and item that shares enough, the
+longest matches of words that no tile has yet become tiles; what is left is matched again, round by round, down to
+``least`` words. An item leaks into a text whose tiles cover ``threshold`` of it or more, in whatever order its passages
+stand.
 
 The items are the stated query set: they are taken in blocks of ``block_words`` words at most, and a block's seeds are
-sent to every task, so what is broadcast doesn't grow with them. No pair is left out. Texts aren't shuffled.
+sent to every task, so what is broadcast doesn't grow with them. The driver holds one block; where there are more, each
+one's finds are written to the shared folder and its broadcast is dropped before the next. No pair is left out. Texts
+aren't shuffled.
 
-Defined cases: null or empty texts and items match nothing; an item of fewer words than ``least`` must stand whole;
-rows with repeated ids share their matches, and null ids match by their own null.
+Defined cases: ids are longs or null. Null or empty texts and items match nothing; an item of fewer words than ``least``
+must stand whole; rows with repeated ids share their matches, and null ids match by their own null. An item with a null
+id counts as one more item, first in the list. Other columns of both tables are not read.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, released, small_batches, text_chunks
+from .common import id_text, materialise, released, small_batches, text_chunks
 from .shingles import MARKS, buffers, windows, words
 
 TABLE_BITS = 20
@@ -59,15 +64,30 @@ class Seeds:
             at, slot, row = at[good], slot[good], row[good]
             if not len(at):
                 continue
-            # one row at a time: a seed of many items would else give all its pairs at once
             for a, b in _groups(row):
-                many = first[slot[a:b] + 1] - first[slot[a:b]]
-                post = np.repeat(first[slot[a:b]] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                items, places, there = item[post], place[post], np.repeat(at[a:b] - rows[row[a]], many)
-                order = np.argsort(items, kind="stable")
-                for c, d in _groups(items[order]):
-                    pick = order[c:d]
-                    yield int(row[a]), int(items[pick[0]]), k, places[pick], there[pick]
+                yield from self._of_row(int(row[a]), k, first, item, place, slot[a:b], at[a:b], hashes, int(rows[row[a]]))
+
+    def _of_row(self, row: int, k: int, first: np.ndarray, item: np.ndarray, place: np.ndarray, slot: np.ndarray, at: np.ndarray, hashes: np.ndarray, begin: int):
+        """One row's pairs, item by item: a seed's postings are read once, however often the text repeats it."""
+        order = np.argsort(slot, kind="stable")
+        slot, at = slot[order], at[order]
+        kinds, start = np.unique(slot, return_index=True)
+        ends = np.append(start[1:], len(slot))
+        many = first[kinds + 1] - first[kinds]
+        post = np.repeat(first[kinds] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        kind, items, places = np.repeat(np.arange(len(kinds)), many), item[post], place[post]
+        order = np.argsort(items, kind="stable")
+        for c, d in _groups(items[order]):
+            pick = order[c:d]
+            words_of = self.hashes[self.rows[items[pick[0]]] :]
+            often = (ends - start)[kind[pick]]
+            there = at[np.repeat(start[kind[pick]] - np.cumsum(often) + often, often) + np.arange(often.sum())]
+            here = np.repeat(places[pick], often)
+            same = np.ones(len(here), bool)
+            for i in range(k):
+                same &= words_of[here + i] == hashes[there + i]
+            if same.any():
+                yield row, int(items[pick[0]]), k, here[same], there[same] - begin
 
 
 def _groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -76,34 +96,28 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def tiled(places: np.ndarray, there: np.ndarray, k: int) -> int:
-    """Words of the item that greedy tiles of at least k words cover, from all shared windows of k words."""
+    """Words of the item that greedy tiles of at least k words cover, from all shared windows of k words.
+
+    Each round matches anew what no tile has: the windows that are left, put together along their diagonals. The longest
+    matches become tiles, those that come first before others that overlap them.
+    """
+    in_item, in_text = np.zeros(places.max() + k, bool), np.zeros(there.max() + k, bool)
     order = np.lexsort((places, there - places))
     places, there = places[order], there[order]
-    diagonal = there - places
-    new = np.ones(len(places), bool)
-    new[1:] = (diagonal[1:] != diagonal[:-1]) | (places[1:] != places[:-1] + 1)
-    start = np.flatnonzero(new)
-    length = np.diff(np.append(start, len(places))) + k - 1
-    heap = [(-n, p, t) for n, p, t in zip(length.tolist(), places[start].tolist(), there[start].tolist(), strict=True)]
-    heapq.heapify(heap)
-    in_item, in_text = set(), set()
-    while heap:
-        n, p, t = heapq.heappop(heap)
-        free, run = [], 0
-        for i in range(-n + 1):
-            if i < -n and p + i not in in_item and t + i not in in_text:
-                run += 1
-            else:
-                if run >= k:
-                    free.append((-run, p + i - run, t + i - run))
-                run = 0
-        if free == [(n, p, t)]:
-            in_item.update(range(p, p - n))
-            in_text.update(range(t, t - n))
-        else:
-            for x in free:
-                heapq.heappush(heap, x)
-    return len(in_item)
+    while len(places):
+        diagonal = there - places
+        new = np.ones(len(places), bool)
+        new[1:] = (diagonal[1:] != diagonal[:-1]) | (places[1:] != places[:-1] + 1)
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, len(places))) + k - 1
+        most = int(length.max())
+        for p, t in sorted(zip(places[start[length == most]].tolist(), there[start[length == most]].tolist(), strict=True)):
+            if not (in_item[p : p + most].any() or in_text[t : t + most].any()):
+                in_item[p : p + most] = in_text[t : t + most] = True
+        taken, met = (np.concatenate([[0], np.cumsum(x)]) for x in (in_item, in_text))
+        free = (taken[places + k] == taken[places]) & (met[there + k] == met[there])
+        places, there = places[free], there[free]
+    return int(in_item.sum())
 
 
 def leaks(seeds: Seeds, texts: pa.Array, threshold: float) -> Iterator[tuple[int, object, float]]:
@@ -132,10 +146,16 @@ def _blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Seed
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, coverage of every pair of a text and an item that leaks into it."""
     plain, sc = id_text(docs, id_col, text_col), docs.sparkSession.sparkContext
-    out = plain.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
+    out = last = None
     for block in _blocks(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")), least, block_words):
-        out = out.union(plain.mapInArrow(released(_finder(sc.broadcast(block), threshold)), "doc_id bigint, item_id bigint, coverage double"))
-    return out
+        if last is not None:
+            last[1] = materialise(last[1], "leaks")
+            last[0].unpersist()
+        shared = sc.broadcast(block)
+        last = [shared, plain.mapInArrow(released(_finder(shared, threshold)), "doc_id bigint, item_id bigint, coverage double")]
+        out = [last] if out is None else [*out, last]
+    none = plain.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage")).where("false")
+    return reduce(DataFrame.union, [found for _, found in out or []], none)
 
 
 def _finder(shared, threshold: float):
@@ -150,7 +170,10 @@ def _finder(shared, threshold: float):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, block_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that no item leaks into; blocks of items pass over the texts in turn."""
+    """The rows of ``docs``, with all columns, that no item leaks into; blocks of items pass over the texts in turn.
+
+    Rows with a null or empty text stay, whatever their id.
+    """
 
     def keeper(shared):
         def run(batches):
@@ -172,9 +195,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, least: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, contaminated, n_items, items (ascending) and the best coverage of every row; 0.0 where nothing leaks."""
     pairs = contamination(docs, benchmark, threshold, least, id_col=id_col, text_col=text_col)
-    per = pairs.groupBy(F.col("doc_id").alias("found")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
+    per = pairs.groupBy(F.col("doc_id").alias("found")).agg(F.sort_array(F.collect_set(F.struct("item_id"))).alias("items"), F.max("coverage").alias("coverage"))
     out = docs.select(F.col(id_col).alias("doc_id")).join(per, F.col("doc_id").eqNullSafe(F.col("found")), "left")
-    items = F.coalesce("items", F.array().cast("array<bigint>"))
+    items = F.coalesce("items.item_id", F.array().cast("array<bigint>"))
     return out.select("doc_id", F.size(items).cast("bigint").alias("n_items"), items.alias("items"), F.coalesce("coverage", F.lit(0.0)).alias("coverage")).select(
         "doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", "items", "coverage"
     )

@@ -69,11 +69,14 @@ def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> t
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words, across rows too."""
-    mixed = np.full(max(len(hashes) - k + 1, 0), k, np.uint64)
-    for i in range(k):
-        mixed = mix64(mixed + hashes[i : i + len(mixed)])
-    return mixed
+    """Karp-Rabin hashes of all runs of k words, across rows too: each rolls on from the one before, whatever k is."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
+    return mix64((sums[k:] - sums[:-k]) * inverse[:n] + np.uint64(k))
 
 
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +90,5 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     starts = np.repeat(rows[:-1] - at[:-1], counts) + np.arange(at[-1])
     out = mixed[np.minimum(starts, max(len(mixed) - 1, 0))] if len(mixed) else np.zeros(at[-1], np.uint64)
     for r in np.flatnonzero((n > 0) & (n < k)):
-        h = np.uint64(n[r])
-        for w in hashes[rows[r] : rows[r + 1]]:
-            h = mix64(np.array([h], np.uint64) + w)[0]
-        out[at[r]] = h
+        out[at[r]] = windows(hashes[rows[r] : rows[r + 1]], int(n[r]))[0]
     return out, at
