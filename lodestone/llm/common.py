@@ -68,7 +68,7 @@ def released(run):
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the id and the text, under fixed names; whatever else the table has can't clash."""
+    """Only the id (a long or null) and the text, under fixed names; whatever else the table has can't clash."""
     small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -148,12 +148,13 @@ def without(docs: DataFrame, ids: DataFrame, key: str, most_bits: int = 1 << 26)
     small_batches(docs.sparkSession)
     bits, slots = bitmap(ids, key, most_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    slot, gone = (f"_{uuid.uuid4().hex}" for _ in range(2))  # names that no column of the table has
 
     def part(wanted: bool) -> DataFrame:
         def run(batches):
             for batch in batches:
                 yield batch.filter(pa.array(_met(shared.value, batch.column(batch.num_columns - 1)) == wanted)).select(range(batch.num_columns - 1))
 
-        return docs.withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(slots))).mapInArrow(released(run), docs.schema)
+        return docs.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(slots))).mapInArrow(released(run), docs.schema)
 
-    return part(False).unionByName(part(True).join(ids.select(F.col(key).alias("_gone")), F.col(key) == F.col("_gone"), "left_anti"))
+    return part(False).unionByName(part(True).join(ids.select(F.col(key).alias(gone)), F.col(key) == F.col(gone), "left_anti"))

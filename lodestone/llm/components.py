@@ -13,15 +13,16 @@ def _minimum(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) for all nodes of ``edges`` (columns a and b, longs).
 
-    The number of rounds grows with the logarithm of the longest chain; each is written to the shared folder. A node
+    Rounds go on until nothing changes; their number grows with the logarithm of the longest chain. Each is written to the
+    shared folder. A node
     with very many neighbours is summed up before the shuffle, and its join can be split. An empty table has no nodes.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_minimum(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = _minimum(large)
@@ -31,7 +32,5 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     star = now.groupBy("u").agg(F.min("v").alias("m"))
     return star.select(F.col("u").alias("node"), F.col("m").alias("component")).union(now.select("v", "v").distinct())

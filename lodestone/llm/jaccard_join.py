@@ -13,9 +13,10 @@
    exactly. Pairs that links have already joined are skipped, so a tile of n classes gives n - 1 links at most.
 6. The links' connected components.
 
-Words are runs of other than space and \\t to \\r, A-Z lower-cased. A shingle is a 64-bit hash. Defined cases: a text
-without words, or null, has no shingles and is linked with nothing; fewer words than a shingle takes are one shingle;
-rows with repeated ids each get a result, null ids have a null component unless their class has an id.
+Words are runs of other than space and \\t to \\r, A-Z lower-cased. A shingle is a 64-bit hash of its words, and sets are
+intersected by those hashes; classes are told by 128 bits. Defined cases: ids are longs or null; a text without words, or null, has no shingles and is linked with nothing; fewer words than a shingle takes are one shingle;
+rows with repeated ids each get a result, of their own text; null ids have a null component unless their class has an id,
+and only such classes are linked with others. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from .shingles import buffers, shingles, words
 WIDTHS, WIDE_FROM = (512, 1024, 2048, 4096, 32768), (800, 1800, 3600, 7200)
 #: Levels of the signatures that are sent.
 SENT = 4
-#: Shingles that a tile may hold before it is cut.
-TILE = 4_000_000
+#: Shingles and sets that a tile may hold before it is cut: the first bound memory, the others time.
+TILE, TILE_SETS = 4_000_000, 500
 #: Bits of the bitmap of shared keys at most.
 KEY_BITS = 1 << 27
 #: How much larger the sizes of the next band are.
@@ -209,10 +210,11 @@ class Tile:
 def _placed(members: DataFrame, percent: int) -> DataFrame:
     """``members`` (tile, rep, n, more) with the cell (band, i, j) of the tile that each is compared in.
 
-    A tile of up to TILE shingles is one cell. A larger one is cut by size, as wide as linked sets can differ, a set going
+    A tile of up to TILE shingles and TILE_SETS sets is one cell. A larger one is cut by size, as wide as linked sets can differ, a set going
     to its own band and as a smaller partner to the next, and each band into pairs of blocks.
     """
-    heavy = members.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > TILE).select("tile", F.ceil(F.col("total") / TILE).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.sum("n") / TILE, F.count("*") / TILE_SETS)).cast("int")
+    heavy = members.groupBy("tile").agg(blocks.alias("blocks")).where("blocks > 1")
     heavy, own = materialise(heavy, "heavy"), members.columns
     if not heavy.limit(1).count():
         rows = members.select(*own, F.lit(0).alias("band"), F.lit(0).alias("i"), F.lit(0).alias("j"))
@@ -256,8 +258,8 @@ def _kept_keys(profiles: DataFrame, leaders: DataFrame) -> DataFrame:
 def _passing(profiles: DataFrame, reps: DataFrame, percent: int, class_bits: int) -> DataFrame:
     """tile, rep, n of the classes that pass with some other one; the tile is the least class that they pass with."""
     short = F.shiftrightunsigned("hi", 64 - class_bits)  # two classes of one short name only meet more often
-    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), short.alias("class"))
-    leaders = keyed.groupBy("key").agg(F.min("class").alias("tile"), F.max("class").alias("last")).where("tile <> last").select("key", "tile")
+    keyed = profiles.where("hi is not null").select(F.explode("keys").alias("key"), "hi")
+    leaders = keyed.groupBy("key").agg(F.min("hi").alias("hi"), F.max("hi").alias("last")).where("hi <> last").select("key", short.alias("tile"))
     leaders = materialise(leaders, "leaders")
     member = _kept_keys(profiles, leaders).select("key", short.alias("class")).join(leaders, "key").select("class", "tile").distinct().join(reps.withColumn("class", short), "class").select("tile", "rep", "n", "sign")
 
@@ -289,15 +291,15 @@ def _passing(profiles: DataFrame, reps: DataFrame, percent: int, class_bits: int
     return _placed(materialise(member, "members"), percent).mapInArrow(released(run), "tile bigint, rep bigint, n bigint").distinct()
 
 
-def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b for classes whose sets link within a tile."""
+def _links(docs: DataFrame, members: DataFrame, named: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b for classes whose sets link within a tile; ``named`` has the least id and the digest of each class."""
 
     def run(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         at, tile, links = None, Tile(percent), []
-        for cell, row in _cells(batches, "rep", "packed"):
+        for cell, row in _cells(batches, "rep", "packed", "hi", "lo"):
             if row is None or len(links) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
                 links = []
@@ -305,11 +307,12 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
                 if cell != at:
                     at, tile = cell, Tile(percent)
                 _, (found,) = _sets(pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([unpack(row[1])], pa.binary())], names=["rep", "text"]), k)
-                links += tile.add(row[0], found)
+                if _digest(found) == row[2:]:  # else another text of that id
+                    links += tile.add(row[0], found)
 
-    tiles = members.groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("tile").alias("tiles"))
-    texts = packed_texts(docs, tiles.select(F.col("rep").alias("doc_id")), "doc_id").join(tiles, F.col("doc_id") == F.col("rep"))
-    return _placed(materialise(texts.select(F.explode("tiles").alias("tile"), "rep", "n", "packed"), "texts"), percent).mapInArrow(released(run), "a bigint, b bigint")
+    tiles = members.groupBy("rep").agg(F.max("n").alias("n"), F.collect_set("tile").alias("tiles")).join(named, "rep")
+    texts = packed_texts(docs, named.select(F.col("least").alias("doc_id")), "doc_id").join(tiles, F.col("doc_id") == F.col("least"))
+    return _placed(materialise(texts.select(F.explode("tiles").alias("tile"), "rep", "n", "packed", "hi", "lo"), "texts"), percent).mapInArrow(released(run), "a bigint, b bigint")
 
 
 def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,10 +322,15 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     # as many bits as keep chance meetings of a row rare, by all of its keys; what meets by chance is told apart later
     key_bits, class_bits = min(63, n_docs.bit_length() + 20), min(63, n_docs.bit_length() + 12)
     profiles = materialise(_profiles(plain, k, percent, frequent_shingles(plain, k, n_docs), key_bits), "profiles")
-    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sign").alias("sign"))
-    members = materialise(_passing(profiles, classes.where("rep is not null").select("hi", "rep", "n", "sign"), percent, class_bits), "passing")
-    components = connected_components(_links(plain, members, k, percent))
-    merged = classes.join(components, classes["rep"] == components["node"], "left").select("hi", "lo", F.coalesce("component", "rep").alias("component"))
+    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sign").alias("sign"))
+    # a number for each class: an id can stand on rows of different classes
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    members = materialise(_passing(profiles, classes.where("least is not null").select("hi", "rep", "n", "sign"), percent, class_bits), "passing")
+    named = members.select("rep").distinct().join(classes.select("rep", "least", "hi", "lo"), "rep")
+    components = materialise(connected_components(_links(plain, members, named, k, percent)), "components")
+    linked = classes.join(components, classes["rep"] == components["node"]).select("hi", "lo", "least", F.col("component").alias("of"))
+    linked = linked.join(linked.groupBy("of").agg(F.min("least").alias("component")), "of").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "component")
+    merged = classes.join(linked, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").select("hi", "lo", F.coalesce("component", "least").alias("component"))
     out = profiles.join(merged, ["hi", "lo"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
@@ -330,10 +338,12 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
 def drop_near_copies(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs``, with all columns, that are the least id of their component.
 
-    Of rows with one id and one text, one stays; rows with a null id stay. ``docs`` has the columns doc_id and text.
+    Of rows with one id and one text, one stays; rows with a null id stay, and so do rows without words. An id that stands
+    on several texts goes only where all of them have a lower id in their components. ``docs`` has the columns doc_id and
+    text; others, of whatever names, stay as they are.
     """
-    joined = materialise(jaccard_join(docs, k, percent), "components")
-    gone = joined.where("component_id < doc_id").select("doc_id").distinct()
+    joined = materialise(jaccard_join(docs, k, percent), "near-copies")
+    gone = joined.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and(F.col("component_id") < F.col("doc_id")).alias("all")).where("all").select("doc_id")
     twice = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = without(docs, gone, "doc_id")
     if not twice.limit(1).count():
