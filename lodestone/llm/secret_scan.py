@@ -1,8 +1,9 @@
 """Secret scans over whole texts with a trigram inverted index.
 
 1. From each rule's expression a Boolean query of trigrams is derived.
-2. The index has a posting (trigram, document) for each trigram that some query names.
-3. Per document the postings are intersected; what satisfies a rule's query is a candidate of that rule.
+2. The index has a posting (trigram, document) for each trigram that some query names; a text is read once for all of them.
+3. Postings are intersected for all rules at once: each brings its trigram's bit to its document, where they are put
+   together before and after one shuffle, and a rule's query is asked of the bits. What satisfies it is a candidate.
 4. Rules run on their candidates only; rules without a mandatory trigram run on every text.
 
 The candidates are written to the shared folder before they are joined, so their size is known: where it is under the
@@ -56,25 +57,43 @@ OPEN, CLOSE, SPARE = "\x01", "\x02", "\x03"
 SPAN = "array<struct<start:int,k:int,end:int,kind:string>>"
 
 
+#: Trigrams that share a long of bits.
+WORD = 63
+
+
+def _one_of(trigrams: Sequence[str]) -> str:
+    """An expression that finds each place of any of ``trigrams``, overlapping ones too, by their first letters."""
+    quote = lambda x: "".join(rf"\x{{{ord(c):x}}}" for c in x)
+    first = sorted({t[0] for t in trigrams})
+    return "(?=(" + "|".join(f"{quote(c)}(?:{'|'.join(quote(t[1:]) for t in trigrams if t[0] == c)})" for c in first) + "))"
+
+
 def trigram_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
     """Postings: a row (trigram, doc_id) for each of ``trigrams`` that the lower-cased text holds."""
-    folded = docs.select("doc_id", F.lower("text").alias("folded"))
-    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return folded.select(F.explode(held).alias("trigram"), "doc_id")
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_one_of(trigrams)), F.lit(1)))
+    return docs.select(F.explode(held).alias("trigram"), "doc_id")
 
 
 def candidates(index: DataFrame, rules: Sequence[SecretRule]) -> DataFrame:
     """doc_id and the kinds whose queries its postings satisfy; documents without any are left out."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not True}
-    held = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("held"))
-    kinds = F.array_compact(F.array(*[F.when(evaluate(q, lambda t: F.array_contains("held", t)), F.lit(k)) for k, q in queries.items()]))
+    order = sorted(set().union(*(trigrams_of(q) for q in queries.values())))
+    bit = {t: (k // WORD, 1 << k % WORD) for k, t in enumerate(order)}
+    parts = range(-(-len(order) // WORD))
+    brings = [F.bit_or(F.coalesce(*[F.when(F.col("trigram") == t, F.lit(b)) for t, (k, b) in bit.items() if k == part], F.lit(0)).cast("bigint")).alias(f"bits{part}") for part in parts]
+    held = index.where(F.col("trigram").isin(order)).groupBy("doc_id").agg(*brings)
+    has = lambda t: F.col(f"bits{bit[t][0]}").bitwiseAND(F.lit(bit[t][1])) != 0
+    kinds = F.array_compact(F.array(*[F.when(evaluate(q, has), F.lit(k)) for k, q in queries.items()]))
     return held.select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+#: Matches that are put together at once: what a text's matches cost doesn't grow with the square of their number.
+GROUP = 256
+
+
 def _spans(text: Column, rule: SecretRule, k: int) -> Column:
     """All matches: the text is marked around them and cut at the marks, then the lengths of the parts are summed up."""
     parts = F.split(F.regexp_replace(text, F.lit(rule.pattern), F.lit(f"{OPEN}$0{CLOSE}")), OPEN)
-    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(SPAN).alias("found"))
 
     def step(acc: Column, part: Column) -> Column:
         match = F.substring_index(part, CLOSE, 1)
@@ -82,7 +101,14 @@ def _spans(text: Column, rule: SecretRule, k: int) -> Column:
         span = F.struct(acc["at"].alias("start"), F.lit(k).alias("k"), (acc["at"] + F.length(match)).alias("end"), F.lit(rule.kind).alias("kind"))
         return F.struct((acc["at"] + F.length(part) - 1).alias("at"), F.when(held, F.concat(acc["found"], F.array(span).cast(SPAN))).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), start, step, lambda acc: acc["found"])
+    def of_group(acc: Column, first: Column) -> Column:
+        none = F.struct(acc["at"].alias("at"), F.array().cast(SPAN).alias("found"))
+        done = F.aggregate(F.slice(acc["parts"], first, GROUP), none, step)
+        return F.struct(done["at"].alias("at"), F.concat(acc["found"], F.array(done["found"])).alias("found"), acc["parts"].alias("parts"))
+
+    start = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"), parts.alias("parts"))
+    groups = F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2)), F.lit(GROUP))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(groups, start, of_group, lambda acc: F.flatten(acc["found"]))
 
 
 def _listed(spans: Column) -> Column:
@@ -122,6 +148,7 @@ def secret_scan(docs: DataFrame, base: Sequence[SecretRule] = BASE_RULES, more:
 def redact_secrets(docs: DataFrame, rules: Sequence[SecretRule] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with each stretch that spans cover replaced by ``mark``; spans that meet or overlap are one.
 
+    A null text stays null; a text without spans stays as it is, whatever characters it has. Every row stays.
     A table with the columns doc_id and text keeps all its columns; n_chars, if there, follows the new text.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
