@@ -44,7 +44,8 @@ def jaccard_by_hand(rows, k, percent):
 @pytest.mark.parametrize("k, percent, tile", [(3, 90, 4_000_000), (5, 80, 4_000_000), (3, 80, 150)])
 def test_jaccard(spark, messy, monkeypatch, k, percent, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
-    rows = [r for r in messy if r[0] != 5] + near_copies(k) + [(5, "x y z")]
+    near = near_copies(k)
+    rows = messy + near + [(5, "x y z"), (3000, near[0][1] + " tail"), (3000, near[1][1]), (900, "short text of the id"), (900, near[2][1])]
     got = [tuple(r) for r in jaccard_join.jaccard_join(frame(spark, rows), k, percent).collect()]
     assert sorted(map(str, got)) == sorted(map(str, jaccard_by_hand(rows, k, percent)))
 
@@ -58,6 +59,23 @@ def test_jaccard_edges(spark, messy):
     assert kept.columns == docs.columns and 10 not in ids and 1 in ids and ids.count(5) == 2 and None in ids
 
 
+def test_near_copies_of_any_column_names(spark):
+    """Columns named like those that are used inside, and an id on a clean text and on a copy."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, 7, 8, 9, 1, 2), (2, text + " more", 7, 8, 9, 1, 2), (3, text + " more", 7, 8, 9, 1, 2), (3, "a clean text of that id", 7, 8, 9, 1, 2), (4, "another clean text", 7, 8, 9, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _slot long, least long, rep long, tile long")
+    out = jaccard_join.drop_near_copies(docs, 5, 80)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [rows[0], rows[3], rows[2], rows[4]] or sorted(map(tuple, out.collect())) == sorted([rows[0], rows[2], rows[3], rows[4]])
+
+
+def test_tiles_of_many_sets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 5)
+    rows = near_copies(9, 60)
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_join(frame(spark, rows), 3, 80).collect())
+    assert got == sorted(jaccard_by_hand(rows, 3, 80))
+
+
 def test_signatures_never_bound_too_low():
     r = np.random.default_rng(3)
     for n in (50, 790, 810, 7990, 8200):
@@ -116,12 +134,54 @@ def test_run_index():
         t += b"\xff" + t[: r.randint(0, len(t))] + b"\xff"
         index = RunIndex(np.frombuffer(t, np.uint8))
         order = sorted(range(len(t)), key=lambda i: t[i:])
-        assert index.order.tolist() == order
-        want = [0] * len(t)
+        assert b"".join(bytes([c]) * n for c, n in zip(index.bytes.tolist(), index.lengths.tolist(), strict=True)) == bytes(t[i - 1] for i in order)
+        want, before = [0] * len(t), [-1] * len(t)
         for p, q in zip(order[1:], order, strict=False):
             while p + want[p] < len(t) and q + want[p] < len(t) and t[p + want[p]] == t[q + want[p]]:
                 want[p] += 1
-        assert index.matching_statistics().tolist() == want
+            before[p] = q if want[p] else -1
+        got = index.matching_statistics()
+        assert got[0].tolist() == before and got[1].tolist() == want
+        key = np.array(r.sample(range(1000), len(t)))
+        for least in (1, 2, 5):
+            alike = [[key[q] for q in range(len(t)) if t[q : q + least] == t[p : p + least] and p + least <= len(t)] for p in range(len(t))]
+            assert index.earlier(key, least).tolist() == [bool(a) and key[p] > min(a) for p, a in enumerate(alike)]
+
+
+def test_run_index_rests_on_its_samples():
+    """A repetitive text has few runs; what the samples say decides all results."""
+    text = np.frombuffer(b"a passage that stands many times, word by word; " * 400 + b"\xff", np.uint8)
+    index = RunIndex(text)
+    assert len(index.bytes) < len(text) / 100
+    key = np.arange(len(text))
+    assert index.earlier(key, 40).sum() == len(text) - 48 - 40
+    index.shared[:] = 0
+    assert not index.earlier(key, 40).any()
+
+
+@pytest.mark.parametrize("slab, piece", [(64, 40), (1 << 20, 1 << 16)])
+def test_long_repeats(spark, monkeypatch, slab, piece):
+    """Texts of many slabs and stretches of many parts give what whole ones give."""
+    monkeypatch.setattr(substring_dedup, "SLAB", slab)
+    monkeypatch.setattr(substring_dedup, "PIECE", piece)
+    monkeypatch.setattr(substring_dedup, "HOT_LEAST", 3)
+    r = random.Random(4)
+    unit = "".join(r.choice("abcdefgh é") for _ in range(300))
+    rows = [(1, unit * 3 + "x" * 200), (2, "y" + unit), (3, "".join(r.choice("abc") for _ in range(500))), (4, unit[50:250] * 2), (5, "x" * 90)]
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in substring_dedup.substring_dedup(frame(spark, rows), least=16, gram=6).collect()}
+    assert [got[d] for d, _ in rows] == repeated_by_hand(rows, 16)
+
+
+def test_memory_of_a_very_long_text():
+    """Anchors of 24 MB of text are found within a bound that doesn't depend on the text."""
+    import tracemalloc
+
+    data = np.frombuffer(("a line that comes again and again, number %d\n" * 50 % tuple(range(50))).encode() * 10_000, np.uint8)
+    tracemalloc.start()
+    at, _ = substring_dedup._in_slabs(data, 32, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(at) and peak < 200 << 20 < 10 * len(data)
 
 
 def tiles_by_hand(p, t, k):
@@ -152,18 +212,36 @@ def test_tiling():
         assert sum(got) == tiles_by_hand(p, t, 3)
 
 
+def test_hash_hits_are_compared():
+    """Windows whose hashes meet by chance aren't taken for equal."""
+    seeds = decontaminate.Seeds([7], ["a b c d e f"], 3)
+    h = words(*buffers(pa.array(["x a b c y u v w z"])), MARKS)
+    k, values, first, item, place, table = seeds.tables[0]
+    seeds.tables[0] = (k, np.sort(np.append(values, decontaminate.windows(h[0], 3)[5])), np.append(first, first[-1] + 1), np.append(item, 0), np.append(place, 0), np.ones_like(table))
+    assert [(a.tolist(), b.tolist()) for *_, a, b in seeds.hits(h[0], h[3])] in ([([0], [1])], [])
+
+
+def test_repeated_seeds_stay_small():
+    """A text that repeats a passage of many items gives each item its own places, not all at once."""
+    seeds = decontaminate.Seeds(list(range(3000)), ["one two three four five"] * 3000, 5)
+    h = words(*buffers(pa.array(["one two three four five " * 2000])), MARKS)
+    sizes = [len(a) for *_, a, _ in seeds.hits(h[0], h[3])]
+    assert len(sizes) == 3000 and set(sizes) == {2000}
+
+
 @pytest.mark.parametrize("block", [2_000_000, 10])
 def test_contamination(spark, messy, block):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     w = item.split()
     turned = " ".join(w[8:] + ["x"] + w[:8])
-    rows = messy + [(200, f"start {item.upper()} end"), (201, turned), (202, " ".join(w[:8])), (203, " ".join(w[::2])), (204, "short item here")]
-    bench = spark.createDataFrame([(1, item, 0.5), (2, None, 0.5), (3, "", 0.5), (4, "short item", 0.5), (4, "short item", 0.1)], "item_id long, text string, coverage double")
+    rows = messy + [(200, f"start {item.upper()} end"), (201, turned), (202, " ".join(w[:8])), (203, " ".join(w[::2])), (204, "short item here"), (205, "here is an item without any id of its own to find"), (206, f"{item} an item without any id of its own")]
+    bench = spark.createDataFrame([(1, item, 0.5), (2, None, 0.5), (3, "", 0.5), (4, "short item", 0.5), (4, "short item", 0.1), (None, "an item without any id of its own", 0.2)], "item_id long, text string, coverage double")
     pairs = {(r.doc_id, r.item_id) for r in decontaminate.contamination(frame(spark, rows), bench, block_words=block).collect()}
-    assert pairs == {(200, 1), (201, 1), (204, 4)}
+    assert pairs == {(200, 1), (201, 1), (204, 4), (205, None), (206, 1), (206, None)}
     out = decontaminate.decontaminate(frame(spark, rows), bench)
-    assert out.count() == len(rows) and {r.doc_id for r in out.where("contaminated").collect()} == {200, 201, 204}
+    assert out.count() == len(rows) and {r.doc_id for r in out.where("contaminated").collect()} == {200, 201, 204, 205, 206}
+    assert {r.doc_id: (r.n_items, r["items"]) for r in out.where("doc_id >= 204").collect()} == {204: (1, [4]), 205: (1, [None]), 206: (2, [None, 1])}
     kept = decontaminate.drop_contaminated(frame(spark, rows), bench, block_words=block)
-    assert kept.columns == frame(spark, []).columns and kept.count() == len(rows) - 3
+    assert kept.columns == frame(spark, []).columns and kept.count() == len(rows) - 5
     assert decontaminate.decontaminate(frame(spark, []), bench).count() == 0 and decontaminate.drop_contaminated(frame(spark, rows), bench.where("false")).count() == len(rows)
     assert re.sub(r"\W", "", item).isalpha()
