@@ -161,6 +161,10 @@ def json_props_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.json_object_keys("props").alias("keys"))
 
 
+#: Forms of one deployment, given as parameters.
+IMAGE_FORMS = {"cann": r"(?i)cann[^0-9]*(\d+\.\d+(?:\.\d+)?(?:\.?rc\d+)?)", "soc": r"^SOC_VERSION=(\S+)", "python": r"(?i)python[-/]?(\d+\.\d+(?:\.\d+)?)"}
+
+
 @query("SELECT p_partkey AS id, '8.' || p_partkey % 5 || '.rc1' AS cann, 'dev' || p_partkey % 3 AS soc, CASE WHEN p_partkey % 2 = 0 THEN '3.' || p_partkey % 4 + 9 ELSE '' END AS python FROM part")
 def env_list_extract(spark, sf_dir):
     """Versions in the environment of images."""
@@ -168,7 +172,7 @@ def env_list_extract(spark, sf_dir):
 
     n = lambda m, add=0: (F.col("p_partkey") % m + add).cast("string")
     env = F.array(F.lit("HOME=/root"), F.concat(F.lit("SOC_VERSION=dev"), n(3)), F.concat(F.lit("TOOL=/usr/cann-8."), n(5), F.lit(".rc1/lib")), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("PATH=/opt/python3."), n(4, 9))).otherwise("PATH=/bin"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), environment_versions(env).alias("v")).select("id", "v.*")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), environment_versions(env, IMAGE_FORMS).alias("v")).select("id", "v.*")
 
 
 @query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '0.' || p_partkey % 7 || '.1' WHEN 1 THEN '0.' || p_partkey % 5 || '.2' ELSE '0.3.' || p_partkey % 4 END AS version, (['upstream', 'notes', 'tag'])[p_partkey % 3 + 1] AS source FROM part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import versions
+from ..functions import parsing, versions
 from ..operators import asof, companion
 from ..plans.search import version_kind
 from .registry import registry, table
@@ -180,8 +180,7 @@ def mode_by_version(spark, sf_dir):
 
 
 _IMAGES = "images AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'nightly-main' WHEN 1 THEN 'releases-v0.' || p_partkey % 9 || '.0' WHEN 2 THEN 'latest' WHEN 3 THEN 'v0.' || p_partkey % 9 || '.0-a3-openeuler' WHEN 4 THEN 'v0.' || p_partkey % 9 || '.0' ELSE 'x_dev_' || p_partkey % 9 END AS tag FROM part)"
-#: Tags of builds that change, and what kind they are.
-MOVING = r"(?i)(^|[-_])(nightly|ntightly|daily)([-_]|$)|(^|[-_])releases([-_]|$)|(^|[-_])(main|latest|develop|master|dev)([-_]|$)"
+MOVING = parsing.MOVING
 
 
 def _images(spark, sf_dir):
@@ -192,7 +191,7 @@ def _images(spark, sf_dir):
 
 @query(f"WITH {_IMAGES} SELECT p_partkey, tag FROM images WHERE NOT regexp_matches(tag, '{MOVING}')")
 def managed_filter(spark, sf_dir):
-    return _images(spark, sf_dir).where(~F.col("tag").rlike(MOVING))
+    return _images(spark, sf_dir).where(parsing.is_managed(F.col("tag")))
 
 
 @query(
@@ -201,9 +200,8 @@ def managed_filter(spark, sf_dir):
 FROM images WHERE regexp_matches(tag, '{MOVING}') GROUP BY 1"""
 )
 def excluded_categories(spark, sf_dir):
-    low = F.lower("tag")
-    kind = F.when(low.rlike("nightly|ntightly|daily"), "nightly").when(low.startswith("releases") | low.contains("-releases"), "branch").when(low.isin("latest", "develop", "master") | low.startswith("main"), "trunk").when(low.startswith("dev") | low.rlike("[-_]dev"), "dev").otherwise("other")
-    return _images(spark, sf_dir).where(F.col("tag").rlike(MOVING)).groupBy(kind.alias("category")).agg(F.count("*").alias("n"))
+    moving = _images(spark, sf_dir).where(~parsing.is_managed(F.col("tag")))
+    return moving.groupBy(parsing.moving_category(F.col("tag")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_IMAGES}, b AS (SELECT DISTINCT regexp_replace(tag, '{versions.PLATFORM}', '') AS base, tag FROM images) SELECT base, coalesce(max(CASE WHEN tag = base THEN tag END), min(tag)) AS tag, count(*) AS n FROM b GROUP BY base")

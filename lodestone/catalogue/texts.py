@@ -133,7 +133,7 @@ def symbol_normalize(spark, sf_dir):
 def symbol_match(spark, sf_dir):
     """Reports that hold a symbol, matched by token with the table."""
     reports = _names(spark, sf_dir).select("id", F.concat(F.lit("error in "), "name", F.lit(": stop")).alias("text"))
-    return symbols.match_symbols(reports, _table(spark, sf_dir))
+    return symbols.match_symbols(reports, _table(spark, sf_dir)).drop("place")
 
 
 _TITLES = "titles AS (SELECT o_orderkey AS id, 'Crash in Vector' || o_orderkey % 7 || ' Core' || chr((65 + o_orderkey % 3)::INT) || chr((65 + o_orderkey % 3)::INT) || ' on NPU' || o_orderkey % 4 || ' with some_flag' || o_orderkey % 5 AS title FROM orders)"

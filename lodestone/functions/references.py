@@ -13,6 +13,7 @@ FIX_VERB = r"(?:fix(?:es|ed)?|close(?:s|d)?|resolve(?:s|d)?|address(?:es|ed)?)"
 FIXES = rf"(?i)\b{FIX_VERB}\s+(?:issue\s+|bug\s+)?#(\d+)\b"
 FIXES_IN = rf"(?i)\b{FIX_VERB}\s+(?:https?://github\.com/)?([A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+)#(\d+)\b"
 FIXED_BY = r"(?i)(?:fixed|fix|closed|resolved)\s+by\s+#(\d+)\b"
+#: Command forms, flags that are no commands, images, and which signatures are entities.
 COMMAND = r"命令格式\s*\n\s*([a-z][a-z0-9_-]{1,31})(?:\s*\[[^\]]*\])*(?:\s+-([a-z][a-z0-9_-]*))?"
 ACTIONS = ("g", "s", "h", "i")
 IMAGE = r"""!\[([^\]]*)\]\(([^)\s]+)(?:\s+["'][^"']*["'])?\)"""
@@ -55,6 +56,13 @@ def error_codes(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ACL_CODE), F.lit(1)))
 
 
+def resolved_images(text: Column, known: Column) -> Column:
+    """A Markdown text in which each local image that ``known`` (map of reference to stored name) has points to its stored copy."""
+    refs = F.filter(image_references(text), lambda r: (r["kind"] == "local") & F.map_contains_key(known, r["ref"]))
+    swap = lambda acc, r: F.replace(acc, F.concat(F.lit("]("), r["ref"]), F.concat(F.lit("]("), F.element_at(known, r["ref"])))
+    return F.aggregate(refs, F.coalesce(text, F.lit("")), swap)
+
+
 def clean_entity(value: Column) -> Column:
     """One line without quotes, commas or backslashes."""
     return F.translate(F.regexp_replace(F.regexp_replace(strip(value), "^[\"']+|[\"']+$", ""), r"(?U)\s+", " "), "\\,\"'", "____")

@@ -10,9 +10,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .symbols import MODEL
 from .text import strip
 
 SIGNATURE = "array<struct<kind:string,text:string,weight:double,origin:string>>"
@@ -40,14 +41,16 @@ class Rule:
 class SignatureRules:
     """The first layer where no symbol table is at hand, the roots of module paths, and version forms."""
 
+    #: Fixed values.
     first: Sequence[Rule] = (
         Rule("kernel", r"""(?:kernel_name|kName|kname)\s*=\s*["']?([A-Za-z_][A-Za-z0-9_]*)""", (1,), 3.5, "kernel_name="),
-        Rule("kernel", r"\b(aclnn[A-Z][A-Za-z0-9_]*|npu[A-Z][A-Za-z0-9_]*)", (1,), 3.0, "aclnn"),
-        Rule("op", r"\b(moe_[a-z0-9_]+|[a-z]+_[a-z0-9_]+_combine|[a-z]+_[a-z0-9_]+_dispatch)\b", (1,), 2.5, "op"),
+        Rule("kernel", r"\b(aclnn[A-Z][A-Za-z0-9_]*|npu[A-Z][A-Za-z0-9_]*|_C_ascend::[A-Za-z0-9_]+)", (1,), 3.0, "aclnn"),
+        Rule("op", r"\b(dispatch_ffn_combine|mega_moe|moe_[a-z0-9_]+|[a-z]+_[a-z0-9_]+_combine|[a-z]+_[a-z0-9_]+_dispatch)\b", (1,), 2.5, "op"),
         Rule("errcode", r"(?:drvRetCode|retCode)\s*[=: ]\s*(\d{1,7})|(?:error code|errCode|err_code|error_code)\s*[=: ]\s*(\d{3,7})", (1, 2), 3.0, "errcode"),
         Rule("errcode", r"\b(?:ACL_|aclnn)?(?:error|errno)?\s*(?:code|number)\s*[=:]\s*(\d{6})\b", (1,), 2.5, "errno"),
         Rule("errcode", r"(?i)\b(?:failed|error|exception)[^\n]{0,40}\b(107\d{3}|50[0-9]\d{3}|56\d{4}|0x[0-9a-f]{5,8})\b", (1,), 2.5, "raw"),
-        Rule("env", r"\b(ASCEND_[A-Z0-9_]+|HCCL_[A-Z0-9_]+|enable_[a-z0-9_]+|FUSED_MC2|MLAPO|PCP|DCP|EPLB)\b", (1,), 1.2, "env"),
+        Rule("env", r"\b((?:[A-Z]+_)?ASCEND_[A-Z0-9_]+|HCCL_[A-Z0-9_]+|enable_[a-z0-9_]+|FUSED_MC2|MLAPO|PCP|DCP|EPLB)\b", (1,), 1.2, "env"),
+        Rule("model", MODEL + r"\b", (1,), 1.0, "model"),
     )
     roots: Sequence[str] = ("csrc", "torch_npu", "torch")
     versions: str = r"(?i)\b(CANN\s*\d+\.\d+(?:\.\d+)?|HDK\s*\d+\.\d+(?:\.\d+)?|torch-?npu\s*\d+\.\d+(?:\.\d+)?)\b"
@@ -114,6 +117,18 @@ def deduped(signatures: Column) -> Column:
     return _once(signatures, lambda x: _once(first(x), longest))
 
 
+#: A symbol's kind as a signature's; others are operators.
+SYMBOL_KINDS = {"kernel": "kernel", "feature": "env", "model": "model", "version": "version"}
+
+
+def symbol_signatures(matches: DataFrame) -> DataFrame:
+    """id, symbols: matched symbols (id, name, kind, weight, place) as the first layer of ``extract_signatures``."""
+    kind = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SYMBOL_KINDS.items() for x in pair]), F.col("kind")), F.lit("op"))
+    one = F.struct("place", F.struct(kind.alias("kind"), F.lower(strip(F.col("name"))).alias("text"), F.col("weight").cast("double").alias("weight"), F.concat(F.lit("symbol["), "kind", F.lit("]")).alias("origin")).alias("s"))
+    per = matches.where(F.length("name") >= 3).groupBy("id").agg(F.array_sort(F.collect_list(one)).alias("l"))
+    return per.select("id", F.col("l.s").cast(SIGNATURE).alias("symbols"))
+
+
 def extract_signatures(text: Column, rules: SignatureRules = RULES, symbols: Column | None = None, signals: Sequence[str] = ()) -> Column:
     """All layers, de-duplicated. ``symbols`` (of the signature type) takes the place of the first layer's expressions."""
     plain, low = F.coalesce(text, F.lit("")), F.lower(F.coalesce(text, F.lit("")))

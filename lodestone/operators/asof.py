@@ -1,55 +1,59 @@
-"""As-of joins on release dates."""
+"""As-of joins on release dates.
+
+A calendar is turned into spans between releases, and each span is put under the months that it touches. A row meets the
+spans of its keys and month by an equi-join and lies in one of them at most. What lies after the last release (or before
+the first) meets one row of its keys. So rows are never sorted, and those of one key are not gathered: the calendar's side
+is small, and where it isn't, a skewed key of the rows can be split. There is one way for calendars of any size.
+
+Releases without a key, tag or date count as not there; rows with a null key or time get no release.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _side(rows: DataFrame, calendar: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Rows and releases in one table, by time; a release comes first among equals."""
-    row = rows.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_row"), F.struct("*").alias("_all"), F.lit(None).cast("string").alias("_tag"), F.lit(None).cast("timestamp").alias("_date"))
-    cal = calendar.select(*keys, F.col("date").alias("_at"), F.lit(0).alias("_row"), F.lit(None).cast(row.schema["_all"].dataType).alias("_all"), F.col("tag").alias("_tag"), F.col("date").alias("_date"))
-    return row.unionByName(cal)
+def _month(at: Column) -> Column:
+    return F.year(at) * 12 + F.month(at)
 
 
-#: A calendar of up to so many releases is sent to the rows; a larger one is sorted together with them.
-SMALL = 2000
+def _calendar(calendar: DataFrame, keys: list[str], pick) -> DataFrame:
+    """One release for each time of each key, with the times of its neighbours."""
+    known = calendar.where("tag is not null and date is not null")
+    for k in keys:
+        known = known.where(F.col(k).isNotNull())
+    one = known.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("date").cast("timestamp").alias("_date")).agg(pick("tag").alias("_tag"))
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_date")
+    return one.withColumn("_before", F.lag("_date").over(w)).withColumn("_after", F.lead("_date").over(w))
 
 
-def _lists(calendar: DataFrame, keys: list[str]) -> DataFrame | None:
-    """keys and the releases (date, tag) of each as an array, for a calendar whose size allows it."""
-    if calendar.limit(SMALL + 1).count() > SMALL:
-        return None
-    return F.broadcast(calendar.groupBy(*keys).agg(F.collect_list(F.struct("date", "tag")).alias("_releases")))
+def _met(rows: DataFrame, at: Column, spans: DataFrame, edge: DataFrame, keys: list[str], inside: Column, beyond: Column, out: str) -> DataFrame:
+    same = lambda side: [F.col(k) == F.col(f"{side}.{x}") for k, x in zip(keys, [f"_k{i}" for i in range(len(keys))], strict=True)]
+    found = rows.withColumn("_at", at).withColumn("_month", _month(F.col("_at")))
+    joined = found.join(spans.alias("_s"), [*same("_s"), F.col("_month") == F.col("_s._m"), inside], "left").join(edge.alias("_e"), [*same("_e"), beyond], "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("_s._tag", "_e._tag").alias(out))
 
 
 def latest_before(rows: DataFrame, calendar: DataFrame, at: str, keys: list[str], out: str = "tag") -> DataFrame:
     """``rows`` with the tag of the last release (columns of ``keys``, tag, date) at or before ``at``; null if there is none.
 
-    Rows stay where they are if the calendar is small; else one sort by key and time. Of releases at one time the highest
-    tag counts.
+    Of releases at one time the highest tag counts.
     """
-    small = _lists(calendar, keys)
-    if small is not None:
-        best = F.array_max(F.filter("_releases", lambda r: r["date"] <= F.col(at)))
-        return rows.join(small, keys, "left").withColumn(out, best["tag"]).drop("_releases")
-    w = Window.partitionBy(*keys).orderBy("_at", "_row", "_tag").rowsBetween(Window.unboundedPreceding, 0)
-    both = _side(rows, calendar, keys, at).withColumn("_found", F.when(F.col("_at").isNotNull(), F.last("_tag", ignorenulls=True).over(w)))
-    return both.where("_row = 1").select("_all.*", F.col("_found").alias(out))
+    releases = _calendar(calendar, keys, F.max)
+    spans = releases.where("_after is not null").withColumn("_m", F.explode(F.sequence(_month(F.col("_date")), _month(F.col("_after")))))
+    edge = releases.where("_after is null")
+    when = F.col("_at")
+    return _met(rows, F.col(at).cast("timestamp"), spans, edge, keys, (F.col("_s._date") <= when) & (when < F.col("_s._after")), F.col("_e._date") <= when, out)
 
 
 def first_after(rows: DataFrame, calendar: DataFrame, at: str, keys: list[str], out: str = "tag") -> DataFrame:
     """``rows`` with the tag of the first release at or after ``at``, both to the minute; the lowest tag of a minute counts."""
-    minute = calendar.withColumn("date", F.date_trunc("minute", "date"))
-    small = _lists(minute, keys)
-    if small is not None:
-        best = F.array_min(F.filter("_releases", lambda r: r["date"] >= F.date_trunc("minute", F.col(at))))
-        return rows.join(small, keys, "left").withColumn(out, best["tag"]).drop("_releases")
-    both = _side(rows.withColumn("_minute", F.date_trunc("minute", F.col(at))), minute, keys, "_minute")
-    w = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.asc("_row"), F.desc("_tag")).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_found", F.when(F.col("_at").isNotNull(), F.last("_tag", ignorenulls=True).over(w)))
-    return found.where("_row = 1").select("_all.*", F.col("_found").alias(out)).drop("_minute")
+    releases = _calendar(calendar.withColumn("date", F.date_trunc("minute", "date")), keys, F.min)
+    spans = releases.where("_before is not null").withColumn("_m", F.explode(F.sequence(_month(F.col("_before")), _month(F.col("_date")))))
+    edge = releases.where("_before is null")
+    when = F.col("_at")
+    return _met(rows, F.date_trunc("minute", F.col(at)), spans, edge, keys, (F.col("_s._before") < when) & (when <= F.col("_s._date")), when <= F.col("_e._date"), out)
 
 
 def enriched_span(docs: DataFrame, calendar: DataFrame, keys: list[str], resolved: str = "resolved_at", upper: str = "version_max") -> DataFrame:

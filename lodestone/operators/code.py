@@ -37,8 +37,14 @@ def lookup(symbols: DataFrame, name: str, versions: Sequence[str] = ()) -> DataF
     return hits.where(F.col("version").isin(*versions)) if versions else hits
 
 
-def two_stage(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 50) -> DataFrame:
-    """version, path, line, text, stage: the symbol's rows, or if it has none, the lines that hold the word. One plan."""
+def two_stage(symbols: DataFrame, lines: DataFrame, name: str, limit: int = 50, per_version: bool = False) -> DataFrame:
+    """version, path, line, text, stage: the symbol's rows, or if it has none, the lines that hold the word. One plan.
+
+    With ``per_version`` lines are searched at once, ``limit`` of each version: symbols don't tell versions apart.
+    """
+    if per_version:
+        hits = grep(lines, name, limit, True).select("version", "path", "line", "text", F.lit("line").alias("stage"))
+        return hits.orderBy("version", "path", "line")
     exact = lookup(symbols, name).select("version", "path", "line", F.col("snippet").alias("text"), F.lit("symbol").alias("stage"))
     any_exact = exact.agg((F.count("*") > 0).alias("any"))
     loose = grep(lines, name, limit).select("version", "path", "line", "text", F.lit("line").alias("stage"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.confidence import DEFAULT, Confidence, version_weight
+from ..functions.parsing import escaped
 from ..functions.versions import plain_tag, version, version_distance
 
 
@@ -90,8 +91,8 @@ def representatives(tags: DataFrame) -> DataFrame:
     return tags.groupBy("base").agg(F.coalesce(F.max(F.when(F.col("tag") == F.col("base"), F.col("tag"))), F.min("tag")).alias("tag"), F.count("*").alias("n"))
 
 
-#: Versions and devices in the environment of a container image.
-ENVIRONMENT = {"cann": r"(?i)cann[^0-9]*(\d+\.\d+(?:\.\d+)?(?:\.?rc\d+)?)", "soc": r"^SOC_VERSION=(\S+)", "python": r"(?i)python[-/]?(\d+\.\d+(?:\.\d+)?)"}
+#: Versions and devices in the environment of a container image; the last one counts in search paths only.
+ENVIRONMENT = {"cann": r"(?i)cann-(\d+\.\d+(?:\.\d+)?)", "soc": r"^SOC_VERSION=(.+)$", "python": r"^(?=.*PATH).*?python(\d+\.\d+(?:\.\d+)?)"}
 
 
 def environment_versions(env, patterns=None):
@@ -101,10 +102,30 @@ def environment_versions(env, patterns=None):
 
 
 def noted_version(notes, tag, component: str):
-    """struct(version, source): what release notes say goes with a release (upstream, else anywhere), else the tag's own base version."""
-    name = "".join("\\" + ch if not ch.isalnum() else ch for ch in component)
-    upstream = F.nullif(F.regexp_extract(notes, rf"(?i)upstream\s+{name}\s+v?(\d+\.\d+\.\d+)", 1), F.lit(""))
-    anywhere = F.nullif(F.regexp_extract(notes, rf"(?i)\b{name}\s+v?(\d+\.\d+\.\d+)", 1), F.lit(""))
-    own = F.nullif(F.regexp_extract(tag, r"^v?(\d+\.\d+\.\d+)", 1), F.lit(""))
+    """struct(version, source): what release notes say goes with a release (as what it builds on, else anywhere), else the tag's own base version."""
+    name, text = escaped(component), F.coalesce(notes, F.lit(""))
+    # fixed values: how notes say what a release builds on
+    upstream = F.nullif(F.regexp_extract(text, rf"(?i)(?:upstream\s+{name}|based\s+on\s+{name}|align(?:ing|s)?\s+the\s+plugin\s+with\s+upstream\s+{name})[^\d]*v?(\d+\.\d+(?:\.\d+)?)", 1), F.lit(""))
+    anywhere = F.nullif(F.regexp_extract(text, rf"(?i)\b{name}\s+v?(\d+\.\d+(?:\.\d+)?)", 1), F.lit(""))
+    own = F.nullif(F.regexp_extract(tag, r"^v?(\d+\.\d+(?:\.\d+)?)", 1), F.lit(""))
     source = F.when(upstream.isNotNull(), "upstream").when(anywhere.isNotNull(), "notes").when(own.isNotNull(), "tag").otherwise("")
     return F.struct(F.coalesce(upstream, anywhere, own, F.lit("")).alias("version"), source.alias("source"))
+
+
+def rows_of_tags(tags: DataFrame, images: DataFrame, notes: DataFrame, own: str, upstream: str) -> DataFrame:
+    """A companion row for each base of tags (base, tag): ``own`` and ``upstream`` versions, cann, notes and where they come from.
+
+    ``images`` has tag and env (an array of settings) of representatives, ``notes`` base and body of releases; either may lack some.
+    """
+    joined = representatives(tags).join(images.select("tag", "env"), "tag", "left").join(notes.select("base", "body"), "base", "left")
+    env = environment_versions(F.coalesce("env", F.array().cast("array<string>")))
+    found = joined.select("base", env.alias("e"), noted_version(F.col("body"), F.col("base"), upstream).alias("v"))
+    extra = F.concat_ws("; ", F.when(F.col("e.soc") != "", F.concat(F.lit("SOC="), "e.soc")), F.when(F.col("e.python") != "", F.concat(F.lit("python="), "e.python")))
+    origin = F.concat_ws("+", F.when(F.col("e.cann") != "", F.lit("cann=image")), F.when(F.col("v.source") != "", F.concat(F.lit(f"{upstream}="), "v.source")))
+    return found.select(F.col("base").alias(own), F.col("v.version").alias(upstream), F.col("e.cann").alias("cann"), extra.alias("notes"), F.when(origin != "", F.concat(F.lit("auto("), origin, F.lit(")"))).otherwise("manual").alias("source"))
+
+
+def resolved(queries: DataFrame, cells: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, row_id, place: the rows of a component's version (query_id, component, version), else the k nearest."""
+    same = exact(queries, cells).withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("row_id")))
+    return same.unionByName(nearest(queries.join(same.select("query_id").distinct(), "query_id", "left_anti"), cells, k).select("query_id", "row_id", "place"))

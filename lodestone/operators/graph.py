@@ -58,3 +58,100 @@ def statistics(nodes: dict[str, DataFrame], edges: dict[str, DataFrame]) -> Data
             part = table.distinct().agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(label).alias("label"), "n")
             out = part if out is None else out.unionByName(part)
     return out
+
+
+#: The labels of nodes and edges.
+NODES = ("issue", "request", "document", "release", "operator", "error_code", "model", "version", "interface")
+EDGES = ("fixes", "merged_in", "mentions", "documents")
+
+
+def relations(docs: DataFrame, calendar: DataFrame, entities, tables: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes (node_*) and edges (edge_*) of documents (source_id, source_type, repo, number, title, body, status, created_at,
+    resolved_at, merged_at, url), release calendars (repo, tag, date, kind) and manuals' tables (source_id, cells as text).
+
+    ``entities`` is a function of a text column to an array of (kind, name). What fixes what comes from both sides' texts;
+    a change request is in the first release after its merge; edges without both ends are left out.
+    """
+    from ..functions.references import error_codes, fix_references, fixed_by_references, interfaces, source_id
+    from .asof import first_after
+
+    one_line = F.regexp_replace(F.coalesce("title", F.lit("")), "[\\r\\n]", " ").alias("title")
+    body = F.coalesce("body", F.lit(""))
+    issues, requests = docs.where("source_type = 'github_issue'"), docs.where("source_type = 'github_pr'")
+    others = docs.where("source_type not in ('github_issue', 'github_pr')")
+    out = {
+        "node_issue": issues.select(F.col("source_id").alias("id"), "repo", "number", one_line, "status", "created_at", "resolved_at", "url"),
+        "node_request": requests.select(F.col("source_id").alias("id"), "repo", "number", one_line, "status", "merged_at", "url"),
+        "node_document": others.select(F.col("source_id").alias("id"), "source_type", one_line),
+    }
+    forth = requests.select(F.col("source_id").alias("src"), F.explode(fix_references(body, F.col("repo"))).alias("r")).select("src", source_id(F.col("r.repo"), "issue", F.col("r.number")).alias("dst"))
+    back = issues.select(F.explode(fixed_by_references(body, F.col("repo"))).alias("r"), F.col("source_id").alias("dst")).select(source_id(F.col("r.repo"), "pr", F.col("r.number")).alias("src"), "dst")
+    fixes = forth.union(back.select("src", "dst")).distinct()
+    out["edge_fixes"] = fixes.join(out["node_request"].select(F.col("id").alias("src")), "src", "left_semi").join(out["node_issue"].select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    merged = requests.where("merged_at is not null").select("source_id", "repo", F.try_to_timestamp("merged_at").alias("at"))
+    released = first_after(merged, calendar.select("repo", "tag", "date"), "at", ["repo"]).where("tag is not null")
+    named = F.concat("repo", F.lit(":"), "tag")
+    out["edge_merged_in"] = released.select(F.col("source_id").alias("src"), named.alias("dst")).distinct()
+    out["node_release"] = calendar.select(named.alias("id"), "repo", "tag", "date", F.coalesce("kind", F.lit("release")).alias("kind")).join(out["edge_merged_in"].select(F.col("dst").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    said = docs.select(F.col("source_id").alias("src"), F.explode(entities(body)).alias("e")).select("src", "e.kind", F.col("e.name").alias("dst")).distinct()
+    out["edge_mentions"] = said
+    taught = others.select(F.col("source_id").alias("src"), F.lit("interface").alias("kind"), F.explode(interfaces(body)).alias("dst"))
+    if tables is not None:
+        taught = taught.unionByName(tables.join(others.select("source_id"), "source_id", "left_semi").select(F.col("source_id").alias("src"), F.lit("error_code").alias("kind"), F.explode(error_codes(F.col("cells"))).alias("dst")))
+    out["edge_documents"] = taught.distinct()
+    every = said.select("kind", "dst").union(taught.select("kind", "dst")).distinct()
+    for kind in ("operator", "error_code", "model", "version", "interface"):
+        out[f"node_{kind}"] = every.where(F.col("kind") == kind).select(F.col("dst").alias("id"))
+    return out
+
+
+def write(tables: dict[str, DataFrame], path: str) -> None:
+    """Node and edge tables as Parquet folders; a mark is written last."""
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    first = next(iter(tables.values()))
+    first.sparkSession.createDataFrame([("built",)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/_built")
+
+
+def is_built(spark, path: str) -> bool:
+    """Whether a graph was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_built/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def read(spark, path: str) -> dict[str, DataFrame]:
+    """The tables of a graph; none where it isn't built."""
+    if not is_built(spark, path):
+        return {}
+    names = [f"node_{n}" for n in NODES] + [f"edge_{e}" for e in EDGES]
+    return {n: spark.read.parquet(f"{path.rstrip('/')}/{n}") for n in names}
+
+
+def built_statistics(spark, path: str) -> DataFrame:
+    """kind, label, n, built of a graph; one row that says it isn't built, where there is none."""
+    tables = read(spark, path)
+    if not tables:
+        return spark.createDataFrame([(None, None, None, False)], "kind string, label string, n bigint, built boolean")
+    parts = {k: {n.partition("_")[2]: t for n, t in tables.items() if n.startswith(k)} for k in ("node", "edge")}
+    return statistics(parts["node"], parts["edge"]).withColumn("built", F.lit(True))
+
+
+def summary(counts: DataFrame) -> DataFrame:
+    """One line of text of the statistics (kind, label, n)."""
+    part = lambda kind: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("label", "n")))), lambda s: F.format_string("%s=%d", s["label"], s["n"])), ", ")
+    total = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0))
+    return counts.agg(F.format_string("nodes %d (%s); edges %d (%s)", total("node"), part("node"), total("edge"), part("edge")).alias("line"))
+
+
+def query(spark, tables: dict[str, DataFrame], sql: str) -> DataFrame:
+    """A SELECT over the tables as views; anything else is refused."""
+    if sql.strip().split(None, 1)[0].lower() not in ("select", "with"):
+        raise ValueError("only queries are allowed")
+    return spark.sql(_braced(sql, tables), **tables)
+
+
+def _braced(sql: str, tables: dict[str, DataFrame]) -> str:
+    """Names of tables as parameters of the query, so that no view of the session is made or replaced."""
+    import re
+
+    return re.sub(r"(?<!['\w.])(" + "|".join(map(re.escape, tables)) + r")(?!['\w])", r"{\1}", sql)

@@ -33,7 +33,7 @@ def resolved(status: Column, resolved_at: Column) -> Column:
 
 def weighted(hits: DataFrame, now: Column, target: Column, c: weights.Confidence = weights.DEFAULT) -> DataFrame:
     """``hits`` (sim and a document's columns) with confidence, final and resolved. ``target`` is a version as text."""
-    w_time = weights.time_weight(F.col("created_at"), F.col("resolved_at"), now, c)
+    w_time = weights.time_weight(F.col("created_at").try_cast("timestamp"), F.col("resolved_at").try_cast("timestamp"), now, c)
     w_version = weights.version_weight(version(F.col("version_min")), version(F.col("version_max")), version(target), c)
     w_source = weights.reliability(F.col("source_type"), F.col("status"), F.col("resolved_at"), F.col("kind"), F.col("verification"), c=c)
     scored = hits.withColumn("confidence", weights.confidence(w_time, w_version, w_source, c))

@@ -10,8 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where the session names none, a folder of this machine's (as in tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")).rstrip("/")
+    """spark.checkpoint.dir, or where a local session names none, a folder of this machine's (as in tests).
+
+    On a cluster there is no such folder: machines would write to disks that others can't see. So the setting is required.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = "file://" + os.path.join(tempfile.gettempdir(), "lodestone-shared")
+    return path.rstrip("/")
 
 
 def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.references import image_references
+from ..functions.references import image_references, resolved_images
 from ..functions.text import strip
 from ..operators.canonical import canonical_documents
 from .schema import CALENDAR, CANONICAL, RAW_COMMENTS, RAW_ITEM, TABLES
@@ -84,17 +84,21 @@ class IssueSource:
 
 @register_source("markdown")
 class MarkdownSource:
-    """Markdown files; the title is the first heading, else the file's name. Images are listed, not fetched."""
+    """Markdown files; the title is the first heading, else the file's name. Images are listed, not fetched.
+
+    ``assets`` maps local references to stored copies: the body points to those, other local images count as missing.
+    """
 
     def __init__(self, config: Mapping):
-        self.path, self.component = config["path"], config.get("component", "doc")
+        self.path, self.component, self.assets = config["path"], config.get("component", "doc"), config.get("assets", {})
 
     def canonicalize(self, spark: SparkSession) -> DataFrame:
         files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{md,markdown}").text(self.path, wholetext=True)
         name = _stem(F.input_file_name())
+        known = F.create_map(*[F.lit(x) for pair in self.assets.items() for x in pair]).cast("map<string,string>") if self.assets else F.create_map().cast("map<string,string>")
         heading = F.nullif(strip(F.regexp_extract(F.col("value"), r"(?:^|\n)#[ \t]+([^\n]+)", 1)), F.lit(""))
         return files.select(
-            F.lit("doc").alias("source_type"), F.concat(F.lit("markdown:"), name).alias("source_id"), F.input_file_name().alias("url"), F.coalesce(heading, name).alias("title"), F.col("value").alias("body"), F.lit("open").alias("status"),
+            F.lit("doc").alias("source_type"), F.concat(F.lit("markdown:"), name).alias("source_id"), F.input_file_name().alias("url"), F.coalesce(heading, name).alias("title"), resolved_images(F.col("value"), known).alias("body"), F.lit("open").alias("status"),
             F.lit(self.component).alias("component"), F.lit("unverified").alias("verification"), F.create_map(F.lit("images"), F.to_json(image_references(F.col("value")))).alias("extra"),
         )
 
@@ -118,8 +122,12 @@ class ParsedTables:
 
     def canonicalize(self, spark: SparkSession) -> DataFrame:
         files = spark.read.schema(TABLES).option("multiLine", True).option("pathGlobFilter", "*.tables.json").json(self.path)
-        return files.select(
-            F.lit("doc_pdf").alias("source_type"), F.concat(F.lit("tables:"), "source").alias("source_id"), F.col("source").alias("title"), F.array_join(F.transform("tables", lambda t: markdown_table(t["rows"])), "\n\n").alias("body"),
+        tables = F.array_join(F.transform(F.coalesce("tables", F.array().cast(files.schema["tables"].dataType)), lambda t: markdown_table(t["rows"])), "\n\n")
+        # the text layer, by pages or sections, comes before the tables; encrypted files and those without either are left out
+        sections = F.array_join(F.transform("sections", lambda x: F.concat_ws("\n\n", F.when(F.coalesce(x["title"], F.lit("")) != "", F.concat(F.lit("## "), x["title"])), x["text"])), "\n\n")
+        body = F.concat_ws("\n\n", F.nullif(strip(F.coalesce("text", F.lit(""))), F.lit("")), F.nullif(sections, F.lit("")), F.nullif(tables, F.lit("")))
+        return files.where(~F.coalesce("encrypted", F.lit(False))).withColumn("body", body).where("body <> ''").select(
+            F.lit("doc_pdf").alias("source_type"), F.concat(F.lit("tables:"), "source").alias("source_id"), F.col("source").alias("title"), "body",
             F.lit("open").alias("status"), F.lit(self.component).alias("component"), F.lit("expert").alias("verification"),
         )
 
@@ -136,10 +144,180 @@ class ExcelSource:
 
 
 def calendars(spark: SparkSession, path: str) -> DataFrame:
-    """repo, tag, date, kind, prerelease of all calendar files; a broken file is left out."""
-    files = spark.read.schema(f"{CALENDAR}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    rows = files.where("releases is not null").select("repo", F.explode("releases").alias("r"))
-    return rows.select("repo", "r.tag", F.try_to_timestamp("r.date").alias("date"), "r.kind", "r.prerelease").where("date is not null")
+    """repo, tag, date, kind, prerelease of all calendar files: with a list of releases, or (the older form) tags with their
+    dates. A broken file, or an entry without a tag or a readable date, is left out.
+    """
+    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    new = texts.select(F.from_json("v", CALENDAR).alias("c")).where("c.releases is not null").select("c.repo", F.explode("c.releases").alias("r")).select("repo", "r.tag", "r.date", "r.kind", "r.prerelease")
+    flat = texts.select(F.from_json("v", "map<string,string>").alias("m")).where(F.col("m").isNotNull() & ~F.map_contains_key("m", "releases"))
+    old = flat.select(F.try_element_at("m", F.lit("repo")).alias("repo"), F.explode("m").alias("tag", "date")).where("tag not in ('repo', 'generated_at')")
+    rows = new.unionByName(old.select("repo", "tag", "date", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("boolean").alias("prerelease")))
+    return rows.select("repo", "tag", F.try_to_timestamp("date").alias("date"), "kind", "prerelease").where("date is not null and coalesce(tag, '') <> ''")
+
+
+def releases(raw: DataFrame) -> DataFrame:
+    """tag, date, prerelease, kind of raw releases (tag_name, published_at, prerelease, draft), newest first; drafts are left out."""
+    from ..functions.versions import version_kind
+
+    rows = raw.where("not coalesce(draft, false) and tag_name is not null")
+    return rows.select(F.col("tag_name").alias("tag"), F.try_to_timestamp("published_at").alias("date"), F.coalesce("prerelease", F.lit(False)).alias("prerelease"), version_kind(F.col("tag_name")).alias("kind")).orderBy(F.desc_nulls_last("date"), "tag")
+
+
+def calendar_of(repo: str, rows: DataFrame) -> DataFrame:
+    """One row as a calendar file has it: repo and the list of releases, newest first."""
+    each = F.struct(F.col("date").alias("d"), "tag", F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), "prerelease", "kind")
+    listed = F.reverse(F.array_sort(F.collect_list(each)))
+    return rows.agg(F.transform(listed, lambda r: F.struct(r["tag"].alias("tag"), r["date"].alias("date"), r["prerelease"].alias("prerelease"), r["kind"].alias("kind"))).alias("releases")).select(F.lit(repo).alias("repo"), "releases")
+
+
+def companion_matrix(spark: SparkSession, path: str, components: Sequence[str]) -> DataFrame:
+    """row_id, the components' versions, notes and source of a matrix file: a list of rows, or an object with one. A broken file has none."""
+    row = "array<map<string,string>>"
+    texts = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    rows = texts.select(F.coalesce(F.from_json("v", f"struct<rows:{row}>")["rows"], F.from_json("v", row)).alias("rows")).select(F.posexplode("rows").alias("row_id", "r"))
+    return rows.select("row_id", *[F.try_element_at("r", F.lit(c)).alias(c) for c in (*components, "notes", "source")])
+
+
+def symbol_tables(spark: SparkSession, path: str) -> DataFrame:
+    """key, name, kind, weight, versions of saved symbol tables; a broken file has none."""
+    shape = "struct<symbols:array<struct<name:string,kind:string,weight:double,versions:array<string>>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)["symbols"]).alias("s")).select("s.*").where("name is not null")
+    return rows.select(F.lower("name").alias("key"), "name", F.coalesce("kind", F.lit("kernel")).alias("kind"), F.coalesce("weight", F.lit(1.0)).alias("weight"), F.coalesce("versions", F.array().cast("array<string>")).alias("versions")).dropDuplicates(["key"])
+
+
+def write_symbol_table(table: DataFrame, path: str) -> None:
+    """A symbol table as one JSON object, heaviest first; a table is bounded by the source trees."""
+    one = F.struct((-F.col("weight")).alias("o"), "key", F.struct("name", "kind", "weight", "versions").alias("s"))
+    whole = table.agg(F.transform(F.array_sort(F.collect_list(one)), lambda r: r["s"]).alias("symbols"))
+    whole.select(F.to_json(F.struct("symbols")).alias("value")).write.mode("overwrite").text(path)
+
+
+def signal_words(spark: SparkSession, path: str) -> DataFrame:
+    """word, count, docs, idf, score of saved signal words, highest score first; a broken file has none."""
+    shape = "struct<words:array<struct<word:string,count:bigint,docs:bigint,idf:double,score:double>>>"
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", shape)["words"]).alias("w")).select("w.*")
+    return rows.where("word is not null").orderBy(F.desc("score"), "word")
+
+
+def zipped_sources(spark: SparkSession, path: str) -> DataFrame:
+    """version, path, content of zipped source trees, one file for each version; a single folder at the top is left out.
+
+    An archive is opened in the task that reads it, member by member, and never unpacked to disk.
+    """
+    import io
+    import zipfile
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(content))
+                except zipfile.BadZipFile:
+                    continue
+                members = [m for m in archive.namelist() if not m.endswith("/")]
+                tops = {m.partition("/")[0] for m in members}
+                cut = len(next(iter(tops))) + 1 if len(tops) == 1 and all("/" in m for m in members) else 0
+                version = name.rpartition("/")[2].removesuffix(".zip")
+                for m in members:
+                    yield pd.DataFrame({"version": [version], "path": [m[cut:]], "content": [archive.read(m).decode("utf-8", "replace")]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
+    return files.select("path", "content").mapInPandas(run, "version string, path string, content string")
+
+
+def in_repository(sources: DataFrame, repo: str, version: str | None = None, path: str | None = None) -> DataFrame:
+    """Source files of one repository, version and path; names that don't exist give no rows, other repositories never show."""
+    rows = sources.where(F.col("repo") == repo)
+    for column, value in (("version", version), ("path", path)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return rows
+
+
+def has_version(sources: DataFrame, repo: str, version: str) -> bool:
+    return not in_repository(sources, repo, version).isEmpty()
+
+
+@register_source("images")
+class ImageSource:
+    """Images that a recogniser outside the engine has read: JSON lines (path, text, confidence) beside the image files.
+
+    Equal images are one document, by their hash. Those in ``done`` (sha) were taken in before and are left out. Only the
+    signatures of a text are kept; an image without any makes no document.
+    """
+
+    def __init__(self, config: Mapping):
+        self.path, self.results, self.component, self.done = config["path"], config["results"], config.get("component", "doc"), config.get("done")
+
+    def canonicalize(self, spark: SparkSession) -> DataFrame:
+        from ..functions.signatures import extract_signatures
+
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp,gif}").option("recursiveFileLookup", True).load(self.path)
+        named = files.select(F.sha2("content", 256).alias("sha"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file")).groupBy("sha").agg(F.min("file").alias("file"))
+        if self.done is not None:
+            named = named.join(self.done.select("sha"), "sha", "left_anti")
+        read = spark.read.schema("path string, text string, lines array<struct<text:string,confidence:double>>").json(self.results)
+        told = read.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.coalesce("text", F.array_join("lines.text", "\n")).alias("text"), mean_confidence(F.col("lines")).alias("confidence"))
+        kept = named.join(told, "file").withColumn("body", F.array_join(F.transform(extract_signatures(F.col("text")), lambda s: s["text"]), "\n")).where("body <> ''")
+        return kept.select(
+            F.lit("doc_image").alias("source_type"), F.concat(F.lit("image:"), "sha").alias("source_id"), F.col("file").alias("title"), "body", F.lit("open").alias("status"), F.lit(self.component).alias("component"),
+            F.lit("unverified").alias("verification"), F.create_map(F.lit("sha"), F.col("sha"), F.lit("confidence"), F.col("confidence").cast("string")).alias("extra"),
+        )
+
+
+def mean_confidence(lines):
+    """The mean of recognised lines' confidence; 0 without lines."""
+    known = F.filter(F.transform(lines, lambda x: x["confidence"]), lambda c: c.isNotNull())
+    return F.when(F.size(F.coalesce(known, F.array().cast("array<double>"))) > 0, F.aggregate(known, F.lit(0.0), lambda a, c: a + c) / F.size(known)).otherwise(F.lit(0.0))
+
+
+def copied_assets(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
+    """Copies binary files (path, content) under their asset names into ``folder``; what is there already stays as it is.
+
+    Returns path, sha, name and whether the file was copied now. Files are written by the tasks that hold them.
+    """
+    from ..operators.stored import stored
+
+    folder = folder.rstrip("/")
+    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")) if _exists(spark, folder) else spark.createDataFrame([], "name string")
+    names = stored(asset_names(files).join(there.withColumn("held", F.lit(True)), "name", "left").withColumn("copied", F.col("held").isNull()).select("path", "sha", "name", "copied"), "assets")
+
+    def run(frames):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        for frame in frames:
+            system.create_dir(base)
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                with system.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content)
+            yield frame[["name"]]
+
+    new = names.where("copied").groupBy("name").agg(F.min("path").alias("path")).join(files.select("path", "content"), "path")
+    new.select("name", "content").mapInPandas(run, "name string").count()
+    return names
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def demo_items(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """A small corpus to try the engine on: raw items and comments, as ``canonical_documents`` takes them."""
+    day = lambda n: f"2024-0{n}-01T00:00:00Z"
+    items = [
+        (1, "[Bug]: engine runs out of memory", "Engine version: 0.5.1\nRuntimeError: out of memory in npuScatter", ["bug"], "closed", day(1), day(2), day(2), None, False, False, None),
+        (2, "[Bug]: timeout after restart", "Engine 0.5.2 hangs: timeout or trap error, retCode=507014", [], "open", day(2), day(2), None, None, False, False, None),
+        (3, "[Feature]: larger pages", "Please add larger pages", ["v0.6.0"], "open", day(3), day(3), None, None, False, False, None),
+        (4, "[Doc]: settings", "HCCL_BUFFSIZE is not described", [], "closed", day(3), day(4), day(4), None, False, False, None),
+        (5, "[Bug]: wrong result", "enable_fast_path gives wrong results since 0.5.4", [], "open", day(4), day(4), None, None, False, False, None),
+        (6, "Fix memory of scatter", "Fixes #1", [], "closed", day(2), day(2), day(2), None, True, True, day(2)),
+    ]
+    shape = "number bigint, title string, body string, labels array<string>, state string, created_at string, updated_at string, closed_at string, html_url string, is_pr boolean, merged boolean, merged_at string"
+    comments = [(1, 1, "ann", day(1), "same here"), (1, 2, "ben", day(2), "fixed by #6"), (2, 1, "ann", day(3), "any news?")]
+    return spark.createDataFrame(items, shape), spark.createDataFrame(comments, "number bigint, position bigint, login string, created_at string, body string")
 
 
 def snapshots(spark: SparkSession, path: str) -> DataFrame:

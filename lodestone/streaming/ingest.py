@@ -9,29 +9,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ingest
+from ..operators.buckets import Buckets
 from ..operators.stored import shared_folder
 
 
 class Store:
-    """A table of documents in versions of Parquet folders; a batch makes a new version, the last one counts."""
+    """A table of documents in buckets by key; a micro-batch makes a new version of the buckets that it touches.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.version = spark, path.rstrip("/"), None
+    Which version is the last is read from the folder each time, so a restarted stream goes on where it was. A batch that
+    runs again starts from the version before it and writes the same one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "source_id", buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def _files(self) -> Buckets:
+        probe = Buckets(self.spark, self.path, "source_id string", self.key, self.buckets)
+        first = next(iter(probe._manifest(probe.version()).items()), None)
+        probe.schema = None if first is None else self.spark.read.parquet(f"{self.path}/data/v{first[1]}/bucket={first[0]}").schema
+        return probe
 
     def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.path}/v{self.version}")
+        files = self._files()
+        return None if files.schema is None else files.read()
 
     def merge(self, batch: DataFrame, batch_id: int, key: str, embed: Sequence[str], every: Sequence[str]) -> None:
-        """Idempotent: a batch that runs again writes the same version again. Of equal keys in a batch the last hash counts."""
+        """Idempotent. Of equal keys in a batch the last hash counts."""
         incoming = ingest.hashed(batch, embed, every).withColumn("batch", F.lit(batch_id))
         incoming = incoming.groupBy(key).agg(F.max_by(F.struct("*"), "meta_hash").alias("r")).select("r.*")
-        stored = self.read()
-        if stored is not None:
-            stored = stored.where(F.col("batch") != batch_id)
+        files = self._files()
+        files.key, files.schema = key, incoming.schema
+
+        def change(stored: DataFrame) -> DataFrame:
             changed = ingest.plan(incoming, stored, key).where("action <> 'skip'").drop("action")
-            incoming = ingest.upsert(stored, changed, key)
-        incoming.write.mode("overwrite").parquet(f"{self.path}/v{batch_id}")
-        self.version = batch_id
+            return ingest.upsert(stored, changed, key)
+
+        files.rewrite(incoming, change, batch_id)
 
 
 def ingest_stream(spark: SparkSession, files: str, schema, store: Store, checkpoint: str, key: str, embed: Sequence[str], every: Sequence[str], files_per_batch: int = 1):

@@ -94,15 +94,16 @@ def test_merge_and_order(spark):
     assert got == {("q", 1): "c2", ("q", 2): "c1", ("r", 1): "c1", ("r", 2): "c2"}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_asof(spark, monkeypatch, small):
-    monkeypatch.setattr(asof, "SMALL", 2000 if small else 0)
-    cal = spark.createDataFrame([("r", "v1", "2026-01-01 10:00:30"), ("r", "v2", "2026-02-01 00:00:00"), ("s", "w1", "2026-01-01 00:00:00")], "repo string, tag string, date string").withColumn("date", F.col("date").cast("timestamp"))
-    rows = spark.createDataFrame([(1, "r", "2026-01-01 10:00:45"), (2, "r", "2025-01-01 00:00:00"), (3, "r", "2026-03-01 00:00:00"), (4, "s", "2026-01-01 00:00:00"), (5, "t", "2026-01-01 00:00:00"), (6, "r", None)], "id int, repo string, at string").withColumn("at", F.col("at").cast("timestamp"))
+@pytest.mark.parametrize("more", [0, 3000])
+def test_asof(spark, more):
+    """Null keys, tags and dates, and calendars of any size, which give the same."""
+    cal = spark.createDataFrame([("r", "v1", "2026-01-01 10:00:30"), ("r", "v2", "2026-02-01 00:00:00"), ("s", "w1", "2026-01-01 00:00:00"), (None, "n1", "2026-01-01 00:00:00"), ("r", None, "2026-01-15 00:00:00"), ("r", "v9", None)], "repo string, tag string, date string").withColumn("date", F.col("date").cast("timestamp"))
+    cal = cal.union(spark.range(more).select(F.lit("other"), F.concat(F.lit("o"), F.col("id").cast("string")), F.timestamp_seconds(F.col("id") * 100_000)))
+    rows = spark.createDataFrame([(1, "r", "2026-01-01 10:00:45"), (2, "r", "2025-01-01 00:00:00"), (3, "r", "2026-03-01 00:00:00"), (4, "s", "2026-01-01 00:00:00"), (5, "t", "2026-01-01 00:00:00"), (6, "r", None), (7, None, "2026-01-01 00:00:00")], "id int, repo string, at string").withColumn("at", F.col("at").cast("timestamp"))
     back = {r.id: r.tag for r in asof.latest_before(rows, cal, "at", ["repo"]).collect()}
     ahead = {r.id: r.tag for r in asof.first_after(rows, cal, "at", ["repo"]).collect()}
-    assert back == {1: "v1", 2: None, 3: "v2", 4: "w1", 5: None, 6: None}
-    assert ahead == {1: "v1", 2: "v1", 3: None, 4: "w1", 5: None, 6: None}  # to the minute
+    assert back == {1: "v1", 2: None, 3: "v2", 4: "w1", 5: None, 6: None, 7: None}
+    assert ahead == {1: "v1", 2: "v1", 3: None, 4: "w1", 5: None, 6: None, 7: None}  # to the minute
 
 
 def test_companion(spark):
@@ -209,7 +210,13 @@ def test_ingest_plan_backfill(spark):
 
 
 def test_review(spark):
-    ev = spark.createDataFrame([(1, "i", 1, "pending"), (2, "i", 2, "deleted"), (3, "j", 1, "suspected"), (4, "k", 1, "bogus")], "id int, item string, at int, status string")
+    ev = spark.createDataFrame([(1, "i", 1, "pending"), (2, "i", 2, "deleted"), (3, "j", 1, "suspected")], "id int, item string, at int, status string")
+    for bad in ("bogus", None):
+        with pytest.raises(Exception, match="no such status"):
+            review.latest(ev.union(spark.createDataFrame([(4, "k", 1, bad)], ev.schema))).collect()
+    with pytest.raises(ValueError):
+        review.event(spark, "i", "bogus", "2026-01-01", 5)
+    assert review.event(spark, "i", "approved", "2026-01-01 00:00:00", 5, "me").first().status == "approved"
     assert {r.item: r.status for r in review.latest(ev).collect()} == {"i": "deleted", "j": "suspected"}
     assert [tuple(r) for r in review.undone(ev).collect()] == [("i", "pending")]
 
@@ -251,3 +258,21 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     got = run_available(spark, str(tmp_path / "in"), "event_id", ["event_id", "props"], ["event_id", "props", "value"])
     want = ingest.hashed(events, ["event_id", "props"], ["event_id", "props", "value"]).select("event_id", "embed_hash", "meta_hash")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Batches by stores that know nothing of each other, and one that runs twice."""
+    from lodestone.streaming.ingest import Store
+
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, body string")
+    take = lambda b, n: Store(spark, str(tmp_path / "s"), "id", 4).merge(b, n, "id", ["body"], ["id", "body"])
+    read = lambda: {r.id: r.body for r in Store(spark, str(tmp_path / "s"), "id", 4).read().collect()}
+    assert Store(spark, str(tmp_path / "s"), "id", 4).read() is None
+    take(rows((1, "a"), (2, "b")), 0)
+    take(rows((3, "c")), 1)
+    assert read() == {1: "a", 2: "b", 3: "c"}
+    take(rows((3, "d"), (4, "e")), 2)
+    take(rows((3, "d"), (4, "e")), 2)
+    assert read() == {1: "a", 2: "b", 3: "d", 4: "e"}
+    take(rows((2, "z")).where("false"), 3)
+    assert read() == {1: "a", 2: "b", 3: "d", 4: "e"}
