@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-SUBJECTS = ("retrieval", "weights", "releases", "texts", "evidence", "operations")
+SUBJECTS = ("retrieval", "weights", "releases", "texts", "evidence", "operations", "assembly")
 FLAGSHIP = "hybrid_topk_confidence"
 
 

@@ -47,7 +47,7 @@ def _items(spark, sf_dir, words):
 
 def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return stored(fulltext.postings(docs, "doc_id", "text"), "postings", "token"), stored(fulltext.token_lengths(docs, "doc_id", "text"), "lengths")
+    return stored(fulltext.postings(docs, "doc_id", "text"), "postings", "token", "chunk_id"), stored(fulltext.token_lengths(docs, "doc_id", "text"), "lengths")
 
 
 _RANK = """

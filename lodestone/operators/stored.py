@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -22,9 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet and read again; sorted within files by a column that queries look up."""
+#: Tasks that the rows of one value are dealt out to, when a table is sorted by it.
+SPREAD = 64
+
+
+def stored(df: DataFrame, tag: str, by: str | None = None, spread: str | None = None) -> DataFrame:
+    """``df`` written as Parquet and read again; sorted within files by a column that queries look up.
+
+    ``spread`` names a column by which the rows of one value are dealt out, so that no task gets all of a frequent one.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    (df.repartition(by).sortWithinPartitions(by) if by else df).write.parquet(path)
+    keys = [by] if spread is None else [by, F.pmod(F.xxhash64(spread), F.lit(SPREAD))]
+    (df.repartition(*keys).sortWithinPartitions(by) if by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

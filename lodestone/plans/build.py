@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.references import mentions
 from ..functions.signatures import extract_signatures
 from ..operators import chunking, fulltext, graph, ingest
+from ..operators.stored import SPREAD
 from ..operators.vector_store import VectorStore, embedded
 from ..sources import sinks
 from ..sources.registry import build_sources, collect
@@ -67,7 +68,7 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, path: str, rebuild: b
     ingest.replace_chunks(old, ids, new).write.mode("overwrite").parquet(f"{path}/chunks/v{version}")
     chunks = spark.read.parquet(f"{path}/chunks/v{version}")
     store.replace(ids, embedded(chunks.join(ids, "doc_id", "left_semi").select("chunk_id", "doc_id", "text"), provider))
-    fulltext.postings(chunks).repartition("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings/v{version}")
+    fulltext.postings(chunks).repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings/v{version}")
     fulltext.token_lengths(chunks).write.mode("overwrite").parquet(f"{path}/lengths/v{version}")
     spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/built/v{version}")
     return opened(spark, path)
