@@ -40,6 +40,8 @@ WIDTHS, WIDE_FROM = (512, 1024, 2048, 4096, 32768), (800, 1800, 3600, 7200)
 SENT = 4
 #: Shingles and sets that a tile may hold before it is cut: the first bound memory, the others time.
 TILE, TILE_SETS = 4_000_000, 500
+#: A class that has more than one in so many of all rows (and more than HOT_LEAST) is hot.
+HOT, HOT_LEAST = 2000, 1000
 #: Bits of the bitmap of shared keys at most.
 KEY_BITS = 1 << 27
 #: How much larger the sizes of the next band are.
@@ -322,7 +324,7 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     # as many bits as keep chance meetings of a row rare, by all of its keys; what meets by chance is told apart later
     key_bits, class_bits = min(63, n_docs.bit_length() + 20), min(63, n_docs.bit_length() + 12)
     profiles = materialise(_profiles(plain, k, percent, frequent_shingles(plain, k, n_docs), key_bits), "profiles")
-    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sign").alias("sign"))
+    classes = profiles.where("hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.first("sign").alias("sign"), F.count("*").alias("copies"))
     # a number for each class: an id can stand on rows of different classes
     classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     members = materialise(_passing(profiles, classes.where("least is not null").select("hi", "rep", "n", "sign"), percent, class_bits), "passing")
@@ -330,11 +332,23 @@ def jaccard_join(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "
     components = materialise(connected_components(_links(plain, members, named, k, percent)), "components")
     linked = classes.join(components, classes["rep"] == components["node"]).select("hi", "lo", "least", F.col("component").alias("of"))
     linked = linked.join(linked.groupBy("of").agg(F.min("least").alias("component")), "of").select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), "component")
-    merged = classes.join(linked, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").select("hi", "lo", F.coalesce("component", "least").alias("component"))
-    out = profiles.join(merged, ["hi", "lo"], "left")
+    merged = classes.join(linked, (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left").select("hi", "lo", "copies", F.coalesce("component", "least").alias("component"))
+    out = _with_component(profiles, materialise(merged, "merged"), n_docs)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("hi").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
 
+def _with_component(profiles: DataFrame, merged: DataFrame, n_docs: int) -> DataFrame:
+    """Rows with the component of their class. The rows of very large classes, HOT at most, and those without words are told
+    apart where they are and dealt out by id; the others meet their class by a join.
+    """
+    hot = materialise(merged.where(F.col("copies") > max(n_docs / HOT, HOT_LEAST)).select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("component").alias("_hot")), "hot")
+    told = profiles.select("doc_id", "n", "hi", "lo").join(F.broadcast(hot), (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
+    apart = F.col("hi").isNull() | F.col("_hi").isNotNull()
+    told = told.select("doc_id", "n", "hi", "_hot", F.when(apart, F.xxhash64("doc_id", "n")).otherwise(F.col("hi")).alias("k"), F.when(~apart, F.col("lo")).alias("l"))
+    rest = merged.select(F.col("hi").alias("k"), F.col("lo").alias("l"), F.col("component").alias("met"))
+    return told.join(rest, ["k", "l"], "left").select("doc_id", "n", "hi", F.coalesce("_hot", "met").alias("component"))
+
+
 def drop_near_copies(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """The rows of ``docs``, with all columns, that are the least id of their component.
 

@@ -70,8 +70,10 @@ def test_near_copies_of_any_column_names(spark):
 
 
 def test_tiles_of_many_sets_are_cut(spark, monkeypatch):
+    """So are classes of many copies, and the rows without words."""
     monkeypatch.setattr(jaccard_join, "TILE_SETS", 5)
-    rows = near_copies(9, 60)
+    monkeypatch.setattr(jaccard_join, "HOT_LEAST", 1)
+    rows = near_copies(9, 60) + [(i, "a text that many have") for i in range(9)] + [(20 + i, " ") for i in range(3)]
     got = sorted(tuple(r) for r in jaccard_join.jaccard_join(frame(spark, rows), 3, 80).collect())
     assert got == sorted(jaccard_by_hand(rows, 3, 80))
 
