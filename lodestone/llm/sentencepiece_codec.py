@@ -3,7 +3,7 @@
 The model's protobuf is parsed here and rebuilt as a ``tokenizers.Tokenizer``: normaliser (character map, space
 marker, dummy prefix), unigram scores or BPE merges, byte fallback. Texts of BPE models are cut where no piece can reach
 across (before a run of markers, around line ends and tabs that no longer piece holds); each different segment is encoded
-once per worker, all new ones of a batch at once and multithreaded, and its ids are kept, of 16 MB of segments at most.
+once per worker, the new ones of a chunk together and multithreaded, and its ids are kept, of KEEP bytes and SEGMENTS segments at most.
 Unigram models take whole texts. All ids are those of ``tokenizers``; the ``sentencepiece`` library encodes each new
 segment too, and ``parity`` tells whether both agree on all segments of a row.
 
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, released, text_chunks
 
-#: Segments that are encoded as one text.
-JOINED = 500
+#: Segments that are encoded as one text, and that are encoded together.
+JOINED, TOGETHER = 500, 4000
+#: Bytes and number of the segments that a worker's store may hold (some 200 bytes each beside the text); bytes of text that are encoded at once.
+KEEP, SEGMENTS, CHUNK = 16 << 20, 150_000, 1 << 18
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARK = "▁"
 SCHEMA = "doc_id bigint, n_chars bigint, n_tokens bigint, ids array<int>, ids_sha256 string, round_trip boolean, parity boolean"
@@ -105,7 +107,7 @@ class Model:
         if self.kind == 1:
             model = Unigram([(p, s) for p, s, _ in self.pieces], unk_id=self.unk, byte_fallback=self.byte_fallback)
         else:
-            model = BPE(vocab=self.ids, merges=self.merges(), unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback)
+            model = BPE(vocab=self.ids, merges=self.merges(), unk_token=self.pieces[self.unk][0], fuse_unk=True, byte_fallback=self.byte_fallback, cache_capacity=0)  # the codec keeps segments itself
         out = Tokenizer(model)
         out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         return out
@@ -139,9 +141,9 @@ def _alike(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> np.nda
 
 
 class Codec:
-    """Encodes and decodes; keeps the ids of the segments that it has met, of ``keep`` bytes at most."""
+    """Encodes and decodes; keeps the ids of the segments that it has met, of ``keep`` bytes and SEGMENTS segments at most, and of one chunk more."""
 
-    def __init__(self, data: bytes, keep: int = 16 << 20):
+    def __init__(self, data: bytes, keep: int = KEEP):
         import sentencepiece
 
         self.model = Model(data)
@@ -211,9 +213,8 @@ class Codec:
 
     def _learn(self, segments: list[str]) -> None:
         """Put segments into the store, those with line ends apart from the others."""
-        for some in ([s for s in segments if "\n" not in s], [s for s in segments if "\n" in s]):
-            if not some:
-                continue
+        kinds = ([s for s in segments if "\n" not in s], [s for s in segments if "\n" in s])
+        for some in (kind[i : i + TOGETHER] for kind in kinds for i in range(0, len(kind), TOGETHER)):
             self.place.update(zip(some, range(len(self.back), len(self.back) + len(some)), strict=True))
             ids, size = self.by_tokenizers(some)
             plain = [s.encode() for s in some]
@@ -228,7 +229,7 @@ class Codec:
             self.agree = np.append(self.agree, _alike(ids, size, *self.by_sentencepiece(some)))
 
     def _places(self, different: list[str]) -> np.ndarray:
-        if self.held > self.keep:
+        if self.held > self.keep or len(self.back) > SEGMENTS:
             self._forget()
         new = [s for s in different if s not in self.place]
         if new:
@@ -298,7 +299,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, id_col: str = "doc_id
     def run(batches):
         c = codec(shared.value)
         for batch in batches:
-            for part in text_chunks(batch, 1 << 20):
+            for part in text_chunks(batch, CHUNK):
                 yield _rows(c, part.column(0), part.column(1).to_pylist())
 
     return id_text(docs, id_col, text_col).mapInArrow(released(run), SCHEMA)
