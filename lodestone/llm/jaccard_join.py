@@ -73,10 +73,11 @@ def frequent_shingles(docs: DataFrame, k: int, n_docs: int, share: float = FREQU
             every = np.concatenate(held) if held else np.zeros(0, np.uint64)
             held.clear()
             every.sort()
-            start = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
-            counts = np.diff(np.append(start, len(every)))
-            often = counts >= max(REPORT, share * n / 2)
-            return pa.RecordBatch.from_arrays([pa.array(every[start[often]].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+            least = int(np.ceil(max(REPORT, share * n / 2)))
+            ends = every[least - 1 :]  # of runs that are long enough; there are few of them, so that little beside ``every`` is held
+            often = np.unique(ends[ends == every[: len(ends)]])
+            counts = np.searchsorted(every, often, "right") - np.searchsorted(every, often)
+            return pa.RecordBatch.from_arrays([pa.array(often.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
 
         for batch in batches:
             for part in text_chunks(batch):
