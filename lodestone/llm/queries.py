@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, jaccard_join, license_scan, lm_score, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
+from . import common, conversation_repair, decontaminate, jaccard_join, language_id, license_scan, lm_score, prefix_trie, quality_rules, secret_scan, substring_dedup, toxicity, url_filter
 from .sentencepiece_codec import sentencepiece_encode
 
 PIECES = f"{common.TOKENIZER_DIR}/piece_bpe_32k.model"
@@ -55,6 +55,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(common.table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations, with the sums of its subtree."""
+    return prefix_trie.conversation_trie(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation after the damage, its faults and its cheapest repair."""
+    return conversation_repair.conversation_repair(common.table(spark, sf_dir, "conversations"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, by profiles of the documents that are not held out."""
+    docs = common.table(spark, sf_dir, "documents")
+    return language_id.language_id(docs, language_id.train_languages(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
