@@ -175,3 +175,29 @@ def conversation_trie(table: DataFrame) -> DataFrame:
     out = total.join(hashes, ["depth", "node"], "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.lit(none)))
     return out.select(*COLUMNS)
 
+
+
+def oracle_sql() -> str:
+    """The same nodes, chain by chain, each with all its descendants."""
+    return r"""
+WITH RECURSIVE crct AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crct WHERE k < 8),
+ids AS (SELECT DISTINCT conv_id::BIGINT AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT c, c::VARCHAR AS s, 1 AS p, 4294967295::BIGINT AS r FROM ids
+  UNION ALL SELECT crc.c, s, p + 1, xor(r >> 8, t.c) FROM crc JOIN crct t ON t.k = 8 AND t.i = xor(r & 255, ord(substr(s, p, 1))::BIGINT) WHERE p <= length(s)),
+head AS (SELECT c, xor(r, 4294967295) % 4 AS h FROM crc WHERE p = length(s) + 1),
+named AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+orig AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) - 1 AS pos FROM named),
+built AS (SELECT e.c, 0 AS part, pos, role, text FROM head e JOIN orig o ON o.c = e.c - ((e.c % 20) + 20) % 20 AND pos < h
+  UNION ALL SELECT e.c, 1, pos, role, text FROM head e JOIN orig o ON o.c = e.c AND pos >= h),
+turns AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM built),
+chain AS (SELECT c, 0::BIGINT AS d, '' AS n, 0::BIGINT AS words FROM ids
+  UNION ALL SELECT t.c, t.d, sha256(n || length(role) || ':' || role || text), len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT FROM chain JOIN turns t ON t.c = chain.c AND t.d = chain.d + 1),
+nodes AS (SELECT d, n, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM chain GROUP BY d, n),
+parents AS (SELECT w.d, w.n, p.conv_id AS parent_conv_id, p.d AS pd, p.n AS pn FROM nodes w JOIN chain a ON a.c = w.conv_id AND a.d = w.d - 1 JOIN nodes p ON p.d = a.d AND p.n = a.n),
+kids AS (SELECT pd AS d, pn AS n, count(*) AS n_children FROM parents GROUP BY ALL),
+own AS (SELECT d, n, conv_id, n_convs, coalesce(n_children, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN kids USING (d, n)),
+sums AS (SELECT a.d, a.n, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM own w JOIN chain a ON a.c = w.conv_id AND a.d <= w.d GROUP BY a.d, a.n),
+ends AS (SELECT d, n, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS h FROM (SELECT c, d, n FROM chain QUALIFY row_number() OVER (PARTITION BY c ORDER BY d DESC) = 1) GROUP BY d, n)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM own JOIN sums USING (d, n) LEFT JOIN parents USING (d, n) LEFT JOIN ends USING (d, n)"""

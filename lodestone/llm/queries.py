@@ -82,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_jaccard_join": jaccard_join.oracle_sql(),
         "op7_substring_dedup": substring_dedup.oracle_sql(),
         "op10_license_scan": license_scan.oracle_sql(),
+        "op11_prefix_trie": prefix_trie.oracle_sql(),
     }
