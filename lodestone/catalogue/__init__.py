@@ -7,8 +7,8 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-SUBJECTS = ("retrieval", "weights", "releases", "texts", "evidence", "operations", "assembly")
-FLAGSHIP = "hybrid_topk_confidence"
+SUBJECTS = ("retrieval", "recall", "weights", "releases", "texts", "evidence", "operations", "assembly")
+FLAGSHIP = "component_search_items"
 
 
 def _all(what: str) -> dict:

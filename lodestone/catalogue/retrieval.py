@@ -45,7 +45,7 @@ def _items(spark, sf_dir, words):
     return items.where(F.size("tokens") > 0)
 
 
-def _index(spark, sf_dir):
+def index_of_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return stored(fulltext.postings(docs, "doc_id", "text"), "postings", "token", "chunk_id"), stored(fulltext.token_lengths(docs, "doc_id", "text"), "lengths")
 
@@ -69,7 +69,7 @@ SELECT query_id, doc_id AS chunk_id, tf, round(rank, 6) AS rank FROM ranked"""
 )
 def bm25_phrase(spark, sf_dir):
     """The first three words of each benchmark item as a phrase, over all documents."""
-    index, lengths = _index(spark, sf_dir)
+    index, lengths = index_of_documents(spark, sf_dir)
     return fulltext.ranked(fulltext.phrase_places(index, _items(spark, sf_dir, 3)), lengths).select("query_id", "chunk_id", "tf", F.round("rank", 6).alias("rank"))
 
 
@@ -83,7 +83,7 @@ SELECT query_id, doc_id AS chunk_id, tf, round(rank, 6) AS rank FROM ranked"""
 )
 def bm25_prefix(spark, sf_dir):
     """The first four letters of each benchmark item as a prefix, over all documents."""
-    index, lengths = _index(spark, sf_dir)
+    index, lengths = index_of_documents(spark, sf_dir)
     items = _items(spark, sf_dir, 1).withColumn("tokens", F.transform("tokens", lambda t: F.substring(t, 1, 4)))
     return fulltext.ranked(fulltext.phrase_places(index, items, prefix=True), lengths).select("query_id", "chunk_id", "tf", F.round("rank", 6).alias("rank"))
 
@@ -99,7 +99,7 @@ SELECT query_id, doc_id AS chunk_id, place, round(least(0.5, abs(rank) / (abs(ra
 )
 def fulltext_top50(spark, sf_dir):
     """The fifty best phrase hits of each benchmark item's first twelve words, on the scale of similarities."""
-    index, lengths = _index(spark, sf_dir)
+    index, lengths = index_of_documents(spark, sf_dir)
     hits = fulltext.ranked(fulltext.phrase_places(index, _items(spark, sf_dir, 12)), lengths)
     top = fulltext.top_per(hits, "query_id", [F.desc(F.round("rank", 9)), F.col("chunk_id")], 50)
     return top.select("query_id", "chunk_id", "place", F.round(fulltext.similarity(F.col("rank")), 6).alias("sim"))
@@ -108,7 +108,7 @@ def fulltext_top50(spark, sf_dir):
 @query()
 def fulltext_search_fallback(spark, sf_dir):
     """Phrases that no document has fall back to prefixes of their first words."""
-    index, lengths = _index(spark, sf_dir)
+    index, lengths = index_of_documents(spark, sf_dir)
     return fulltext.search(index, lengths, _items(spark, sf_dir, 6), 50).select("query_id", "chunk_id", "place", F.round("rank", 6).alias("rank"))
 
 
@@ -221,7 +221,7 @@ def hybrid_topk_confidence(spark, sf_dir):
 
     The SQL has no fallback to prefixes; ``hybrid_topk_all_items`` answers every item.
     """
-    index, lengths = _index(spark, sf_dir)
+    index, lengths = index_of_documents(spark, sf_dir)
     found = stored(fulltext.phrase_places(index, _one_word(spark, sf_dir)), "places").select("query_id").distinct()
     return _hybrid(spark, sf_dir, index, lengths, _one_word(spark, sf_dir).join(found, "query_id", "left_semi"))
 
@@ -238,7 +238,7 @@ def _hybrid(spark, sf_dir, index, lengths, queries):
 @query()
 def hybrid_topk_all_items(spark, sf_dir):
     """As ``hybrid_topk_confidence``, but of every benchmark item: those without a phrase hit fall back to prefixes."""
-    return _hybrid(spark, sf_dir, *_index(spark, sf_dir), _one_word(spark, sf_dir))
+    return _hybrid(spark, sf_dir, *index_of_documents(spark, sf_dir), _one_word(spark, sf_dir))
 
 
 @query(

@@ -39,9 +39,8 @@ def query_tokens(text: Column) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All runs of n characters."""
-    many = F.length(text) - (n - 1)
-    return F.when(many > 0, F.transform(F.sequence(F.lit(1), F.greatest(many, F.lit(1))), lambda i: text.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All runs of n characters, found in one pass: each match looks ahead and goes on by a whole character."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def hash_bucket(gram: Column, dim: int) -> Column:

@@ -6,6 +6,7 @@ A row has chunk_id, doc_id, embedding and meta (a map). Ids are unique: what com
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,11 +64,13 @@ class VectorStore:
         return self.read().count()
 
 
-def embedded(chunks: DataFrame, provider: Callable | str = "echo", batch: int = 64, dim: int = 256) -> DataFrame:
+def embedded(chunks: DataFrame, provider: Callable | str = "echo", batch: int = 64, dim: int = 256, degrade: bool = False) -> DataFrame:
     """chunk_id, doc_id, embedding, meta of chunks (chunk_id, doc_id, text, and what else goes into meta).
 
     ``echo`` hashes n-grams into ``dim`` buckets in the JVM. Any other provider is a function of a list of texts to a list of
-    vectors; it is called with ``batch`` texts at a time, across documents, in Arrow batches.
+    vectors; it is called with ``batch`` texts at a time, across documents, in Arrow batches. With ``degrade`` the
+    texts of a call that fails are asked for one by one, behind a breaker in each task, and those that fail have no vector
+    (null); else a failing call fails the job.
     """
     rest = [c for c in chunks.columns if c not in ("chunk_id", "doc_id", "text")]
     meta = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(f"`{c}`").cast("string"))]) if rest else F.create_map().cast("map<string,string>")
@@ -82,10 +85,15 @@ def embedded(chunks: DataFrame, provider: Callable | str = "echo", batch: int =
         return plain.drop("text").join(parts, F.col("chunk_id") == F.col("id"), "left").select("chunk_id", "doc_id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(dense).alias("embedding"), "meta")
 
     def run(frames):
+        ask = Breaker(provider, time.monotonic) if degrade else provider
         for frame in frames:
             texts, out = frame["text"].tolist(), []
             for i in range(0, len(texts), batch):
-                out += [list(map(float, v)) for v in provider(texts[i : i + batch])]
+                some = texts[i : i + batch]
+                got = ask(some)
+                if got is None and len(some) > 1:  # one bad text may fail a batch; while the provider is down the breaker answers
+                    got = [x[0] if (x := ask([t])) else None for t in some]
+                out += [None] * len(some) if got is None else [None if v is None else list(map(float, v)) for v in got]
             frame["embedding"] = out
             yield frame[["chunk_id", "doc_id", "embedding", "meta"]]
 
@@ -106,7 +114,8 @@ class Breaker:
     def open(self) -> bool:
         return self.failures >= self.most and self.clock() < self.until
 
-    def __call__(self, text: str):
+    def __call__(self, text):
+        """``call`` of a text, or of a list of them."""
         if self.open:
             return None
         try:

@@ -122,7 +122,7 @@ def test_component_versions_weigh_documents(spark):
 def test_graph(spark, tmp_path):
     _, raw = _demo(spark)
     docs = raw.withColumns({"repo": F.lit("own/repo"), "number": F.regexp_extract("source_id", r"(\d+)$", 1).cast("bigint")})
-    manual = spark.createDataFrame([("tables:m", "doc_pdf", "M", "命令格式\nnpu-tool info -get")], "source_id string, source_type string, title string, body string")
+    manual = spark.createDataFrame([("tables:m", "doc_pdf", "M", "命令格式\nnpu-tool -get")], "source_id string, source_type string, title string, body string")
     docs = docs.unionByName(manual, allowMissingColumns=True)
     cal = spark.createDataFrame([("own/repo", "v0.6.0", "2024-03-01", "release"), ("own/repo", "v0.5.0", "2024-01-01", "release")], "repo string, tag string, date string, kind string").withColumn("date", F.col("date").cast("timestamp"))
     cells = spark.createDataFrame([("tables:m", "E12345 and 507014"), ("other", "E99999")], "source_id string, cells string")

@@ -50,7 +50,7 @@ def test_query(spark, sf_dir, duck, name):
 def test_flagship_and_independence(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).columns == ["query_id", "doc_id", "final", "resolved"]
+    assert __spark_entry__.entry(spark).columns == ["query_id", "doc_id", "src", "final", "resolved", "version_ref", "place"]
     for path in glob.glob("lodestone/**/*.py", recursive=True):
         if "/llm/" not in path:
             with open(path) as f:
