@@ -198,7 +198,7 @@ def result_snippets(spark, sf_dir):
     return search.search_result(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("SELECT page_id, '| url | n |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || replace(replace(url, '|', '\\|'), chr(10), ' ') || ' |  |' AS body FROM pages")
+@query("SELECT page_id, '| url | n |' || chr(10) || '|---|---|' || chr(10) || '| ' || replace(replace(url, '|', '\\|'), chr(10), ' ') || ' |  |' AS body FROM pages")
 def table_to_markdown(spark, sf_dir):
     from ..sources.registry import markdown_table
 

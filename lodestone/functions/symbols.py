@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.patterns import contained
 from .text import strip
 
 
@@ -104,47 +105,21 @@ def normalised(name: Column) -> Column:
     return F.lower(F.regexp_replace(out, "(?<=[A-Z])(?=[A-Z][a-z])", "_"))
 
 
-#: Runs of characters that a symbol's longest part is looked up by.
-PART = 3
-
-
-def _runs(text, n: int):
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
-
-
-def _held(tokens: DataFrame, table: DataFrame) -> DataFrame:
-    """token, key of symbols whose longest part (a run of letters, figures and underscores) a token holds.
-
-    Parts and tokens meet by a run of three characters of the part, the one that fewest tokens have, and are then compared.
-    """
-    part = F.array_max(F.transform(F.regexp_extract_all("key", F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    parts = table.select("key", part.alias("part")).where("part is not null")
-    words = tokens.select(F.lower("token").alias("word")).distinct()
-    grams = words.select("word", F.explode(F.array_distinct(F.concat(_runs(F.col("word"), PART), F.when(F.length("word") >= 2, _runs(F.col("word"), 2)).otherwise(F.array("word"))))).alias("gram"))
-    own = parts.select("key", "part", F.explode(F.array_distinct(_runs(F.col("part"), PART))).alias("gram"))
-    often = grams.groupBy("gram").count()
-    rarest = own.join(often, "gram").groupBy("key", "part").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    return rarest.join(grams, "gram").where(F.contains(F.col("word"), F.col("part"))).select("word", "key")
-
-
 def match_symbols(texts: DataFrame, table: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """id, name, kind, weight, place of the symbols that each text holds anywhere, in any case, or as a whole word in another
     spelling (weight 0.9). Longest first, then heaviest.
 
-    All joins are by equality: of words' runs of characters, of words, and of normal forms. Texts are read once for their
-    words; a symbol of several words is then looked for in the texts that hold its longest one. Null texts hold nothing.
+    Symbols of any script are found by one automaton over the texts; other spellings by joins of words' normal forms. Null
+    texts hold nothing.
     """
     rows = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    words = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("token"))
-    whole = table.where(F.col("key").rlike("^[a-z0-9_]+$"))
-    met = words.withColumn("word", F.lower("token")).join(_held(words, table), "word").select("id", "key").distinct()
-    inside = met.join(whole, "key").select("id", "name", "kind", "weight")
-    spoken = met.join(table.where(~F.col("key").rlike("^[a-z0-9_]+$")), "key").join(rows, "id").where(F.contains(F.lower("text"), F.col("key"))).select("id", "name", "kind", "weight")
-    tokens = words.where(F.col("token").rlike("^[A-Za-z]")).unionByName(rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_]*"), F.lit(0)))).alias("token"))).distinct()
+    inside = contained(rows.withColumn("text", F.lower("text")), table).distinct().join(table, "key").select("id", "name", "kind", "weight")
+    token = lambda pattern: rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("token"))
+    tokens = token("[A-Za-z0-9_]+").where(F.col("token").rlike("^[A-Za-z]")).unionByName(token("[A-Za-z][A-Za-z0-9_]*")).distinct()
     norms = table.select(normalised(F.col("name")).alias("norm"), "kind", "weight", "key").groupBy("norm").agg(F.min_by(F.struct("kind", "weight"), "key").alias("b"))
     other = tokens.where(F.length("token").between(3, 48)).withColumn("norm", normalised(F.col("token"))).where(F.col("norm") != F.lower("token"))
     variant = other.join(norms, "norm").select("id", F.col("token").alias("name"), F.col("b.kind"), (F.col("b.weight") * 0.9).alias("weight"))
-    direct = inside.unionByName(spoken).withColumn("late", F.lit(0))
+    direct = inside.withColumn("late", F.lit(0))
     both = direct.unionByName(variant.withColumn("late", F.lit(1))).groupBy("id", F.lower("name").alias("name"), "kind").agg(F.min_by("weight", F.struct("late", -F.col("weight"))).alias("weight"))
     order = Window.partitionBy("id").orderBy(F.desc(F.length("name")), F.desc("weight"), "name", "kind")
     return both.withColumn("place", F.row_number().over(order))
@@ -159,9 +134,7 @@ def match_signal_words(texts: DataFrame, words: DataFrame, phrases: DataFrame |
         some = some.unionByName(phrases.select(F.col("phrase").alias("word"), F.col("weight").cast("double").alias("score"), F.lit(1).alias("late")))
     once = some.groupBy(F.lower("word").alias("key")).agg(F.min_by(F.struct("word", "score"), F.struct("late", -F.col("score"), "word")).alias("b")).select("key", "b.*")
     rows = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    tokens = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0)))).alias("token"))
-    met = tokens.withColumn("low", F.lower("token")).join(_held(tokens, once).withColumnRenamed("word", "low"), "low").select("id", "key").distinct()
-    hits = met.join(once, "key").join(rows, "id").where(F.contains(F.lower("text"), F.col("key")))
+    hits = contained(rows.withColumn("text", F.lower("text")), once).distinct().join(once, "key")
     order = Window.partitionBy("id").orderBy(F.desc(F.length("word")), F.desc("score"), "word")
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).select("id", "word", "score", "place")
 

@@ -60,11 +60,17 @@ class Buckets:
         if some:
             out = f"{self.path}/data/v{version}"
             rows.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
-            made = {r["bucket"] for r in self.spark.read.parquet(out).select("bucket").distinct().collect()} if rows.limit(1).count() else set()
+            made = self._made(out)
             manifest = {b: v for b, v in manifest.items() if b not in some} | dict.fromkeys(sorted(made), version)
         lines = self.spark.createDataFrame([(json.dumps({str(b): v}),) for b, v in sorted(manifest.items())], "value string")
         lines.coalesce(1).write.mode("overwrite").text(f"{self.path}/manifest/v{version}")
 
+    def _made(self, folder: str) -> set[int]:
+        """The buckets that a write made, by their folders."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return {int(s.getPath().getName()[7:]) for s in fs.listStatus(path) if s.getPath().getName().startswith("bucket=")}
+
     def clear(self) -> None:
         """An empty version; files of older ones stay until :meth:`vacuum`."""
         version = self.version()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -144,14 +146,34 @@ def summary(counts: DataFrame) -> DataFrame:
 
 
 def query(spark, tables: dict[str, DataFrame], sql: str) -> DataFrame:
-    """A SELECT over the tables as views; anything else is refused."""
-    if sql.strip().split(None, 1)[0].lower() not in ("select", "with"):
+    """A SELECT over the tables as views; anything else is refused, inserts behind a WITH as well."""
+    bound = _braced(sql, tables)
+    _refuse_commands(spark, re.sub(r"\{(\w+)\}", r"\1", bound))
+    return spark.sql(bound, **tables)
+
+
+#: Functions that call any method of the driver's or an executor's machine.
+REFLECTION = r"(?i)\b(?:try_)?(?:reflect|java_method)\s*\("
+
+
+def _refuse_commands(spark, sql: str) -> None:
+    """Reads the statement as Spark does, without running it, and looks at every part of its plan."""
+    jvm = spark._jvm
+    known = [jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{c}") for c in ("Command", "ParsedStatement")]
+    try:
+        todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    except Exception as e:  # noqa: BLE001  whatever the parser raises
+        raise ValueError(f"no query: {str(e)[:200]}") from e
+    if re.search(REFLECTION, sql):
         raise ValueError("only queries are allowed")
-    return spark.sql(_braced(sql, tables), **tables)
+    while todo:
+        node = todo.pop()
+        if any(c.isInstance(node) for c in known):
+            raise ValueError("only queries are allowed")
+        for parts in (node.children(), node.innerChildren()):
+            todo += [parts.apply(i) for i in range(parts.size()) if jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(parts.apply(i))]
 
 
 def _braced(sql: str, tables: dict[str, DataFrame]) -> str:
     """Names of tables as parameters of the query, so that no view of the session is made or replaced."""
-    import re
-
     return re.sub(r"(?<!['\w.])(" + "|".join(map(re.escape, tables)) + r")(?!['\w])", r"{\1}", sql)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import Buckets
+from .stored import stored
 
 SCHEMA = "chunk_id string, doc_id string, embedding array<float>, meta map<string,string>"
 
@@ -32,32 +33,54 @@ class VectorStore:
         return self.files.read()
 
     def _write(self, touched: DataFrame, change: Callable[[DataFrame], DataFrame]) -> None:
+        self._refuse()
+        self.files.rewrite(touched, change)
+
+    def _refuse(self) -> None:
         if self.read_only:
             raise ReadOnly("the vector store is open for reading only")
-        self.files.rewrite(touched, change)
+
+    def _once(self, rows: DataFrame) -> DataFrame:
+        """Rows with one of each chunk_id (the greatest counts), written: they are looked at several times."""
+        one = rows.groupBy("chunk_id").agg(F.max_by(F.struct("doc_id", "embedding", "meta"), F.struct("doc_id", F.to_json("meta"), "embedding")).alias("r"))
+        return stored(one.select("chunk_id", "r.*").select("chunk_id", "doc_id", "embedding", "meta"), "vectors")
+
+    def _put(self, rows: DataFrame, docs: DataFrame | None) -> None:
+        """``rows`` take the place of all chunks of ``docs`` and of the chunks that have their ids, in whatever document."""
+        elsewhere = self.read().join(rows.select("chunk_id"), "chunk_id", "left_semi").select("doc_id")
+        touched = stored((elsewhere if docs is None else elsewhere.union(docs.select("doc_id"))).union(rows.select("doc_id")).distinct(), "touched")
+
+        def change(old: DataFrame) -> DataFrame:
+            kept = old.join(rows.select("chunk_id"), "chunk_id", "left_anti")
+            kept = kept if docs is None else kept.join(docs.select("doc_id").distinct(), "doc_id", "left_anti")
+            return kept.select(rows.columns).unionByName(rows)
+
+        self._write(touched, change)
 
     def add(self, rows: DataFrame) -> None:
-        """Rows of new chunks, or new rows of known ones; of rows with one chunk_id in a batch the greatest counts."""
-        rows = rows.groupBy("chunk_id").agg(F.max_by(F.struct("doc_id", "embedding", "meta"), F.struct("doc_id", F.to_json("meta"))).alias("r")).select("chunk_id", "r.*").select("chunk_id", "doc_id", "embedding", "meta")
-        self._write(rows, lambda old: old.join(rows.select("chunk_id"), "chunk_id", "left_anti").select(rows.columns).unionByName(rows))
+        """Rows of new chunks, or new rows of known ones, which may have moved to another document; of rows with one chunk_id in a
+        batch the greatest counts.
+        """
+        self._refuse()
+        self._put(self._once(rows), None)
 
     def replace(self, docs: DataFrame, rows: DataFrame) -> None:
-        """The documents ``docs`` (doc_id) have the chunks ``rows`` and no others."""
-        both = docs.select("doc_id").union(rows.select("doc_id")).distinct()
-        self._write(both, lambda old: old.join(both, "doc_id", "left_anti").select(rows.columns).unionByName(rows))
+        """The documents ``docs`` (doc_id) and those of ``rows`` have the chunks ``rows`` and no others."""
+        self._refuse()
+        once = self._once(rows)
+        self._put(once, docs.select("doc_id").union(once.select("doc_id")).distinct())
 
     def delete(self, docs: DataFrame) -> None:
         """All chunks of the documents ``docs`` (doc_id), in one pass however many they are."""
         self._write(docs, lambda old: old.join(docs.select("doc_id").distinct(), "doc_id", "left_anti"))
 
     def update_meta(self, rows: DataFrame) -> None:
-        """New meta of all chunks of documents (doc_id, meta); vectors stay."""
-        new = rows.select("doc_id", F.col("meta").alias("_new"))
+        """New meta of all chunks of documents (doc_id, meta), of several rows of a document the greatest; vectors stay."""
+        new = rows.groupBy("doc_id").agg(F.max_by("meta", F.to_json("meta")).alias("_new"))
         self._write(rows, lambda old: old.join(new, "doc_id", "left").withColumn("meta", F.coalesce("_new", "meta")).select(*old.columns))
 
     def clear(self) -> None:
-        if self.read_only:
-            raise ReadOnly("the vector store is open for reading only")
+        self._refuse()
         self.files.clear()
 
     def count(self) -> int:

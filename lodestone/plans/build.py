@@ -3,26 +3,48 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.references import mentions
 from ..functions.signatures import extract_signatures
 from ..operators import chunking, fulltext, graph, ingest
-from ..operators.stored import SPREAD
-from ..operators.vector_store import VectorStore, embedded
+from ..operators.segments import Cache, Segments
+from ..operators.stored import SPREAD, stored
+from ..operators.vector_store import ReadOnly, VectorStore, embedded
 from ..sources import sinks
-from ..sources.registry import build_sources, collect
+from ..sources.registry import build_sources, collect, conformed
+from ..sources.schema import CANONICAL
 
 #: What vectors are made of, and all that a document is known by.
 EMBED, EVERY = ("source_id", "title", "body"), ("source_id", "title", "body", "status", "resolved_at", "version_min", "version_max", "component", "kind", "verification")
+#: Row groups of postings are small, so that a search reads those of its tokens and not much else.
+POSTING_BYTES = 4 << 20
+
+
+_S = T.StringType()
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+#: Schema, key and group of each table. A document that changes in other fields than its text has only its row replaced.
+TABLES = {
+    "docs": (T.StructType([*CANONICAL, *_schema(embed_hash=_S, meta_hash=_S)]), "source_id", "docs"),
+    "chunks": (_schema(doc_id=_S, chunk_id=_S, seq=T.IntegerType(), text=_S), "doc_id", "text"),
+    "postings": (_schema(token=_S, chunk_id=_S, pos=T.IntegerType(), doc_id=_S), "doc_id", "text"),
+    "lengths": (_schema(chunk_id=_S, dl=T.IntegerType(), doc_id=_S), "doc_id", "text"),
+    "vectors": (_schema(chunk_id=_S, doc_id=_S, embedding=T.ArrayType(T.FloatType()), meta=T.MapType(_S, _S)), "doc_id", "text"),
+}
 
 
 @dataclass(frozen=True)
 class Built:
-    """The tables of a build, read from where it wrote them, and what it did with each document (source_id, action)."""
+    """The tables of one version of a build, and what it did with each document (source_id, action)."""
 
     docs: DataFrame
     chunks: DataFrame
@@ -30,68 +52,102 @@ class Built:
     lengths: DataFrame
     vectors: VectorStore
     actions: DataFrame
+    version: int = 0
+
+
+class Frozen:
+    """What a vector store reads from: the rows of one version."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+
+    def read(self) -> DataFrame:
+        return self.rows
+
+
+def tables(spark: SparkSession, path: str) -> Segments:
+    """The segments of the build under ``path``. Postings of a token are dealt out by chunk, and sorted by token in each file."""
+    spread = lambda df: df.repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("token", "chunk_id", "pos")
+    return Segments(spark, path, TABLES, {"postings": spread}, {"postings": {"parquet.block.size": str(POSTING_BYTES)}})
 
 
 def build(spark: SparkSession, configs: Sequence[Mapping], path: str, rebuild: bool = False, limit: int | None = None, provider: Callable | str = "echo", buckets: int = 64) -> Built:
     """Takes in the documents of the sources ``configs``; only those that are new or changed are cut and embedded again.
 
     ``rebuild`` starts from nothing, ``limit`` takes the first documents by id. A document that comes without a body keeps no
-    chunks. Tables are written under ``path``; full-text postings are sorted by token within files.
+    chunks. Of one id the document of the source named first counts.
     """
-    path = path.rstrip("/")
     docs = sinks.unique(collect(spark, build_sources(configs)))
     if limit is not None:
         docs = docs.orderBy("source_id").limit(limit)
     return ingest_documents(spark, docs, path, rebuild, provider, buckets)
 
 
-def ingest_documents(spark: SparkSession, docs: DataFrame, path: str, rebuild: bool = False, provider: Callable | str = "echo", buckets: int = 64) -> Built:
-    """The same from canonical documents: rebuilds from them, or takes in what changed."""
-    store = VectorStore(spark, f"{path}/vectors", buckets=buckets)
-    known = None if rebuild else _last(spark, path)
-    incoming = ingest.hashed(docs, EMBED, EVERY)
-    version = 0 if known is None else known + 1
-    if rebuild:
-        version = (_last(spark, path) or 0) + 1
-        store.clear()
-    stored = spark.read.parquet(f"{path}/docs/v{known}") if known is not None else incoming.where("false")
-    planned = ingest.plan(incoming, stored, "source_id")
-    planned.select("source_id", "action").write.mode("overwrite").parquet(f"{path}/actions/v{version}")
-    actions = spark.read.parquet(f"{path}/actions/v{version}")
-    changed = planned.where("action <> 'skip'").drop("action")
-    ingest.upsert(stored, changed, "source_id").write.mode("overwrite").parquet(f"{path}/docs/v{version}")
-    again = actions.where("action = 'embed'").select("source_id")
-    fresh = spark.read.parquet(f"{path}/docs/v{version}").join(again, "source_id", "left_semi")
-    new = chunking.chunk_documents(fresh)
-    old = spark.read.parquet(f"{path}/chunks/v{known}") if known is not None else new.where("false")
-    ids = again.select(F.col("source_id").alias("doc_id"))
-    ingest.replace_chunks(old, ids, new).write.mode("overwrite").parquet(f"{path}/chunks/v{version}")
-    chunks = spark.read.parquet(f"{path}/chunks/v{version}")
-    store.replace(ids, embedded(chunks.join(ids, "doc_id", "left_semi").select("chunk_id", "doc_id", "text"), provider))
-    fulltext.postings(chunks).repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings/v{version}")
-    fulltext.token_lengths(chunks).write.mode("overwrite").parquet(f"{path}/lengths/v{version}")
-    spark.createDataFrame([(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/built/v{version}")
-    return opened(spark, path)
-
-
-def _last(spark: SparkSession, path: str) -> int | None:
-    """The last build that was written to its end."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/built")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    return max((int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))), default=None)
-
+def ingest_documents(spark: SparkSession, docs: DataFrame, path: str, rebuild: bool = False, provider: Callable | str = "echo", buckets: int = 64, cache: str | None = None) -> Built:
+    """The same from canonical documents: rebuilds from them, or takes in what changed.
 
-def opened(spark: SparkSession, path: str, read_only: bool = True) -> Built:
-    """The last build under ``path``; its vectors are open for reading."""
-    v = _last(spark, path)
-    if v is None:
+    All tables change in one commit at the end: a build that fails leaves the version before, and one that starts while
+    another commits ends with :class:`Conflict`. What is written is in proportion to what came in. Texts that were ever embedded by
+    the provider (known as ``cache``, or by its name) aren't embedded again. ``buckets`` is not used any more.
+    """
+    path = path.rstrip("/")
+    store = tables(spark, path)
+    state = store.state()
+    fresh_start = rebuild or state["version"] < 0
+    base = {**state, "segments": {}, "gone": {}} if rebuild else state
+    incoming = ingest.hashed(sinks.unique(conformed(docs)), EMBED, EVERY)
+    held = store.read("docs", base)
+    planned = ingest.plan(incoming, held.select("source_id", "embed_hash", "meta_hash"), "source_id")
+    planned = stored(planned, "planned")
+    changed = planned.where("action <> 'skip'")
+    again = planned.where("action = 'embed'")
+    chunks = stored(chunking.chunk_documents(again).select(*TABLES["chunks"][0].fieldNames()), "chunks")
+    vectors = _vectors(spark, chunks, path, provider, cache)
+    added = {
+        "docs": store.written("docs", changed, state),
+        "chunks": store.written("chunks", chunks, state),
+        "postings": store.written("postings", fulltext.postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id"), state),
+        "lengths": store.written("lengths", chunks.select("chunk_id", fulltext.token_count(F.col("text")).alias("dl"), "doc_id"), state),
+        "vectors": store.written("vectors", vectors, state),
+    }
+    gone = {} if fresh_start else {"docs": changed.select("source_id"), "text": again.select("source_id")}
+    version = store.commit(base | {"version": state["version"]}, added, gone)
+    return replace(opened(spark, path, version=version), actions=planned.select("source_id", "action"))
+
+
+def _vectors(spark: SparkSession, chunks: DataFrame, path: str, provider: Callable | str, cache: str | None) -> DataFrame:
+    """chunk_id, doc_id, embedding, meta of chunks. Hashed n-grams are made anew; other providers see a text once."""
+    if isinstance(provider, str):
+        return embedded(chunks.select("chunk_id", "doc_id", "text"), provider)
+    known = Cache(spark, f"{path}/embedded", cache or f"{getattr(provider, '__module__', '')}.{getattr(provider, '__qualname__', type(provider).__qualname__)}".replace("<", "").replace(">", ""))
+    ask = lambda new: embedded(new.select(F.hex("hash").alias("chunk_id"), F.lit("").alias("doc_id"), "text"), provider).select(F.unhex("chunk_id").alias("hash"), "embedding")
+    found = known.filled(chunks.select("text"), ask)
+    return chunks.withColumn("hash", Cache.hash(F.col("text"))).join(found, "hash").select("chunk_id", "doc_id", "embedding", F.create_map().cast("map<string,string>").alias("meta"))
+
+
+def opened(spark: SparkSession, path: str, read_only: bool = True, version: int | None = None) -> Built:
+    """A build under ``path``, the last one or one that is named: all its tables are of one version.
+
+    Vectors are open for reading; they change by builds only. Actions are those of documents since the version before.
+    """
+    path = path.rstrip("/")
+    store = tables(spark, path)
+    if not store.versions():
         raise FileNotFoundError(f"nothing is built under {path}")
-    table = lambda name: spark.read.parquet(f"{path}/{name}/v{v}")
-    docs = table("docs").withColumn("doc_id", F.col("source_id"))
-    return Built(docs, table("chunks"), table("postings"), table("lengths"), VectorStore(spark, f"{path}/vectors", read_only=read_only), table("actions"))
+    if not read_only:
+        raise ReadOnly("the tables of a build change by builds only")
+    state = store.state(version)
+    read = lambda name: store.read(name, state)
+    held = VectorStore(spark, f"{path}/vectors", read_only=True)
+    held.files = Frozen(read("vectors"))
+    none = spark.createDataFrame([], "source_id string, action string")
+    return Built(read("docs").withColumn("doc_id", F.col("source_id")), read("chunks"), read("postings").select("token", "chunk_id", "pos"), read("lengths").select("chunk_id", "dl"), held, none, state["version"])
+
+
+def undo(spark: SparkSession, path: str, version: int) -> Built:
+    """Goes back to an older version, as a new one; whatever came after stays readable by its number."""
+    tables(spark, path).restore(version)
+    return opened(spark, path)
 
 
 def build_graph(spark: SparkSession, docs: DataFrame, calendar: DataFrame, path: str, tables: DataFrame | None = None, limit: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Protocol
@@ -47,19 +48,29 @@ def build_sources(configs: Sequence[Mapping]) -> list[Source]:
 
 
 def conformed(df: DataFrame) -> DataFrame:
-    """Any documents with all canonical columns, in order; what is missing is null."""
-    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL])
+    """Any documents with all canonical columns, in order; what is missing is null. A column ``ingest_order`` stays as well."""
+    order = [F.col("ingest_order").cast("bigint").alias("ingest_order")] if "ingest_order" in df.columns else []
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL], *order)
+
+
+#: Documents of one source that have an order of their own.
+_OWN_ORDER = 1 << 40
 
 
 def collect(spark: SparkSession, sources: Sequence[Source]) -> DataFrame:
-    """The documents of all sources; one that isn't implemented is left out with a warning."""
+    """The documents of all sources, with column ingest_order: by source as they are named, then by the order that a source
+    gives its documents. A source that isn't implemented is left out with a warning.
+    """
     parts = []
-    for s in sources:
+    for i, s in enumerate(sources):
         try:
-            parts.append(conformed(s.canonicalize(spark)))
+            docs = conformed(s.canonicalize(spark))
         except NotImplementedError as e:
             log.warning("%s: %s", type(s).__name__, e)
-    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], CANONICAL))
+            continue
+        own = F.coalesce("ingest_order", F.lit(_OWN_ORDER - 1)) if "ingest_order" in docs.columns else F.lit(_OWN_ORDER - 1)
+        parts.append(docs.withColumn("ingest_order", F.lit(i * _OWN_ORDER).cast("bigint") + F.least(own, F.lit(_OWN_ORDER - 1))))
+    return reduce(DataFrame.unionByName, parts, conformed(spark.createDataFrame([], "source_id string, ingest_order bigint")))
 
 
 def _stem(path):
@@ -108,7 +119,7 @@ def markdown_table(rows):
     width = F.array_max(F.transform(rows, F.size))
     cell = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, cell), F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), width))
     lines = F.transform(rows, line)
     return F.when(F.size(rows) > 0, F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n")).otherwise("")
 
@@ -243,7 +254,7 @@ def has_version(sources: DataFrame, repo: str, version: str) -> bool:
 class ImageSource:
     """Images that a recogniser outside the engine has read: JSON lines (path, text, confidence) beside the image files.
 
-    Equal images are one document, by their hash. Those in ``done`` (sha) were taken in before and are left out. Only the
+    Equal images are one document, by their hash, whichever of their names was read. Those in ``done`` (sha) were taken in before and are left out. Only the
     signatures of a text are kept; an image without any makes no document.
     """
 
@@ -254,12 +265,19 @@ class ImageSource:
         from ..functions.signatures import extract_signatures
 
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,webp,gif}").option("recursiveFileLookup", True).load(self.path)
-        named = files.select(F.sha2("content", 256).alias("sha"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file")).groupBy("sha").agg(F.min("file").alias("file"))
+        base = self.path.rstrip("/").rpartition("/")[2]
+        named = files.select(F.sha2("content", 256).alias("sha"), F.regexp_extract("path", rf"^.*?/{re.escape(base)}/(.+)$", 1).alias("place"), F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
         if self.done is not None:
             named = named.join(self.done.select("sha"), "sha", "left_anti")
         read = spark.read.schema("path string, text string, lines array<struct<text:string,confidence:double>>").json(self.results)
-        told = read.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.coalesce("text", F.array_join("lines.text", "\n")).alias("text"), mean_confidence(F.col("lines")).alias("confidence"))
-        kept = named.join(told, "file").withColumn("body", F.array_join(F.transform(extract_signatures(F.col("text")), lambda s: s["text"]), "\n")).where("body <> ''")
+        told = read.select(F.regexp_replace("path", r"^\./", "").alias("key"), F.coalesce("text", F.array_join("lines.text", "\n")).alias("text"), mean_confidence(F.col("lines")).alias("confidence"))
+        # a name with its folder means that file; a bare one means files of that name in any folder
+        whole = named.join(told, F.col("place") == F.col("key"))
+        bare = named.join(told.where(~F.contains("key", F.lit("/"))), F.col("file") == F.col("key")).where("place <> key")
+        # of equal images whatever was recognised under any of their names counts: the one with most, then the least name
+        body = F.array_join(F.transform(extract_signatures(F.col("text")), lambda s: s["text"]), "\n")
+        every = whole.unionByName(bare).withColumn("body", body).where("body <> ''")
+        kept = every.groupBy("sha").agg(F.min("file").alias("file"), F.max_by(F.struct("body", "confidence"), F.struct(F.length("body"), "confidence", "body")).alias("best")).select("sha", "file", "best.*")
         return kept.select(
             F.lit("doc_image").alias("source_type"), F.concat(F.lit("image:"), "sha").alias("source_id"), F.col("file").alias("title"), "body", F.lit("open").alias("status"), F.lit(self.component).alias("component"),
             F.lit("unverified").alias("verification"), F.create_map(F.lit("sha"), F.col("sha"), F.lit("confidence"), F.col("confidence").cast("string")).alias("extra"),

@@ -11,12 +11,13 @@ from .schema import CANONICAL
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """One document of each source_id: the first that came in, by a column ``ingest_order`` if there is one (and then by text).
+    """One document of each source_id: the first that came in, by a column ``ingest_order`` if there is one .
 
-    Tables have no order of their own: without that column the earliest created counts, then the least text, so that a
-    rerun keeps the same.
+    Tables have no order of their own: without that column, or where it is equal, the earliest created counts, then the least
+    text, so that a rerun keeps the same.
     """
-    came = [F.col("ingest_order").asc_nulls_last()] if "ingest_order" in docs.columns else [F.col("created_at").asc_nulls_last()]
+    came = [F.col("ingest_order").asc_nulls_last()] if "ingest_order" in docs.columns else []
+    came.append(F.col("created_at").asc_nulls_last())
     w = Window.partitionBy("source_id").orderBy(*came, F.sha2(F.coalesce("body", F.lit("")), 256))
     return docs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "ingest_order")
 

@@ -198,7 +198,7 @@ def test_parsed_documents(spark, tmp_path):
     (tmp_path / "b.tables.json").write_text(json.dumps({"source": "locked", "encrypted": True, "text": "x"}))
     (tmp_path / "c.tables.json").write_text(json.dumps({"source": "blank", "text": "  "}))
     docs = registry.build_sources([{"type": "parsed_tables", "path": str(tmp_path)}])[0].canonicalize(spark).collect()
-    assert [(d.source_id, d.body) for d in docs] == [("tables:man", "page text\n\n## 1 Head\n\nbody\n\n| a |\n| --- |")]
+    assert [(d.source_id, d.body) for d in docs] == [("tables:man", "page text\n\n## 1 Head\n\nbody\n\n| a |\n|---|")]
 
 
 def test_first_that_came_in_wins(spark):
