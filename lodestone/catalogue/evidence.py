@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import symbols
 from ..operators import code, graph
+from ..operators.code_index import CodeIndex
+from ..operators.stored import shared_folder
 from .registry import registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -128,6 +132,16 @@ def symbol_lookup(spark, sf_dir):
     return code.lookup(symbols.code_symbols(_code(spark, sf_dir)), "Part3", ["1"]).select("version", "path", "line")
 
 
+@query(f"WITH {_SYMBOLS.lstrip()} SELECT version, symbol, path, line FROM sym WHERE version IN ('1', '2')")
+def code_index_symbols(spark, sf_dir):
+    """All versions indexed and stored, one of them a second time; then the symbols of two of them."""
+    index = CodeIndex(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/code-{uuid.uuid4().hex}")
+    files = _code(spark, sf_dir).withColumn("repo", F.lit("own"))
+    index.add(files, excluded=())
+    index.add(files.where("version = '2'"), excluded=())
+    return index.symbols("own", ["1", "2"]).select("version", "symbol", "path", "line")
+
+
 @query(f"WITH {_SYMBOLS.lstrip()} SELECT version, path, line, 'symbol' AS stage FROM sym WHERE symbol = 'run_4' ORDER BY version, path, line LIMIT 50")
 def code_two_stage(spark, sf_dir):
     """A word that is a symbol is answered by its rows; the lines would only be searched without."""

@@ -21,8 +21,8 @@ from ..sources.schema import CANONICAL
 
 #: What vectors are made of, and all that a document is known by.
 EMBED, EVERY = ("source_id", "title", "body"), ("source_id", "title", "body", "status", "resolved_at", "version_min", "version_max", "component", "kind", "verification")
-#: Row groups of postings are small, so that a search reads those of its tokens and not much else.
-POSTING_BYTES = 4 << 20
+#: Row groups and pages of postings are small, so that a search reads those of its tokens and not much else.
+POSTING_BYTES, POSTING_ROWS = 4 << 20, 2000
 
 
 _S = T.StringType()
@@ -68,7 +68,7 @@ class Frozen:
 def tables(spark: SparkSession, path: str) -> Segments:
     """The segments of the build under ``path``. Postings of a token are dealt out by chunk, and sorted by token in each file."""
     spread = lambda df: df.repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("token", "chunk_id", "pos")
-    return Segments(spark, path, TABLES, {"postings": spread}, {"postings": {"parquet.block.size": str(POSTING_BYTES)}})
+    return Segments(spark, path, TABLES, {"postings": spread}, {"postings": {"parquet.block.size": str(POSTING_BYTES), "parquet.page.row.count.limit": str(POSTING_ROWS)}})
 
 
 def build(spark: SparkSession, configs: Sequence[Mapping], path: str, rebuild: bool = False, limit: int | None = None, provider: Callable | str = "echo", buckets: int = 64) -> Built:

@@ -237,3 +237,37 @@ def test_signal_words_of_any_script(spark):
     words = spark.createDataFrame([("内存不足错误", 5.0), ("内存", 4.0), ("Vector Core", 3.0), ("ÉCHEC", 2.0)], "word string, score double")
     texts = spark.createDataFrame([(1, "报错: 内存不足错误, VECTOR CORE"), (2, "un échec"), (3, None)], "id long, text string")
     assert sorted((x.id, x.word, x.place) for x in symbols.match_signal_words(texts, words).collect()) == [(1, "Vector Core", 1), (1, "内存不足错误", 2), (2, "ÉCHEC", 1)]
+
+
+def scanned(df):
+    """Rows that the scans of an executed plan gave."""
+    out, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if node.nodeName().startswith("Scan parquet"):
+            out += node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_a_rare_phrase_reads_few_rows(spark, tmp_path, monkeypatch):
+    """However many documents there are; and the answers are those of the whole index."""
+    monkeypatch.setattr(build, "POSTING_ROWS", 100)
+    r, read = random.Random(2), []
+    for n in (200, 2000):
+        rows = [(f"d{i}", " ".join(r.choices(WORDS, k=30)) + (" rare thing here" if i in (3, 70) else ""), "open") for i in range(n)]
+        built = build.ingest_documents(spark, documents(spark, rows), str(tmp_path / f"kb{n}"))
+        some = fulltext.narrowed(built.index, ["rare", "thing"])
+        assert some.count() == 4
+        held = fulltext.narrowed(built.index, ["rare", "thing"])
+        held.collect()
+        read.append(scanned(held))
+        queries = spark.createDataFrame([("q", ["rare", "thing"]), ("p", ["memory", "timeout"])], "query_id string, tokens array<string>")
+        places = lambda df, **o: sorted(map(tuple, fulltext.phrase_places(df, queries, **o).collect()))
+        narrow, prefixed = places(built.index), places(built.index, prefix=True)
+        monkeypatch.setattr(fulltext, "PUSHED", 0)
+        assert places(built.index) == narrow and places(built.index, prefix=True) == prefixed and ("q", "d70#0", 1) in narrow
+        monkeypatch.setattr(fulltext, "PUSHED", 64)
+    assert read[1] < 2 * read[0] and read[1] < 0.05 * built.index.count()

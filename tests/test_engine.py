@@ -237,7 +237,7 @@ def test_sources(spark, tmp_path):
     got = {r.source_id: r for r in docs.collect()}
     assert set(got) == {"github:o-r:issue:1", "github:o-r:pr:2", "markdown:a", "tables:man"}
     assert got["github:o-r:issue:1"].body.endswith("### me (t):\nhi") and got["github:o-r:pr:2"].status == "merged" and got["markdown:a"].title == "Head"
-    assert got["tables:man"].body == "| a | b\\|c |\n| --- | --- |\n| E12345 |  |"
+    assert got["tables:man"].body == "| a | b\\|c |\n|---|---|\n| E12345 |  |"
     store = str(tmp_path / "store")
     sinks.overwrite(docs.where("source_id <> 'markdown:a'"), store)
     sinks.append(docs, store)
