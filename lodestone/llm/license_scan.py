@@ -1,16 +1,19 @@
 """License scans: phrases at word positions, and an exact set-similarity join of text blocks with license templates.
 
-A text block is a run of words a quarter longer than the template. It meets the template if it holds all of the template's
-``names`` (the words that tell one license from another) and at least ``need`` of its n different tokens: ``threshold`` of
-them, or all where there are fewer than ALL_BELOW, as a short notice without one of its words says something else. Tokens
-are ordered by how many documents hold them, rarest first. A block that meets holds one of the template's first
-n - need + 1 tokens in that order: its prefix (prefix filter). It has ``need`` known tokens (length filter). And where its
-first token of the prefix stands at place p of the template and q of the block's own m known tokens in order, no more than
-n - p and m - q tokens are shared (positional filter). What passes is counted exactly.
-
-All of it is DataFrame functions. Words are cut once: each row's tokens that the templates and phrases know are written
-to the shared folder, with the text where they could be enough. Shuffled are the counts of those tokens only. The template
-list is a literal of the plan, and the driver gets a row for each of its tokens at most.
+A text block is a run of words a quarter longer than the template. It meets the template if it holds ``threshold`` of the
+template's different tokens: ``need`` of n. Tokens are ordered by how many rows hold them, rarest first, over all rows. A block
+that meets holds one of the template's first n - need + 1 tokens in that order, its prefix; an index from these tokens to
+templates is joined with the rows that hold them (prefix filter). A row then needs ``need`` of the template's tokens (length
+filter), and where its first one of the prefix stands at place p of the template's n and q of the row's own m known tokens
+in order, no more than n - p and m - q tokens can be shared (positional filter). In what passes, the blocks that hold a
+token of the prefix are counted exactly.
+
+Every template that a row's blocks meet gives a label: its own if one of these blocks holds half of its ``names`` or more, the
+words that tell one license from another, else ``other``. Notices that are too short for a similarity are phrases, and stand whole.
+
+All of it is DataFrame functions, and the plan is the same for any number of templates. Words are cut twice: to count
+tokens, and to find the rows in reach, whose texts alone are kept beside the base counts in the shared folder. The driver
+gets a row for each token of the templates at most.
 
 Words are runs of a-z (A-Z lower-cased), 0-9 and characters beyond ASCII. Defined cases: a null text counts as empty;
 without a match the labels are empty, the positions null and the score 0. Repeated rows are scanned each; ids may be of
@@ -23,18 +26,23 @@ import math
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Phrases and labels of the base scan.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Short notices and their labels, found as phrases too.
+NOTICES = {
+    "licensed under the apache license version 2 0": "apache-2.0", "licensed under cc by nc 4 0": "cc-by-nc", "licensed under cc by sa 4 0": "cc-by-sa", "gnu general public license version 3": "gpl-3.0",
+}
+
+
 @dataclass(frozen=True)
 class Notice:
-    """A notice under which works are released; a block must hold all of ``names``. Several of one label may be given."""
+    """A notice under which works are released, and its names. Several of one label may be given."""
 
     label: str
     names: str
@@ -44,19 +52,17 @@ class Notice:
 TEMPLATES = (
     Notice("gpl", "gnu general public", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     Notice("gpl-3.0", "gnu general public", "this work is licensed under the gnu general public license version 3"),
-    Notice("apache-2.0", "apache", "licensed under the apache license version 2.0"),
     Notice("apache-2.0", "apache", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     Notice("mit", "granted restriction", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    Notice("mit", "mit", "released under the mit license"),
     Notice("bsd", "redistribution permitted", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Notice("cc-by-nc", "cc nc", "licensed under cc by nc 4.0"),
+    Notice("cc-by-nc", "creative commons noncommercial", "this work is licensed under a creative commons attribution noncommercial 4.0 international license"),
     Notice("cc-by-sa", "creative commons sharealike", "licensed under a creative commons attribution sharealike 4.0 international license"),
     Notice("cc0", "waived copyright", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     Notice("mpl", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2.0"),
     Notice("reserved", "reserved reproduced", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means"),
 )
-#: Templates of fewer different tokens must be there whole.
-ALL_BELOW = 10
+#: The label of a block that lacks most of the names.
+OTHER = "other"
 #: The contract's words, with A-Z taken in before they are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The only letter beyond ASCII whose lower case is an ASCII letter alone, and another that stays beyond.
@@ -78,37 +84,51 @@ def token_frequencies(held: DataFrame) -> dict[str, int]:
 
 
 class _Template:
-    """A notice's tokens with what a block needs: how many, which names, in how many words."""
+    """A notice's tokens with what a block needs: how many tokens, how many names, in how many words."""
 
     def __init__(self, notice: Notice, threshold: float):
         words = _split(notice.text)
         self.label, self.names, self.tokens = notice.label, sorted(set(_split(notice.names))), set(words)
-        self.need = len(self.tokens) if len(self.tokens) < ALL_BELOW else max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
+        self.need = max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
+        self.named = (len(self.names) + 1) // 2
         self.width = len(words) + len(words) // 4
 
-    def in_reach(self, held: str) -> Column:
-        """Whether a row's tokens can be enough at all."""
-        names = F.size(F.array_intersect(held, F.lit(self.names))) == len(self.names)
-        return names & (F.size(F.array_intersect(held, F.lit(sorted(self.tokens)))) >= self.need)
 
-    def best(self, ranks: str, order: Mapping[str, int]) -> Column:
-        """The largest share of the tokens in a block of the column ``ranks`` (each word's place in ``order``, null: unknown)."""
-        mine = sorted(order[t] for t in self.tokens)
-        n, names = len(mine), [order[t] for t in self.names]
-        prefix = mine[: n - self.need + 1]
-        starts = F.array_compact(F.transform(ranks, lambda r, i: F.when(F.array_contains(F.lit(mine), r), i)))
+#: A row of the template table; tokens are in the order of all rows, rarest first.
+TEMPLATE = "token string, tid int, label string, tokens array<string>, names array<string>, need int, named int, width int"
+
 
-        def share(i: Column) -> Column:
-            return F.element_at(F.transform(F.array(F.array_sort(F.array_distinct(F.array_compact(F.slice(ranks, i + 1, self.width))))), met), 1)
+def _index(spark: SparkSession, each: Sequence[_Template], counts: Mapping[str, int]) -> tuple[DataFrame, list[str]]:
+    """The template table with a row for each token of a prefix, and all these tokens."""
+    rows = []
+    for k, t in enumerate(each):
+        mine = sorted(t.tokens, key=lambda x: (counts.get(x, 0), x))
+        rows += [(token, k, t.label, mine, t.names, t.need, t.named, t.width) for token in mine[: len(mine) - t.need + 1]]
+    return spark.createDataFrame(rows, TEMPLATE), sorted({r[0] for r in rows})
 
-        def met(block: Column) -> Column:
-            first = F.array_min(F.array_intersect(block, F.lit(prefix)))
-            reach = F.least(n + 1 - F.array_position(F.lit(mine), first), F.size(block) + 1 - F.array_position(block, first))
-            shared = F.size(F.array_intersect(block, F.lit(mine)))
-            good = (F.size(block) >= self.need) & (reach >= self.need) & (shared >= self.need) & (F.size(F.array_intersect(block, F.lit(names))) == len(names))
-            return F.when(good, shared / F.lit(n)).otherwise(F.lit(0.0))
 
-        return F.coalesce(F.array_max(F.transform(starts, share)), F.lit(0.0))
+def _met(rows: DataFrame, index: DataFrame, order: list[str]) -> DataFrame:
+    """rid, label, score of the templates that blocks of ``rows`` (rid, held, hits, text) meet.
+
+    ``held`` are a row's tokens that templates know, in ``order``, and ``hits`` those of prefixes.
+    """
+    each = rows.select("rid", "held", "text", F.explode("hits").alias("token")).join(index, "token")
+    shared = F.array_intersect("tokens", "held")  # in the template's order
+    first = F.element_at("shared", 1)
+    reach = F.least(F.size("tokens") + 1 - F.array_position("tokens", first), F.size("held") + 1 - F.array_position("held", first))
+    # a row meets a template once, by the first of the prefix that it holds
+    near = each.withColumn("shared", shared).where((F.size("shared") >= F.col("need")) & (F.col("token") == first) & (reach >= F.col("need")))
+    ranks = F.transform(_words(F.col("text")), lambda w: F.array_position("tokens", w).cast("int"))
+    placed = near.select("rid", "tid", "label", "names", "tokens", "need", "named", "width", ranks.alias("ranks"))
+    at = lambda good: F.array_compact(F.transform("ranks", lambda r, i: F.when(good(r), i)))
+    prefix = F.size("tokens") - F.col("need") + 1
+    starts = placed.withColumns({"starts": at(lambda r: r > 0), "rare": at(lambda r: (r > 0) & (r <= prefix))})
+    some = F.filter("starts", lambda i: F.exists("rare", lambda q: (q >= i) & (q < i + F.col("width"))))
+    named = F.size(F.array_intersect("names", F.transform("block", lambda r: F.element_at("tokens", r)))) >= F.col("named")
+    blocks = starts.withColumn("i", F.explode(some)).withColumn("block", F.filter(F.array_distinct(F.slice("ranks", F.col("i") + 1, F.col("width"))), lambda r: r > 0))
+    good = blocks.where(F.size("block") >= F.col("need")).select("rid", "tid", "label", named.alias("named"), (F.size("block") / F.size("tokens")).alias("score"))
+    best = good.groupBy("rid", "tid").agg(F.max("label").alias("label"), F.max("named").alias("named"), F.max("score").alias("score"))
+    return best.select("rid", F.when(F.col("named"), F.col("label")).otherwise(OTHER).alias("label"), "score")
 
 
 def _places(phrase: str) -> Column:
@@ -125,62 +145,60 @@ def _places(phrase: str) -> Column:
 
 
 def license_scan(
-    docs: DataFrame, phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    docs: DataFrame, phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8, notices: Mapping[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Counts, first and last place, labels and score; the score is the best containment, 1 where a phrase stands."""
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    each, phrases = [_Template(t, threshold) for t in templates], [p.split(" ") for p in phrase_labels]
+    each = [_Template(t, threshold) for t in templates]
     known = sorted(set().union(*(t.tokens for t in each)))
-    wanted = sorted({*known, *(w for p in phrases for w in p)})
-    cut = plain.withColumn("words", _words(F.col("text"))).select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.array_intersect("words", F.lit(wanted)).alias("held"), "text")
-    some = [t.in_reach("held") for t in each] + [F.size(F.array_intersect("held", F.lit(sorted(set(p))))) >= len(set(p)) for p in phrases]
-    # the words are cut once; the few texts in reach are kept beside their tokens
-    held = materialise(cut.select("doc_id", "n_words", "held", F.when(reduce(lambda a, b: a | b, some, F.lit(False)), F.col("text")).alias("text")), "license-tokens")
-    counts = token_frequencies(held)
-    order = {t: k for k, t in enumerate(sorted(known, key=lambda t: (counts.get(t, 0), t)))}
-    none = F.array().cast("array<string>")
-    words = held.withColumn("words", F.when(F.col("text").isNotNull(), _words(F.col("text"))).otherwise(none))
-    ranked = [F.when(t.in_reach("held"), t.best("ranks", order)).otherwise(F.lit(0.0)) for t in each]
-    places = words.select("doc_id", "n_words", "held", *[_places(p).alias(f"_p{k}") for k, p in enumerate(phrase_labels)], F.transform("words", _rank(order)).alias("ranks"))
+    counts = token_frequencies(plain.select(F.array_intersect(_words(F.col("text")), F.lit(known).cast("array<string>")).alias("held"))) if known else {}
+    order = sorted(known, key=lambda t: (counts.get(t, 0), t))
+    index, rare = _index(docs.sparkSession, each, counts)
+    strings = lambda xs: F.lit(xs).cast("array<string>")
+    cut = plain.withColumn("words", _words(F.col("text")))
+    cut = cut.withColumns({"held": F.array_intersect(strings(order), F.array_intersect("words", strings(known))), **{f"_p{k}": _places(p) for k, p in enumerate(phrase_labels)}, **{f"_n{k}": F.size(_places(p)) > 0 for k, p in enumerate(notices)}})
     every = F.concat(*[F.col(f"_p{k}") for k in range(len(phrase_labels))]) if phrase_labels else F.array().cast("array<int>")
-    base = F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, label in enumerate(phrase_labels.values())]).cast("array<string>"))
-    scored = F.array(*[F.struct(F.lit(t.label).alias("label"), r.alias("score")) for t, r in zip(each, ranked, strict=True)]) if each else F.array().cast("array<struct<label:string,score:double>>")
-    found = places.select("doc_id", "n_words", every.alias("places"), base.alias("base"), F.filter(scored, lambda s: s["score"] > 0).alias("scored"))
+    labels = lambda when, names: F.array_compact(F.array(*[F.when(when(k), F.lit(x)) for k, x in enumerate(names)]).cast("array<string>"))
+    base = cut.select(
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").cast("bigint").alias("n_words"), every.alias("places"), "held", F.array_intersect("held", strings(rare)).alias("hits"),
+        labels(lambda k: F.size(f"_p{k}") > 0, phrase_labels.values()).alias("base"), labels(lambda k: F.col(f"_n{k}"), notices.values()).alias("more"), "text",
+    )
+    reach = (F.size("hits") > 0) & (F.size("held") >= min((t.need for t in each), default=1))
+    none = F.lit(None).cast("array<string>")
+    base = base.withColumns({"text": F.when(reach, F.col("text")), "held": F.when(reach, F.col("held")).otherwise(none), "hits": F.when(reach, F.col("hits")).otherwise(none)})
+    kept = materialise(base, "license-rows")
+    met = _met(kept.where("text is not null").select("rid", "held", "hits", "text"), index, order).groupBy("rid").agg(F.collect_set("label").alias("met"), F.max("score").alias("best"))
+    rows = kept.drop("text", "held", "hits").join(met, "rid", "left")
     listed = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
-    return found.select(
+    return rows.select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places").cast("bigint").alias("first_word"), F.array_max("places").cast("bigint").alias("last_word"),
-        listed(F.col("base")).alias("base_labels"), listed(F.concat("base", F.col("scored.label"))).alias("labels"),
-        F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max("scored.score"), F.lit(0.0))).alias("score"),
+        listed(F.col("base")).alias("base_labels"), listed(F.concat("base", "more", F.coalesce("met", F.array().cast("array<string>")))).alias("labels"),
+        F.when((F.size("places") > 0) | (F.size("more") > 0), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
     )
 
 
-def _rank(order: Mapping[str, int]):
-    """A word's place in ``order`` as a function of its column; null where it has none."""
-    places = F.create_map(*[F.lit(x) for pair in order.items() for x in pair]).cast("map<string,int>") if order else F.lit(None).cast("map<string,int>")
-    return lambda word: places[word]
-
-
-def oracle_sql(phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8) -> str:
+def oracle_sql(phrase_labels: Mapping[str, str] = PHRASES, templates: Sequence[Notice] = TEMPLATES, threshold: float = 0.8, notices: Mapping[str, str] = NOTICES) -> str:
     """The same over the view ``documents``: every block that begins with a token of a template is held against it."""
     listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}')"
-    phrases = " UNION ALL ".join(
-        f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(p.split(' '), 1))})) AS place FROM texts"
-        for p, label in phrase_labels.items()
+    phrases = lambda xs: " UNION ALL ".join(
+        f"SELECT r, '{label}' AS label, unnest(list_filter(range(len(w)), lambda i: {' AND '.join(f'''w[i + {k}] = '{x}' ''' for k, x in enumerate(p.split(' '), 1))})) AS place FROM texts" for p, label in xs.items()
     )
     each = [_Template(t, threshold) for t in templates]
-    held = ", ".join(f"('{t.label}', {listed(sorted(t.tokens))}, {listed(t.names)}, {t.need}, {t.width})" for t in each)
+    held = ", ".join(f"({k}, '{t.label}', {listed(sorted(t.tokens))}, {listed(t.names)}, {t.need}, {t.named}, {t.width})" for k, t in enumerate(each))
     return f"""
-WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {words("coalesce(text, '')")} AS w FROM documents),
-places AS ({phrases}),
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+places AS ({phrases(phrase_labels)}),
 base AS (SELECT r, count(*) AS n, min(place) AS f, max(place) AS l, list(DISTINCT label) AS labels FROM places GROUP BY r),
-template(label, tokens, names, need, width) AS (VALUES {held}),
-near AS (SELECT r, label, tokens, names, need, width, w FROM texts, template WHERE list_has_all(w, names)),
-block AS (SELECT r, label, tokens, names, need, list_distinct(w[i:i + width - 1]) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near) WHERE list_contains(tokens, w[i])),
-share AS (SELECT r, label, need, len(list_intersect(s, tokens)) AS n, len(tokens) AS size FROM block WHERE list_has_all(s, names)),
-met AS (SELECT r, list(DISTINCT label) AS labels, max(n / size::DOUBLE) AS score FROM share WHERE n >= need GROUP BY r)
+notice AS (SELECT r, list(DISTINCT label) AS labels FROM ({phrases(notices)}) GROUP BY r),
+template(id, label, tokens, names, need, named, width) AS (VALUES {held}),
+near AS (SELECT r, id, label, tokens, names, need, named, width, w FROM texts, template WHERE len(list_intersect(list_distinct(w), tokens)) >= need),
+block AS (SELECT r, id, label, tokens, names, need, named, list_distinct(w[i:i + width - 1]) AS s FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near) WHERE list_contains(tokens, w[i])),
+share AS (SELECT r, id, label, len(list_intersect(s, names)) >= named AS good, need, len(list_intersect(s, tokens)) AS n, len(tokens) AS size FROM block),
+best AS (SELECT r, CASE WHEN bool_or(good) THEN label ELSE '{OTHER}' END AS label, max(n / size::DOUBLE) AS score FROM share WHERE n >= need GROUP BY r, id, label),
+met AS (SELECT r, list(DISTINCT label) AS labels, max(score) AS score FROM best GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
   coalesce(list_aggregate(list_sort(base.labels), 'string_agg', ','), '') AS base_labels,
-  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), 'string_agg', ','), '') AS labels,
-  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
-FROM texts LEFT JOIN base USING (r) LEFT JOIN met USING (r)"""
+  coalesce(list_aggregate(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(notice.labels, []), coalesce(met.labels, [])))), 'string_agg', ','), '') AS labels,
+  CASE WHEN n > 0 OR notice.r IS NOT NULL THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM texts LEFT JOIN base USING (r) LEFT JOIN met USING (r) LEFT JOIN notice USING (r)"""

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -137,20 +138,21 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
-GPL = next(t.text for t in license_scan.TEMPLATES if t.label == "gpl")
+GPL, MIT = (next(t.text for t in license_scan.TEMPLATES if t.label == k) for k in ("gpl", "mit"))
 LICENSES = [
     "Released under the MIT License.", "GNU  general-public\nLICENSE and cc by cc by, Apache license", "licensed under CC BY-NC 4.0", "released under a MIT licence", "MITK license mit licenſe",
     "this work is licensed under the gnu general public license version 3\n\nand more", "cc-by mit_license", "filler " * 3000 + "Licensed under the Apache-License, Version 2.0" + " more" * 3000,
     " ".join(w for k, w in enumerate(GPL.split()) if k not in (2, 9)), " x ".join(GPL.split()), " ".join(GPL.split()[:20]), "permission granted restriction " * 40,
+    MIT.replace(" restriction", ""), "and so " * 4000 + MIT.replace(" granted", "").upper() + " of the" * 4000, "this work is licensed under the european union public license version 3",
 ]
 #: Scattered words of a notice, or a notice of something else.
 NOT_LICENSES = [
-    "the film was released under the same license as before", "the book was released under license last year by mit press", "this work is licensed under the european union public license version 3",
+    "the film was released under the same license as before", "the book was released under license last year by mit press",
     "licensed under the old harbour license version 2.0", "released under the", "cc nc licensed", "the mit group was there under a license; it was never released",
 ]
 
 
-def licenses_by_hand(text):
+def licenses_by_hand(text, templates=None):
     text = text or ""
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
@@ -162,13 +164,17 @@ def licenses_by_hand(text):
         places += at
         labels |= {label} if at else set()
     best, more = 0.0, set()
-    for t in license_scan.TEMPLATES:
+    for p, label in license_scan.NOTICES.items():
+        q = p.split()
+        if any(w[i : i + len(q)] == q for i in range(len(w))):
+            best, more = 1.0, more | {label}
+    for t in templates or license_scan.TEMPLATES:
         tokens, names, width = set(split(t.text)), set(split(t.names)), len(split(t.text)) * 5 // 4
-        need = len(tokens) if len(tokens) < 10 else -(-len(tokens) * 8 // 10)
-        for i in range(len(w)):
-            block = set(w[i : i + width])
-            if names <= block and len(block & tokens) >= need:
-                best, more = max(best, len(block & tokens) / len(tokens)), more | {t.label}
+        need = -(-len(tokens) * 8 // 10)
+        good = [b for b in (set(w[i : i + width]) for i in range(len(w))) if len(b & tokens) >= need]
+        if good:
+            best = max(best, *(len(b & tokens) / len(tokens) for b in good))
+            more |= {t.label if any(2 * len(b & names) >= len(names) for b in good) else "other"}
     return (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | more)), 1.0 if places else best)
 
 
@@ -179,7 +185,24 @@ def test_licenses(spark, messy):
     found = sorted(map(str, ((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got.collect())))
     assert found == sorted(str(licenses_by_hand(t)) for _, t in rows)
     by_id = {r.doc_id: r.labels for r in got.collect()}
-    assert [by_id[100 + i] for i in (0, 2, 5, 7, 8, 9)] == ["mit", "cc-by,cc-by-nc", "gpl,gpl-3.0", "apache,apache-2.0", "gpl", ""]
+    assert [by_id[100 + i] for i in (0, 2, 5, 7, 8, 9, 12, 13, 14)] == ["mit", "cc-by,cc-by-nc", "gpl,gpl-3.0", "apache,apache-2.0", "gpl", "", "mit", "mit", "other"]
     assert not any(by_id[100 + len(LICENSES) + i] for i in range(len(NOT_LICENSES)))
     assert license_scan.license_scan(frame(spark, [])).count() == 0
+    assert license_scan.license_scan(frame(spark, rows), templates=(), notices={}).where("labels <> base_labels").count() == 0
     assert got.select(F.max("score")).first()[0] <= 1
+
+
+def test_hundreds_of_templates(spark):
+    """Every block that meets one of 300 templates is found, with a plan no longer than for ten."""
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(400)] + ["the", "of", "and"] * 20
+    made = [license_scan.Notice(f"l{i % 90}", " ".join(w[:3]), " ".join(w)) for i in range(300) for w in [r.choices(vocabulary, k=r.randint(10, 40))]]
+    rows = []
+    for i in range(60):
+        words = r.choice(made).text.split()
+        rows.append((i, " ".join(r.choices(vocabulary, k=20) + [w if r.random() < 0.85 else "x" for w in words if r.random() < 0.95] + r.choices(vocabulary, k=5))))
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=made)
+    plans = [str(license_scan.license_scan(spark.createDataFrame(rows[:1], "doc_id long, text string"), templates=made[:n])._jdf.queryExecution().optimizedPlan().treeString()).count("\n") for n in (10, 300)]
+    found = {x.doc_id: (x.labels, x.score) for x in got.collect()}
+    assert plans[0] == plans[1] and found == {i: (h[5], h[6]) for i, t in rows for h in [licenses_by_hand(t, made)]}
+    assert sum(1 for x, _ in found.values() if x) > 10
