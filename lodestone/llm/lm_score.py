@@ -8,7 +8,7 @@ total, so that both are smoothed alike.
 kept in the shared folder. Each chunk asks for the counts of its different pairs, dealt out by hash, and gets the sums over
 the corpus back (``_counted``); then the same for its words. The first chunk that asks for a pair counts it as a kind of
 what follows its first word. Words and pairs are told by 64-bit hashes. No table goes to the driver or to all tasks but a
-bitmap of target ids and those other ids that it can't tell from them.
+bitmap of target ids, of fixed size; rows that it may take for targets are joined with the ids.
 
 ``train_models`` and ``lm_score`` are the same models over the ``vocabulary`` commonest words and classes of other words, by
 a hash of their length and last byte, in memory.
@@ -157,20 +157,25 @@ def _unpack(data: bytes, kind: type = np.int64) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _is_target(plain: DataFrame, wanted: DataFrame):
-    """A function of a column of ids that tells which are ``wanted``: a bitmap, and the ids of ``plain`` it takes for others."""
+def _flagged(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, text and whether a row is a target. Rows that a bitmap of the ``wanted`` ids clears stay where they are; the
+    others, targets and a few more, are joined with the ids.
+    """
     bits, slots = bitmap(wanted, "doc_id", 1 << 26)
-    context = plain.sparkSession.sparkContext
-    shared = context.broadcast(bits)
+    shared = plain.sparkSession.sparkContext.broadcast(bits)
+    at = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(slots)), F.lit(0))
+    rows = plain.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumns({"at": at, "known": F.col("doc_id").isNotNull()})
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_met(shared.value, batch.column(1)))).select([0])
+    def part(maybe: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                met = _met(shared.value, batch.column(2)) & batch.column(3).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(met == maybe)).select([0, 1])
+
+        return rows.mapInArrow(released(run), "doc_id bigint, text string")
 
-    other = plain.select(F.col("doc_id").cast("bigint")).where("doc_id is not null").distinct().join(wanted, "doc_id", "left_anti")
-    taken = other.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).alias("slot")).mapInArrow(released(run), "doc_id bigint").toArrow()
-    wrong = context.broadcast(np.sort(taken.column(0).to_numpy()))
-    return lambda ids, at: _met(shared.value, at) & ~np.isin(ids, wrong.value), slots
+    found = part(True).join(wanted.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left")
+    return part(False).withColumn("target", F.lit(False)).unionByName(found.select("doc_id", "text", F.col("_id").isNotNull().alias("target")))
 
 
 def _chunks(plain: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -178,8 +183,6 @@ def _chunks(plain: DataFrame, wanted: DataFrame) -> DataFrame:
 
     words are the sorted hashes of the chunk's words after a 0, which stands before each text; tokens are places in them.
     """
-    tell, slots = _is_target(plain, wanted)
-
     def row(chunk, ids, null, target, hashes, sizes):
         every, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         sizes, target = np.concatenate(sizes), np.concatenate(target)
@@ -196,7 +199,7 @@ def _chunks(plain: DataFrame, wanted: DataFrame) -> DataFrame:
                 null = part.column(0).is_null().to_numpy(zero_copy_only=False)
                 ids = part.column(0).cast(pa.int64()).fill_null(0).to_numpy()
                 hashes, _, _, rows = words(*buffers(part.column(1)))
-                for kept, x in zip(held, (ids, null, tell(ids, part.column(2)) & ~null, hashes, np.diff(rows)), strict=True):
+                for kept, x in zip(held, (ids, null, part.column(2).to_numpy(zero_copy_only=False), hashes, np.diff(rows)), strict=True):
                     kept.append(x)
                 n_words, n_rows = n_words + len(hashes), n_rows + len(ids)
                 if n_words >= CHUNK_WORDS or n_rows >= CHUNK_ROWS:
@@ -205,9 +208,8 @@ def _chunks(plain: DataFrame, wanted: DataFrame) -> DataFrame:
         if n_rows:
             yield row(chunk, *held)
 
-    at = F.coalesce(F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(slots)), F.lit(0)).alias("at")
     schema = "chunk bigint, n bigint, n_target bigint, ids binary, null binary, target binary, rows binary, words binary, tokens binary"
-    return materialise(plain.select("doc_id", "text", at).mapInArrow(released(run), schema), "lm-chunks")
+    return materialise(_flagged(plain, wanted).mapInArrow(released(run), schema), "lm-chunks")
 
 
 def _pairs(every: np.ndarray, tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -260,6 +262,14 @@ def _answers(table: pa.Table, what: str, kinds: int) -> tuple[np.ndarray, np.nda
     return np.concatenate([_unpack(r["sums"]).reshape(kinds, -1) for r in some], axis=1), np.concatenate([_unpack(r["own"], np.uint8) for r in some])
 
 
+def _means(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The mean of each row's values (0 of an empty one), whatever stands before it."""
+    n, out = np.diff(rows), np.zeros(len(rows) - 1)
+    if len(values):
+        out[n > 0] = np.add.reduceat(values, rows[:-1][n > 0])
+    return out / np.maximum(n, 1)
+
+
 def corpus_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "doc_id") -> DataFrame:
     """As ``lm_score``, by models of all words of ``docs``. ``targets`` has the ids of the target texts."""
     wanted = targets.select(F.col(target_col).cast("bigint").alias("doc_id")).where("doc_id is not null").distinct()
@@ -307,8 +317,7 @@ def corpus_scores(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", t
                 history, kinds = scale * word[2 + k][before], word[4 + k][before]
                 seen = history + kinds
                 p = np.where(seen > 0, (scale * pair[k][at] + kinds * single[tokens]) / np.maximum(seen, 1e-9), single[tokens])
-                sums = np.concatenate([[0.0], np.cumsum(-np.log(p))])
-                losses.append((sums[rows[1:]] - sums[rows[:-1]]) / np.maximum(np.diff(rows), 1))
+                losses.append(_means(-np.log(p), rows))
             ids = pa.array(_unpack(r["ids"]), mask=_unpack(r["null"], bool))
             out.append(pa.table([ids, pa.array(np.diff(rows)), *map(pa.array, losses), pa.array(losses[0] - losses[1])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), *[pa.float64()] * 3)], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
