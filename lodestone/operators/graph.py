@@ -6,6 +6,9 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .segments import Segments
 
 
 def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -67,46 +70,100 @@ NODES = ("issue", "request", "document", "release", "operator", "error_code", "m
 EDGES = ("fixes", "merged_in", "mentions", "documents")
 
 
-def relations(docs: DataFrame, calendar: DataFrame, entities, tables: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Nodes (node_*) and edges (edge_*) of documents (source_id, source_type, repo, number, title, body, status, created_at,
-    resolved_at, merged_at, url), release calendars (repo, tag, date, kind) and manuals' tables (source_id, cells as text).
-
-    ``entities`` is a function of a text column to an array of (kind, name). What fixes what comes from both sides' texts;
-    a change request is in the first release after its merge; edges without both ends are left out.
+def stated(docs: DataFrame, entities, tables: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What each document says by itself, with the document as owner: nodes (issue, request, document), and edges fixes (both
+    ends may be unknown), mentions and teaches. Parameters are those of :func:`relations`.
     """
     from ..functions.references import error_codes, fix_references, fixed_by_references, interfaces, source_id
-    from .asof import first_after
 
     one_line = F.regexp_replace(F.coalesce("title", F.lit("")), "[\\r\\n]", " ").alias("title")
-    body = F.coalesce("body", F.lit(""))
+    body, owner = F.coalesce("body", F.lit("")), F.col("source_id").alias("owner")
     issues, requests = docs.where("source_type = 'github_issue'"), docs.where("source_type = 'github_pr'")
     others = docs.where("source_type not in ('github_issue', 'github_pr')")
-    out = {
-        "node_issue": issues.select(F.col("source_id").alias("id"), "repo", "number", one_line, "status", "created_at", "resolved_at", "url"),
-        "node_request": requests.select(F.col("source_id").alias("id"), "repo", "number", one_line, "status", "merged_at", "url"),
-        "node_document": others.select(F.col("source_id").alias("id"), "source_type", one_line),
+    forth = requests.select(owner, F.col("source_id").alias("src"), F.explode(fix_references(body, F.col("repo"))).alias("r")).select("owner", "src", source_id(F.col("r.repo"), "issue", F.col("r.number")).alias("dst"))
+    back = issues.select(owner, F.explode(fixed_by_references(body, F.col("repo"))).alias("r"), F.col("source_id").alias("dst")).select("owner", source_id(F.col("r.repo"), "pr", F.col("r.number")).alias("src"), "dst")
+    taught = others.select(owner, F.lit("interface").alias("kind"), F.explode(interfaces(body)).alias("dst"))
+    if tables is not None:
+        taught = taught.unionByName(tables.join(others.select("source_id"), "source_id", "left_semi").select(owner, F.lit("error_code").alias("kind"), F.explode(error_codes(F.col("cells"))).alias("dst")))
+    return {
+        "issue": issues.select(owner, "repo", "number", one_line, "status", "created_at", "resolved_at", "url"),
+        "request": requests.select(owner, "repo", "number", one_line, "status", "merged_at", "url"),
+        "document": others.select(owner, "source_type", one_line),
+        "fixes": forth.union(back.select("owner", "src", "dst")).distinct(),
+        "mentions": docs.select(owner, F.explode(entities(body)).alias("e")).select("owner", "e.kind", F.col("e.name").alias("dst")).distinct(),
+        "teaches": taught.distinct(),
     }
-    forth = requests.select(F.col("source_id").alias("src"), F.explode(fix_references(body, F.col("repo"))).alias("r")).select("src", source_id(F.col("r.repo"), "issue", F.col("r.number")).alias("dst"))
-    back = issues.select(F.explode(fixed_by_references(body, F.col("repo"))).alias("r"), F.col("source_id").alias("dst")).select(source_id(F.col("r.repo"), "pr", F.col("r.number")).alias("src"), "dst")
-    fixes = forth.union(back.select("src", "dst")).distinct()
+
+
+def related(said: dict[str, DataFrame], calendar: DataFrame) -> dict[str, DataFrame]:
+    """Nodes (node_*) and edges (edge_*) of what documents say, and of release calendars: edges without both ends are left out."""
+    from .asof import first_after
+
+    node = lambda name: said[name].withColumnRenamed("owner", "id")
+    out = {"node_issue": node("issue"), "node_request": node("request"), "node_document": node("document")}
+    fixes = said["fixes"].select("src", "dst").distinct()
     out["edge_fixes"] = fixes.join(out["node_request"].select(F.col("id").alias("src")), "src", "left_semi").join(out["node_issue"].select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    merged = requests.where("merged_at is not null").select("source_id", "repo", F.try_to_timestamp("merged_at").alias("at"))
+    merged = said["request"].where("merged_at is not null").select(F.col("owner").alias("source_id"), "repo", F.try_to_timestamp("merged_at").alias("at"))
     released = first_after(merged, calendar.select("repo", "tag", "date"), "at", ["repo"]).where("tag is not null")
     named = F.concat("repo", F.lit(":"), "tag")
     out["edge_merged_in"] = released.select(F.col("source_id").alias("src"), named.alias("dst")).distinct()
     out["node_release"] = calendar.select(named.alias("id"), "repo", "tag", "date", F.coalesce("kind", F.lit("release")).alias("kind")).join(out["edge_merged_in"].select(F.col("dst").alias("id")), "id", "left_semi").dropDuplicates(["id"])
-    said = docs.select(F.col("source_id").alias("src"), F.explode(entities(body)).alias("e")).select("src", "e.kind", F.col("e.name").alias("dst")).distinct()
-    out["edge_mentions"] = said
-    taught = others.select(F.col("source_id").alias("src"), F.lit("interface").alias("kind"), F.explode(interfaces(body)).alias("dst"))
-    if tables is not None:
-        taught = taught.unionByName(tables.join(others.select("source_id"), "source_id", "left_semi").select(F.col("source_id").alias("src"), F.lit("error_code").alias("kind"), F.explode(error_codes(F.col("cells"))).alias("dst")))
-    out["edge_documents"] = taught.distinct()
-    every = said.select("kind", "dst").union(taught.select("kind", "dst")).distinct()
+    for name, table in (("edge_mentions", "mentions"), ("edge_documents", "teaches")):
+        out[name] = said[table].select(F.col("owner").alias("src"), "kind", "dst").distinct()
+    every = said["mentions"].select("kind", "dst").union(said["teaches"].select("kind", "dst")).distinct()
     for kind in ("operator", "error_code", "model", "version", "interface"):
         out[f"node_{kind}"] = every.where(F.col("kind") == kind).select(F.col("dst").alias("id"))
     return out
 
 
+def relations(docs: DataFrame, calendar: DataFrame, entities, tables: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes (node_*) and edges (edge_*) of documents (source_id, source_type, repo, number, title, body, status, created_at,
+    resolved_at, merged_at, url), release calendars (repo, tag, date, kind) and manuals' tables (source_id, cells as text).
+
+    ``entities`` is a function of a text column to an array of (kind, name). What fixes what comes from both sides' texts;
+    a change request is in the first release after its merge; edges without both ends are left out.
+    """
+    return related(stated(docs, entities, tables), calendar)
+
+
+def _struct(**fields) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+_S, _N = T.StringType(), T.LongType()
+#: What is kept of each document, by the document that says it.
+STATED = {
+    "issue": _struct(owner=_S, repo=_S, number=_N, title=_S, status=_S, created_at=_S, resolved_at=_S, url=_S), "request": _struct(owner=_S, repo=_S, number=_N, title=_S, status=_S, merged_at=_S, url=_S),
+    "document": _struct(owner=_S, source_type=_S, title=_S), "fixes": _struct(owner=_S, src=_S, dst=_S), "mentions": _struct(owner=_S, kind=_S, dst=_S), "teaches": _struct(owner=_S, kind=_S, dst=_S),
+}
+
+
+class GraphStore:
+    """A graph that follows its documents: what a changed document says is replaced, nothing else is extracted again.
+
+    Edges are kept as they are stated, with unknown ends; which of them have both is a join when the graph is read, so a
+    document that comes or goes never makes others' edges wrong. Releases follow from the calendar at that time.
+    """
+
+    def __init__(self, spark, path: str):
+        self.spark, self.segments = spark, Segments(spark, path, {n: (schema, "owner", "graph") for n, schema in STATED.items()})
+
+    def update(self, docs: DataFrame, entities, tables: DataFrame | None = None, removed: DataFrame | None = None) -> int:
+        """Takes in new or changed documents, whole, and lets go of ``removed`` ones (source_id); in one commit."""
+        from .stored import stored
+
+        state = self.segments.state()
+        docs = stored(docs, "graph-docs")
+        said = stated(docs, entities, tables)
+        gone = docs.select("source_id") if removed is None else docs.select("source_id").union(removed.select("source_id"))
+        return self.segments.commit(state, {n: self.segments.written(n, t, state) for n, t in said.items()}, {"graph": gone} if state["version"] >= 0 else {})
+
+    def read(self, calendar: DataFrame, version: int | None = None) -> dict[str, DataFrame]:
+        """The graph's tables as :func:`relations` gives them."""
+        state = self.segments.state(version)
+        return related({n: self.segments.read(n, state) for n in STATED}, calendar)
+
+
 def write(tables: dict[str, DataFrame], path: str) -> None:
     """Node and edge tables as Parquet folders; a mark is written last."""
     for name, table in tables.items():

@@ -271,3 +271,30 @@ def test_a_rare_phrase_reads_few_rows(spark, tmp_path, monkeypatch):
         assert places(built.index) == narrow and places(built.index, prefix=True) == prefixed and ("q", "d70#0", 1) in narrow
         monkeypatch.setattr(fulltext, "PUSHED", 64)
     assert read[1] < 2 * read[0] and read[1] < 0.05 * built.index.count()
+
+
+def test_a_graph_follows_its_documents(spark, tmp_path):
+    """After random edits and removals the tables are those of a graph built anew; only what changed is extracted."""
+    r = random.Random(12)
+    shape = "source_id string, source_type string, repo string, number long, title string, body string, status string, created_at string, resolved_at string, merged_at string, url string"
+
+    def made(i):
+        kind = ("issue", "pr", "doc")[i % 3]
+        body = r.choice(["", f"Fixes #{3 * r.randrange(4)}", f"fixed by #{3 * r.randrange(4) + 1}", "Fixes #6", "retCode=507014 in npuScatter", "命令格式\nnpu-tool -get"])
+        return (f"github:o-r:{kind}:{i}" if kind != "doc" else f"doc:{i}", {"issue": "github_issue", "pr": "github_pr", "doc": "doc_pdf"}[kind], "o/r", i, f"title {r.randrange(3)}", body, "closed", "2024-01-01", None, "2024-01-15T00:00:00Z" if kind == "pr" and r.random() < 0.7 else None, None)
+
+    frame = lambda rows: spark.createDataFrame(rows, shape)
+    said = lambda text: F.transform(F.regexp_extract_all(text, F.lit(r"\d{6}"), F.lit(0)), lambda x: F.struct(F.lit("error_code").alias("kind"), x.alias("name")))
+    calendar = spark.createDataFrame([("o/r", "v1", "2024-02-01", "release")], "repo string, tag string, date string, kind string").withColumn("date", F.col("date").cast("timestamp"))
+    rows = lambda tables: {n: sorted(map(str, t.collect())) for n, t in tables.items()}
+    held = {i: made(i) for i in range(12)}
+    store = graph.GraphStore(spark, str(tmp_path / "g"))
+    store.update(frame(list(held.values())), said)
+    first = rows(store.read(calendar))
+    assert first == rows(graph.relations(frame(list(held.values())), calendar, said)) and first["edge_fixes"]
+    for _ in range(2):
+        some, out = r.sample(sorted(held), 4), held.pop(r.choice(sorted(held)))
+        held |= {i: made(i) for i in some if i in held}
+        store.update(frame([held[i] for i in some if i in held]), said, removed=frame([out]).select("source_id"))
+        assert rows(store.read(calendar)) == rows(graph.relations(frame(list(held.values())), calendar, said))
+    assert rows(store.read(calendar, 0)) == first
