@@ -11,7 +11,7 @@ from ..operators import companion, graph, ingest, review
 from ..operators.chunking import chunk_documents
 from ..operators.stored import shared_folder
 from ..operators.vector_store import VectorStore
-from ..plans import search
+from ..plans import build, search
 from ..sources.registry import mean_confidence
 from .registry import registry, table
 
@@ -40,14 +40,16 @@ f AS (SELECT id AS src, 'github:own-repo:issue:' || (n + 1) AS dst FROM p UNION
 r AS (SELECT date_trunc('month', o_orderdate) AS d FROM orders GROUP BY 1), m AS (SELECT id AS src, 'own/repo:v' || year(min(d)) || '.' || month(min(d)) AS dst FROM p JOIN r ON d >= date_trunc('minute', o_orderdate) GROUP BY id)"""
 
 
-@query(
+_GRAPH_COUNTS = (
     f"""WITH {_ORDERS}
 SELECT 'node' AS kind, 'issue' AS label, count(*) AS n FROM i UNION ALL SELECT 'node', 'request', count(*) FROM p UNION ALL SELECT 'node', 'document', count(*) FROM pages UNION ALL SELECT 'node', 'release', count(DISTINCT dst) FROM m
 UNION ALL SELECT 'node', 'interface', count(DISTINCT page_id % 11) FROM pages UNION ALL SELECT 'edge', 'documents', count(*) FROM pages
 UNION ALL SELECT 'edge', 'fixes', count(*) FROM f WHERE src IN (SELECT id FROM p) AND dst IN (SELECT id FROM i) UNION ALL SELECT 'edge', 'merged_in', count(*) FROM m"""
 )
-def graph_build_counts(spark, sf_dir):
-    """The graph of orders as issues and change requests and pages as manuals, built and counted."""
+
+
+def _graph_inputs(spark, sf_dir):
+    """Orders as issues and change requests, pages as manuals, months as releases."""
     key = F.col("o_orderkey")
     is_pr, number = key % 3 == 0, lambda n: (key + n).cast("string")
     text = F.when(is_pr, F.concat(F.lit("Fixes #"), number(1))).when(key % 3 == 2, F.concat(F.lit("fixed by #"), number(-2))).otherwise("open")
@@ -59,13 +61,62 @@ def graph_build_counts(spark, sf_dir):
     manuals = table(spark, sf_dir, "pages").select(F.concat(F.lit("doc:"), F.col("page_id").cast("string")).alias("source_id"), F.lit("doc_pdf").alias("source_type"), F.lit("m").alias("title"), F.concat(F.lit("命令格式\ntool -sub"), (F.col("page_id") % 11).cast("string")).alias("body"))
     months = table(spark, sf_dir, "orders").select(F.date_trunc("month", "o_orderdate").cast("timestamp").alias("date")).distinct()
     calendar = months.select(F.lit("own/repo").alias("repo"), F.concat(F.lit("v"), F.date_format("date", "yyyy.M")).alias("tag"), "date", F.lit("release").alias("kind"))
-    none = lambda text: F.array().cast("array<struct<kind:string,name:string>>")
+    return items.unionByName(manuals, allowMissingColumns=True), calendar
+
+
+def _no_entities(text):
+    return F.array().cast("array<struct<kind:string,name:string>>")
+
+
+@query(_GRAPH_COUNTS)
+def graph_build_counts(spark, sf_dir):
+    """The graph of orders as issues and change requests and pages as manuals, built and counted."""
+    docs, calendar = _graph_inputs(spark, sf_dir)
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
-    graph.write(graph.relations(items.unionByName(manuals, allowMissingColumns=True), calendar, none), path)
+    graph.write(graph.relations(docs, calendar, _no_entities), path)
     counts = graph.built_statistics(spark, path).drop("built")
     return counts.where("n > 0")
 
 
+@query(_GRAPH_COUNTS)
+def graph_update_counts(spark, sf_dir):
+    """The same graph, but of documents that came in two parts; the first part's texts changed with the second one, and documents
+    that were there for a while went.
+    """
+    docs, calendar = _graph_inputs(spark, sf_dir)
+    store = graph.GraphStore(spark, f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}")
+    first = docs.where("coalesce(number, 0) % 4 = 0")
+    passing = docs.where("number is not null").withColumns({"source_id": F.concat("source_id", F.lit("9")), "source_type": F.lit("github_pr")})
+    store.update(first.withColumn("body", F.lit("Fixes #1")).unionByName(passing), _no_entities)
+    store.update(docs, _no_entities, removed=passing.select("source_id"))
+    tables = store.read(calendar)
+    parts = {k: {n.partition("_")[2]: t for n, t in tables.items() if n.startswith(k)} for k in ("node", "edge")}
+    return graph.statistics(parts["node"], parts["edge"]).where("n > 0")
+
+
+def _lengths(texts):
+    """Stands for an embedding service."""
+    return [[float(len(t)), 1.0] for t in texts]
+
+
+@query(
+    """
+WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '') AS b FROM documents),
+cut AS (SELECT doc_id, b, unnest(range(0, (length(b) - 1) // 4000 + 1)) AS k FROM t WHERE length(b) > 0),
+chunk AS (SELECT doc_id, CASE WHEN k > 0 THEN substr(b, k * 4000 - 199, 200) || chr(10) ELSE '' END || substr(b, k * 4000 + 1, 4000) AS text FROM cut)
+SELECT 'docs' AS part, count(*) AS n, sum(doc_id)::BIGINT AS total FROM documents UNION ALL SELECT 'chunks', count(*), sum(length(text))::BIGINT FROM chunk UNION ALL SELECT 'vectors', count(*), sum(length(text))::BIGINT FROM chunk"""
+)
+def build_in_two_parts(spark, sf_dir):
+    """A knowledge base of all documents, taken in by two builds; the second changes a tenth of what the first took in."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_id"), F.lit("t").alias("title"), F.col("text").alias("body"), F.lit("open").alias("status"))
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/kb-{uuid.uuid4().hex}"
+    half = docs.where("cast(source_id as bigint) % 2 = 0")
+    build.ingest_documents(spark, half.withColumn("body", F.when(F.col("source_id").endswith("0"), "another text").otherwise(F.col("body"))), path, provider=_lengths)
+    built = build.ingest_documents(spark, docs, path, provider=_lengths)
+    row = lambda part, df, value: df.agg(F.count("*").alias("n"), F.sum(value).cast("bigint").alias("total")).select(F.lit(part).alias("part"), "n", "total")
+    return row("docs", built.docs, F.col("source_id").cast("bigint")).unionByName(row("chunks", built.chunks, F.length("text"))).unionByName(row("vectors", built.vectors.read(), F.get("embedding", F.lit(0))))
+
+
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 < 2 THEN 'engine' || p_partkey % 5 END AS component, CASE WHEN p_partkey % 3 < 2 THEN '0.' || p_partkey % 9 || '.rc1' END AS version, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' : x' ELSE 'no prefix: ' || p_name END AS rest FROM part")
 def component_query_parse(spark, sf_dir):
     """Queries as users write them: component, version, and the rest."""
