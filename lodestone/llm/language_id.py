@@ -26,7 +26,7 @@ from .conversations import fold
 #: N-grams of a profile, and of a document.
 SIZE = 400
 #: Most languages: a profile is sent to every task, so their number has to be bounded. More is an error, not a cut.
-MOST_LANGUAGES = 2000
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
 FOLDS, HELD = 3, 1
 #: Characters of a text that are counted at once; different n-grams that a task holds before it hands them on.
