@@ -100,3 +100,20 @@ def signature_line(signature: Column) -> Column:
 def time_text(at: Column) -> Column:
     """A time to the second, in UTC if the session is; empty for null."""
     return F.coalesce(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
+
+
+def code_line(version: Column, path: Column, line: Column, text: Column) -> Column:
+    """A line of source as text: where it is, and what it says without white space at its ends."""
+    return F.format_string("[%s] %s:%d: %s", F.coalesce(version, F.lit("-")), path, line, strip(F.coalesce(text, F.lit(""))))
+
+
+def version_line(tag: Column, kind: Column, match: Column, date: Column) -> Column:
+    """What a release calendar says of a tag, as text; ``match`` is exact, plain or none."""
+    known = F.format_string("%s = %s (%s)", tag, kind, F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("-")))
+    return F.when(match == "none", F.format_string("%s: not in the calendar (%s)", tag, kind)).otherwise(known)
+
+
+def chain_line(issue: Column, request: Column, tag: Column, date: Column) -> Column:
+    """A fix of an issue as text: which request, and the release that has it, if one has."""
+    out = F.format_string("in %s (%s)", tag, F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit("-")))
+    return F.format_string("%s <- %s %s", issue, request, F.coalesce(F.when(tag.isNotNull(), out), F.lit("not released")))

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import symbols
 from ..functions.references import mentions
 from ..functions.signatures import extract_signatures
 from ..operators import chunking, fulltext, graph, ingest
+from ..operators.code import indexed_sources
+from ..operators.code_index import EXTENSIONS
 from ..operators.segments import Cache, Segments
 from ..operators.stored import SPREAD, stored
 from ..operators.vector_store import ReadOnly, VectorStore, embedded
 from ..sources import sinks
-from ..sources.registry import build_sources, collect, conformed
+from ..sources.registry import build_sources, collect, conformed, exists, symbol_tables
 from ..sources.schema import CANONICAL
 
 #: What vectors are made of, and all that a document is known by.
@@ -155,3 +158,18 @@ def build_graph(spark: SparkSession, docs: DataFrame, calendar: DataFrame, path:
     docs = docs if limit is None else docs.orderBy("source_id").limit(limit)
     graph.write(graph.relations(docs, calendar, lambda text: mentions(extract_signatures(text)), tables), path)
     return graph.built_statistics(spark, path)
+
+
+def symbol_table(spark: SparkSession, saved: str, sources: DataFrame, issues: DataFrame) -> DataFrame:
+    """key, name, kind, weight, versions: the symbol table saved under ``saved``; where there is none, or a broken one, it is made.
+
+    It is then made of source trees (version, path, content) and of the titles and bodies of issues (source_id, title, body),
+    and not written.
+    """
+    if exists(spark, saved):
+        table = symbol_tables(spark, saved)
+        if not table.isEmpty():
+            return table
+    phrases = symbols.phrase_symbols(symbols.learned_phrases(issues, id_col="source_id", text_col="body"))
+    found = symbols.extract_symbols(indexed_sources(sources, extensions=EXTENSIONS)).unionByName(symbols.title_mentions(issues)).unionByName(phrases)
+    return symbols.symbol_table(found)

@@ -298,7 +298,7 @@ def copied_assets(spark: SparkSession, files: DataFrame, folder: str) -> DataFra
     from ..operators.stored import stored
 
     folder = folder.rstrip("/")
-    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")) if _exists(spark, folder) else spark.createDataFrame([], "name string")
+    there = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name")) if exists(spark, folder) else spark.createDataFrame([], "name string")
     names = stored(asset_names(files).join(there.withColumn("held", F.lit(True)), "name", "left").withColumn("copied", F.col("held").isNull()).select("path", "sha", "name", "copied"), "assets")
 
     def run(frames):
@@ -317,7 +317,8 @@ def copied_assets(spark: SparkSession, files: DataFrame, folder: str) -> DataFra
     return names
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder of that name."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 

@@ -7,9 +7,10 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import symbols
+from lodestone.functions import parsing, symbols
 from lodestone.operators import code
 from lodestone.operators.code_index import CodeIndex
+from lodestone.plans import build
 from lodestone.sources import pages, registry
 
 
@@ -90,3 +91,27 @@ def test_code_index_equals_the_plain_search(spark, tmp_path):
     for name, per in (("run_1", False), ("word2", False), ("return", True), ("none", False)):
         want = code.two_stage(symbols.code_symbols(plain), symbols.source_lines(plain), name, 7, per).collect()
         assert index.search(name, "r", (), 7, per).collect() == want
+
+
+def test_a_symbol_table_is_made_where_none_is_saved(spark, tmp_path):
+    trees = spark.createDataFrame([("v1", "src/a.py", "enable_fast_path aclnnScatter init"), ("v2", "src/a.py", "npuGather aclnnScatter"), ("v2", "tests/t.py", "enable_left_out"), ("v1", "src/a.txt", "enable_text")], "version string, path string, content string")
+    issues = spark.createDataFrame([("i", "[Bug] Qwen3-8B on CANN 8.1", "errStr: vector core timeout\n" * 3)], "source_id string, title string, body string")
+    saved = str(tmp_path / "symbols")
+    made = build.symbol_table(spark, saved, trees, issues)
+    got = {r.key: (r.kind, list(r.versions)) for r in made.collect()}
+    assert got == {"enable_fast_path": ("feature", ["v1"]), "aclnnscatter": ("kernel", ["v1", "v2"]), "npugather": ("kernel", ["v2"]), "qwen3-8b": ("model", ["kb"]), "cann 8.1": ("version", ["kb"])} | {k: v for k, v in got.items() if v[0] == "phrase"}
+    assert any(k == "vector core timeout" for k in got)
+    os.makedirs(saved)
+    (tmp_path / "symbols" / "broken.json").write_text("no table")
+    assert {r.key for r in build.symbol_table(spark, saved, trees, issues).collect()} == set(got)
+    registry.write_symbol_table(made.where("kind = 'kernel'"), str(tmp_path / "kept"))
+    assert {r.key for r in build.symbol_table(spark, str(tmp_path / "kept"), trees, issues).collect()} == {"aclnnscatter", "npugather"}
+
+
+def test_lines(spark):
+    rows = spark.createDataFrame([("v1", "a.py", 3, "  def x(): "), (None, "b", 1, None)], "version string, path string, line int, text string")
+    assert [r[0] for r in rows.select(parsing.code_line(*map(F.col, rows.columns))).collect()] == ["[v1] a.py:3: def x():", "[-] b:1: "]
+    tags = spark.createDataFrame([("v1", "release", "exact", "2024-01-02"), ("v2", "unknown", "none", None), ("v3", "rc", "plain", None)], "tag string, kind string, match string, date string")
+    assert [r[0] for r in tags.select(parsing.version_line(F.col("tag"), F.col("kind"), F.col("match"), F.col("date").cast("timestamp"))).collect()] == ["v1 = release (2024-01-02)", "v2: not in the calendar (unknown)", "v3 = rc (-)"]
+    chains = spark.createDataFrame([("i", "p", "v1", "2024-01-02"), ("i", "q", None, None)], "issue string, request string, tag string, date string")
+    assert [r[0] for r in chains.select(parsing.chain_line(F.col("issue"), F.col("request"), F.col("tag"), F.col("date").cast("timestamp"))).collect()] == ["i <- p in v1 (2024-01-02)", "i <- q not released"]
