@@ -13,45 +13,55 @@ PIECES = f"{common.TOKENIZER_DIR}/piece_bpe_32k.model"
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text."""
     return sentencepiece_encode(common.table(spark, sf_dir, "documents"), PIECES)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text."""
     return secret_scan.secret_scan(common.table(spark, sf_dir, "documents"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a benchmark item every whole text holds."""
     return decontaminate.decontaminate(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, fixed rules and the trees' verdict of every whole text."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     return quality_rules.quality_rules(docs, quality_rules.train_quality(docs, labels))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every whole text, learnt from labels that are not held out."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     return toxicity.toxicity(docs, toxicity.train_toxicity(docs, labels))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every url."""
     return url_filter.filter_urls(common.table(spark, sf_dir, "pages"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near copies of every document."""
     return jaccard_join.jaccard_join(common.table(spark, sf_dir, "documents"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every text repeats a passage that stands earlier."""
     return substring_dedup.substring_dedup(common.table(spark, sf_dir, "documents"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every text; the target is what labels call good."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
     return lm_score.corpus_scores(docs, labels.where("quality = 1"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every whole text."""
     return license_scan.license_scan(common.table(spark, sf_dir, "documents"))
 
 

@@ -70,6 +70,20 @@ def test_trees_keep_to_constraints():
         assert (steps >= -1e-12).all()
 
 
+def test_scores_are_those_of_a_walk():
+    """Each row through each tree, node by node, from the root to a leaf."""
+    r = np.random.default_rng(4)
+    x = r.random((300, 4))
+    forest = boosted_trees.train(x, (x[:, 0] * x[:, 1] + 0.1 * r.random(300) > 0.3).astype(float), np.array([0, 1, -1, 0]), trees=12)
+    for row in x:
+        total = forest.base
+        for node in forest.roots:
+            while forest.left[node] != node:
+                node = forest.left[node] if row[forest.feature[node]] <= forest.threshold[node] else forest.right[node]
+            total += forest.value[node]
+        assert forest.score(row[None])[0] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+
+
 def test_gradients():
     net, t = Network(3), tokens([b"a bad word here and more", b"x yz", b"", b"same same"])
     start, size, owner = windows(t.rows, 4, 3)
@@ -207,3 +221,38 @@ def test_pipeline_stages(spark, sf_dir):
             assert out.columns == docs.columns
         if name == "secrets":
             assert out.count() == docs.count() and out.where("text rlike '[0-9a-f]{24}'").count() == 0
+
+
+def test_toxicity_scores_are_those_of_a_walk():
+    """Each window of a text read word by word in both directions, its states pooled, the worst window's score taken."""
+    r = random.Random(13)
+    net = Network(5)
+    net.scale, net.shift = 1.7, -0.4
+    vocabulary = ["bad", "worse", "straße", "fine", "日本", "x", "longerword"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(n)).encode() for n in (1, 5, 47, 48, 49, 80, 81, 200)] + [b"", b"  "]
+    h, p = net.p["a_state"].shape[0], net.p
+
+    def states(x, d):
+        out, state = [None] * len(x), np.zeros(h)
+        for i in range(len(x)) if d == "a" else reversed(range(len(x))):
+            gx, gh = x[i] @ p[f"{d}_in"] + p[f"{d}_bias"], state @ p[f"{d}_state"]
+            z, keep = (1 / (1 + math.e ** -(gx[k * h : k * h + h] + gh[k * h : k * h + h])) for k in (0, 1))
+            new = np.tanh(gx[2 * h :] + keep * gh[2 * h :])
+            state = new + z * (state - new)
+            out[i] = state
+        return np.array(out)
+
+    for text, got in zip(texts, toxicity.scores(net, texts), strict=True):
+        t = tokens([text])
+        x, n = net.inputs(t)[:-1].astype(float), len(t.word)
+        if not n:
+            assert got == 0
+            continue
+        starts = sorted({min(k, max(n - toxicity.WIDTH, 0)) for k in range(0, max(n - toxicity.WIDTH, 0) + toxicity.STEP, toxicity.STEP)})
+        worst = -math.inf
+        for i in starts:
+            part = x[i : i + toxicity.WIDTH]
+            both = np.concatenate([states(part, "a"), states(part, "b")], axis=1)
+            weight = np.exp(np.tanh(both @ p["attend"]) @ p["focus"])
+            worst = max(worst, float((weight / weight.sum()) @ both @ p["out"] + p["bias"][0]))
+        assert got == pytest.approx(1 / (1 + math.exp(-(net.scale * worst + net.shift))), abs=1e-5)
