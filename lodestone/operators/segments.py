@@ -5,6 +5,9 @@ there is written again, so taking in a document writes bytes in proportion to it
 segments of all tables, put in place by a rename; until then readers see the version before, whole. Older versions stay
 readable until :meth:`Segments.vacuum`, and :meth:`Segments.restore` makes one of them the last again.
 
+A rename has to refuse a name that is taken, as HDFS does; a local disk and object stores need one writer at a time. A table
+may gain columns: they are null in rows of older segments, which stay as they are.
+
 Segments of like size are merged when there are ``FAN`` of them, so their number grows with the logarithm of the table and
 a row is written again as often.
 """

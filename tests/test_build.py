@@ -298,3 +298,17 @@ def test_a_graph_follows_its_documents(spark, tmp_path):
         store.update(frame([held[i] for i in some if i in held]), said, removed=frame([out]).select("source_id"))
         assert rows(store.read(calendar)) == rows(graph.relations(frame(list(held.values())), calendar, said))
     assert rows(store.read(calendar, 0)) == first
+
+
+def test_a_table_may_gain_columns(spark, tmp_path):
+    """Older segments stay as they are; their rows have nulls, after a merge as well."""
+    field = lambda n: T.StructField(n, T.StringType())
+    old = Segments(spark, str(tmp_path / "s"), {"t": (T.StructType([field("k"), field("v")]), "k", "g")})
+    state = old.state()
+    old.commit(state, {"t": old.written("t", spark.createDataFrame([("a", "1"), ("b", "2")], "k string, v string"), state)}, {})
+    new = Segments(spark, str(tmp_path / "s"), {"t": (T.StructType([field("k"), field("more"), field("v")]), "k", "g")})
+    for i in range(FAN):
+        state = new.state()
+        rows = spark.createDataFrame([("b", f"m{i}", "3")], "k string, more string, v string")
+        new.commit(state, {"t": new.written("t", rows, state)}, {"g": rows.select("k")})
+        assert {tuple(r) for r in new.read("t").collect()} == {("a", None, "1"), ("b", f"m{i}", "3")}
