@@ -71,7 +71,8 @@ def docs_for_code(spark, sf_dir):
     """Which manuals (finished orders) define each error code."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
     documents = items.select(F.col("l_orderkey").cast("string").alias("src"), F.concat(F.lit("50"), (F.col("l_partkey") % 40 + 1000).cast("string")).alias("dst"))
-    return graph.edges_between(documents, orders.select(F.col("o_orderkey").cast("string").alias("id")).unionByName(documents.select(F.col("dst").alias("id")).distinct())).select(F.col("dst").alias("entity"), F.col("src").alias("id"))
+    finished, codes = orders.select(F.col("o_orderkey").cast("string").alias("id")), documents.select(F.col("dst").alias("id")).distinct()
+    return graph.edges_between(documents, finished, codes).select(F.col("dst").alias("entity"), F.col("src").alias("id"))
 
 
 @query(f"WITH {_T.lstrip()} SELECT DISTINCT src, dst FROM mentions WHERE dst IN (SELECT 'part' || p_partkey FROM part WHERE p_size > 20) AND src IN (SELECT l_orderkey || '-' || l_linenumber FROM lineitem WHERE l_quantity > 10)")

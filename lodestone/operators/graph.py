@@ -11,9 +11,13 @@ from pyspark.sql import types as T
 from .segments import Segments
 
 
-def edges_between(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The different edges (src, dst) whose ends are both nodes (id)."""
-    return edges.distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+def edges_between(edges: DataFrame, nodes: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """The different edges (src, dst) whose ends are both nodes (id).
+
+    Where ids of the two ends' kinds may be equal, ``targets`` has the nodes that edges lead to, ``nodes`` those they come from.
+    """
+    ends = nodes if targets is None else targets
+    return edges.distinct().join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(ends.select(F.col("id").alias("dst")), "dst", "left_semi")
 
 
 def chain(issues: DataFrame, fixes: DataFrame, merged_in: DataFrame, releases: DataFrame) -> DataFrame:
