@@ -90,7 +90,7 @@ class VectorStore:
 def embedded(chunks: DataFrame, provider: Callable | str = "echo", batch: int = 64, dim: int = 256, degrade: bool = False) -> DataFrame:
     """chunk_id, doc_id, embedding, meta of chunks (chunk_id, doc_id, text, and what else goes into meta).
 
-    ``echo`` hashes n-grams into ``dim`` buckets in the JVM. Any other provider is a function of a list of texts to a list of
+    ``echo`` hashes n-grams into ``dim`` buckets, in Arrow batches. Any other provider is a function of a list of texts to a list of
     vectors; it is called with ``batch`` texts at a time, across documents, in Arrow batches. With ``degrade`` the
     texts of a call that fails are asked for one by one, behind a breaker in each task, and those that fail have no vector
     (null); else a failing call fails the job.
@@ -101,11 +101,9 @@ def embedded(chunks: DataFrame, provider: Callable | str = "echo", batch: int =
     if isinstance(provider, str):
         if provider != "echo":
             raise ValueError(f"no such provider: {provider}")
-        from .vectors import echo_weights
+        from .vectors import echo_rows
 
-        parts = echo_weights(plain, dim, "chunk_id").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)).cast("float"))
-        return plain.drop("text").join(parts, F.col("chunk_id") == F.col("id"), "left").select("chunk_id", "doc_id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0).cast("float"), dim)).otherwise(dense).alias("embedding"), "meta")
+        return echo_rows(plain, "text", "embedding", dim).select("chunk_id", "doc_id", "embedding", "meta")
 
     def run(frames):
         ask = Breaker(provider, time.monotonic) if degrade else provider

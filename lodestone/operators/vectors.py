@@ -2,25 +2,104 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Characters that are counted at a time, and grams whose buckets a task remembers.
+ECHO_BLOCK, ECHO_KNOWN = 1 << 20, 1 << 17
 
-from ..functions.text import grams, hash_bucket
+
+def echo_rows(rows: DataFrame, text_col: str, out: str, dim: int = 256, unit: bool = True) -> DataFrame:
+    """``rows`` with ``out`` in place of a text: an array of ``dim`` sums of its hashed runs of 2, 3 and 4 characters (1), words (2)
+    and pairs of words (3), as floats of unit norm or (not ``unit``) as doubles. Rows stay where they are: nothing is shuffled.
+    """
+    low = rows.withColumn(text_col, F.lower(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = [f for f in low.schema.fields if f.name != text_col]
+    kind = T.ArrayType(T.FloatType() if unit else T.DoubleType())
+    return low.select(*[f.name for f in kept], text_col).mapInArrow(_echo(dim, unit, out), T.StructType([*kept, T.StructField(out, kind)]))
+
+
+def _echo(dim: int, unit: bool, out: str):
+    """A function of Arrow batches whose last column is a text in lower case."""
+
+    def run(batches):
+        from hashlib import md5
+
+        known: dict[str, int] = {}
+
+        def bucket(gram: str) -> int:
+            got = known.get(gram)
+            if got is None:
+                if len(known) >= ECHO_KNOWN:
+                    known.clear()
+                got = known[gram] = int.from_bytes(md5(gram.encode()).digest()[:8], "big") % dim
+            return got
+
+        for batch in batches:
+            sums, some, size = np.zeros((batch.num_rows, dim)), [], 0
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                _add_words(sums[i], text, bucket)
+                for start in range(0, len(text), ECHO_BLOCK):
+                    some.append((i, text[start : start + ECHO_BLOCK + 3]))
+                    size += len(some[-1][1])
+                    if size >= ECHO_BLOCK:
+                        _add_grams(sums, some, bucket, dim)
+                        some, size = [], 0
+            _add_grams(sums, some, bucket, dim)
+            if unit:
+                norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+                sums = (sums / np.where(norm == 0, 1.0, norm)).astype(np.float32)
+            offsets = pa.array(np.arange(0, (batch.num_rows + 1) * dim, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=[*batch.schema.names[:-1], out])
+
+    return run
+
+
+def _add_words(sums: np.ndarray, text: str, bucket) -> None:
+    before = None
+    for m in re.finditer("[a-z0-9]+", text):
+        word = m.group()
+        sums[bucket("w:" + word)] += 2
+        if before is not None:
+            sums[bucket(f"b:{before} {word}")] += 3
+        before = word
+
+
+def _add_grams(sums: np.ndarray, pieces: list[tuple[int, str]], bucket, dim: int) -> None:
+    """Adds the runs of pieces (row, text) that begin in a piece's first ECHO_BLOCK characters; each different one is hashed once."""
+    text = "".join(p for _, p in pieces)
+    lengths = [len(p) for _, p in pieces]
+    if not text:
+        return
+    row = np.repeat(np.array([i for i, _ in pieces], np.int64), lengths)
+    piece = np.repeat(np.arange(len(pieces)), lengths)
+    first = np.arange(len(text)) - np.repeat(np.cumsum([0, *lengths[:-1]]), lengths) < ECHO_BLOCK
+    one, letters = pd.factorize(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    one = one.astype(np.int64)
+    two, pairs = pd.factorize(one[:-1] * len(letters) + one[1:])
+    two = two.astype(np.int64)
+    for n, code in ((2, two), (3, two[:-1] * len(letters) + one[2:]), (4, two[:-2] * len(pairs) + two[2:])):
+        at = np.flatnonzero(first[: len(code)] & (piece[: len(code)] == piece[n - 1 :]))
+        if len(at):
+            which, different = pd.factorize(code[at])
+            place = np.empty(len(different), np.int64)
+            place[which[::-1]] = at[::-1]
+            buckets = np.array([bucket(text[p : p + n]) for p in place.tolist()], np.int64)
+            low, high = row[at[0]], row[at[-1]] + 1
+            sums[low:high] += np.bincount((row[at] - low) * dim + buckets[which], minlength=(high - low) * dim).reshape(-1, dim)
 
 
 def echo_weights(docs: DataFrame, dim: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, bucket, weight: counts of hashed runs of 2, 3 and 4 characters (1), words (2) and pairs of words (3), unit norm."""
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit(" "), b))
-    weighted = lambda xs, w: F.transform(xs, lambda x: F.named_struct(F.lit("g"), x, F.lit("w"), F.lit(float(w))))
-    every = F.concat(*[weighted(grams(low, n), 1) for n in (2, 3, 4)], weighted(F.transform(words, lambda x: F.concat(F.lit("w:"), x)), 2), weighted(pairs, 3))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("e"))
-    # equal grams are counted before they are hashed
-    counted = rows.groupBy("id", F.col("e.g").alias("g")).agg(F.sum("e.w").alias("w"))
-    sums = counted.groupBy("id", hash_bucket(F.col("g"), dim).alias("bucket")).agg(F.sum("w").alias("w"))
+    """id, bucket, weight: the hashed n-grams of ``echo_rows`` as rows, unit norm; rows of one id add up."""
+    counts = echo_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "sums", dim, unit=False)
+    sums = counts.select("id", F.posexplode("sums").alias("bucket", "w")).where("w > 0").groupBy("id", "bucket").agg(F.sum("w").alias("w"))
     norms = sums.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.join(norms, "id").select("id", "bucket", (F.col("w") / F.col("norm")).alias("weight"))
 
