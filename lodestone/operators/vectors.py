@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,13 +128,13 @@ def nearest(rows: DataFrame, query: list[float], k: int = 50, id_col: str = "vec
     return scored.orderBy(F.desc("sim"), "id").limit(k)
 
 
-#: Rows and queries that one task holds at a time; digits of a similarity that decide an order.
-ROW_BLOCK, QUERY_BLOCK, DIGITS = 16384, 1024, 9
+#: Rows and queries that one task holds at a time; similarities that it holds; digits of a similarity that decide an order.
+ROW_BLOCK, QUERY_BLOCK, SIMS, DIGITS = 16384, 1024, 1 << 20, 9
 
 
-def _unit(vectors: list, dim: int) -> np.ndarray:
-    """Vectors of one dimension as rows of norm 1; a vector of norm 0 stays as it is."""
-    m = np.array(vectors, np.float64).reshape(len(vectors), dim)
+def _unit(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Lists of one dimension as rows of norm 1, in double; a vector of norm 0 stays as it is."""
+    m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
     norm = np.sqrt((m * m).sum(1, keepdims=True))
     return m / np.where(norm == 0, 1.0, norm)
 
@@ -149,6 +150,32 @@ def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.ones_like(shown, bool))
 
 
+def _compare(k: int):
+    """A function of a block of rows (id, v) and one of queries (query_id, q) to the k rows of each query; a task holds SIMS similarities at a time."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.select(["id", "v"]).combine_chunks().sort_by("id").combine_chunks()
+        right = right.select(["query_id", "q"]).combine_chunks()
+        plain = lambda c: c.chunk(0) if c.num_chunks else pa.array([], c.type)
+        ids, vectors, names, wanted = (plain(c) for c in (left["id"], left["v"], right["query_id"], right["q"]))
+        row_dims, query_dims = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (vectors, wanted))
+        who, what, sim = [], [], []
+        for dim in np.unique(query_dims) if len(vectors) else ():
+            at, same = np.flatnonzero(query_dims == dim), np.flatnonzero(row_dims == dim)
+            asked_for, held = (_unit(x.take(pa.array(i)), dim) for x, i in ((wanted, at), (vectors, same)))
+            step = max(1, SIMS // len(vectors))
+            for start in range(0, len(at), step):
+                part = at[start : start + step]
+                sims = np.zeros((len(part), len(vectors)))
+                sims[:, same] = np.maximum(asked_for[start : start + step] @ held.T, 0.0)
+                row, column = _best(sims, k)
+                who, what, sim = [*who, part[row]], [*what, column], [*sim, sims[row, column]]
+        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
+        return pa.table({"query_id": names.take(pa.array(join(who, np.int64))), "id": ids.take(pa.array(join(what, np.int64))), "sim": pa.array(join(sim, np.float64))})
+
+    return run
+
+
 def nearest_each(rows: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "chunk_id", vector_col: str = "embedding", query_vector: str = "vector", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, sim, place of the k rows most like each of any number of query vectors (query_id, ``query_vector``).
 
@@ -157,28 +184,14 @@ def nearest_each(rows: DataFrame, queries: DataFrame, k: int = 50, id_col: str =
     points away, or has another dimension, counts as 0; similarities equal to nine digits are ordered by id. Rows without
     an id or a vector are left out.
     """
-    some = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    asked = queries.where(F.col("query_id").isNotNull() & F.col(query_vector).isNotNull()).select("query_id", F.col(query_vector).cast("array<double>").alias("q"))
+    some = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.where(F.col("query_id").isNotNull() & F.col(query_vector).isNotNull()).select("query_id", F.col(query_vector).alias("q"))
     n_rows, n_queries = (max(1, -(-df.count() // size)) for df, size in ((some, row_block), (asked, query_block)))
     number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     some = some.withColumns({"rb": F.pmod(F.xxhash64("id", "v"), F.lit(n_rows)).cast("int"), "qb": number(n_queries)})
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id", "q"), F.lit(n_queries)).cast("int")).withColumn("rb", number(n_rows))
     kinds = {n: df.schema[n].dataType.simpleString() for df, n in ((some, "id"), (asked, "query_id"))}
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks().sort_by("id")
-        ids, vectors, names, wanted = left["id"], left["v"].to_pylist(), right["query_id"], right["q"].to_pylist()
-        row_dims, query_dims = (np.array([len(v) for v in x], np.int64) for x in (vectors, wanted))
-        who, what, sim = [], [], []
-        for dim in np.unique(query_dims) if len(vectors) else ():
-            at, same = np.flatnonzero(query_dims == dim), np.flatnonzero(row_dims == dim)
-            sims = np.zeros((len(at), len(vectors)))
-            sims[:, same] = np.maximum(_unit([wanted[i] for i in at], dim) @ _unit([vectors[i] for i in same], dim).T, 0.0)
-            row, column = _best(sims, k)
-            who, what, sim = [*who, at[row]], [*what, column], [*sim, sims[row, column]]
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"query_id": names.take(pa.array(join(who, np.int64))), "id": ids.take(pa.array(join(what, np.int64))), "sim": pa.array(join(sim, np.float64))})
-
-    lists = some.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, sim double")
+    lists = some.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInArrow(_compare(k), f"query_id {kinds['query_id']}, id {kinds['id']}, sim double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", DIGITS)), "id")
     return lists.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
