@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,10 +44,10 @@ def fixed_by_request(fixes: DataFrame, merged_in: DataFrame) -> DataFrame:
 
 def documents_of(mentions: DataFrame, entity: DataFrame, limit: int = 20) -> DataFrame:
     """entity, id of the documents that mention an entity, the first of each by id; the limit is held to 1..100."""
-    from .fulltext import top_per
-
-    hits = entity.select(F.col("id").alias("entity")).join(mentions.select(F.col("dst").alias("entity"), F.col("src").alias("id")), "entity").distinct()
-    return top_per(hits, "entity", [F.col("id")], min(max(limit, 1), 100))
+    held = mentions.select(F.col("dst").alias("entity"), F.col("src").alias("id")).join(entity.select(F.col("id").alias("entity")), "entity", "left_semi")
+    # equal mentions share a place, so all but the first ones go before the rest is made different
+    placed = held.withColumn("place", F.dense_rank().over(Window.partitionBy("entity").orderBy("id")))
+    return placed.where(F.col("place") <= min(max(limit, 1), 100)).distinct()
 
 
 def neighbours(docs: DataFrame, *edges: tuple[str, DataFrame]) -> DataFrame:
