@@ -109,7 +109,7 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, path: str, rebuild: b
     added = {
         "docs": store.written("docs", changed, state),
         "chunks": store.written("chunks", chunks, state),
-        "postings": store.written("postings", fulltext.postings(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id"), state),
+        "postings": store.written("postings", fulltext.postings(chunks, also=("doc_id",)), state),
         "lengths": store.written("lengths", chunks.select("chunk_id", fulltext.token_count(F.col("text")).alias("dl"), "doc_id"), state),
         "vectors": store.written("vectors", vectors, state),
     }
