@@ -84,18 +84,20 @@ def stated(docs: DataFrame, entities, tables: DataFrame | None = None) -> dict[s
     body, owner = F.coalesce("body", F.lit("")), F.col("source_id").alias("owner")
     issues, requests = docs.where("source_type = 'github_issue'"), docs.where("source_type = 'github_pr'")
     others = docs.where("source_type not in ('github_issue', 'github_pr')")
-    forth = requests.select(owner, F.col("source_id").alias("src"), F.explode(fix_references(body, F.col("repo"))).alias("r")).select("owner", "src", source_id(F.col("r.repo"), "issue", F.col("r.number")).alias("dst"))
-    back = issues.select(owner, F.explode(fixed_by_references(body, F.col("repo"))).alias("r"), F.col("source_id").alias("dst")).select("owner", source_id(F.col("r.repo"), "pr", F.col("r.number")).alias("src"), "dst")
+    named = lambda references, kind: F.explode(F.array_distinct(F.transform(references, lambda r: source_id(r["repo"], kind, r["number"]))))
+    forth = requests.select(owner, F.col("source_id").alias("src"), named(fix_references(body, F.col("repo")), "issue").alias("dst"))
+    back = issues.select(owner, named(fixed_by_references(body, F.col("repo")), "pr").alias("src"), F.col("source_id").alias("dst"))
     taught = others.select(owner, F.lit("interface").alias("kind"), F.explode(interfaces(body)).alias("dst"))
     if tables is not None:
-        taught = taught.unionByName(tables.join(others.select("source_id"), "source_id", "left_semi").select(owner, F.lit("error_code").alias("kind"), F.explode(error_codes(F.col("cells"))).alias("dst")))
+        taught = taught.unionByName(tables.join(others.select("source_id"), "source_id", "left_semi").select(owner, F.lit("error_code").alias("kind"), F.explode(error_codes(F.col("cells"))).alias("dst")).distinct())
+    # one document says all of its rows, so what it says twice goes where it lies; equal rows of tables are the only ones apart
     return {
         "issue": issues.select(owner, "repo", "number", one_line, "status", "created_at", "resolved_at", "url"),
         "request": requests.select(owner, "repo", "number", one_line, "status", "merged_at", "url"),
         "document": others.select(owner, "source_type", one_line),
-        "fixes": forth.union(back.select("owner", "src", "dst")).distinct(),
-        "mentions": docs.select(owner, F.explode(entities(body)).alias("e")).select("owner", "e.kind", F.col("e.name").alias("dst")).distinct(),
-        "teaches": taught.distinct(),
+        "fixes": forth.union(back),
+        "mentions": docs.select(owner, F.explode(F.array_distinct(entities(body))).alias("e")).select("owner", "e.kind", F.col("e.name").alias("dst")),
+        "teaches": taught,
     }
 
 
@@ -105,8 +107,8 @@ def related(said: dict[str, DataFrame], calendar: DataFrame) -> dict[str, DataFr
 
     node = lambda name: said[name].withColumnRenamed("owner", "id")
     out = {"node_issue": node("issue"), "node_request": node("request"), "node_document": node("document")}
-    fixes = said["fixes"].select("src", "dst").distinct()
-    out["edge_fixes"] = fixes.join(out["node_request"].select(F.col("id").alias("src")), "src", "left_semi").join(out["node_issue"].select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    fixes = said["fixes"].select("src", "dst")
+    out["edge_fixes"] = fixes.join(out["node_request"].select(F.col("id").alias("src")), "src", "left_semi").join(out["node_issue"].select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
     merged = said["request"].where("merged_at is not null").select(F.col("owner").alias("source_id"), "repo", F.try_to_timestamp("merged_at").alias("at"))
     released = first_after(merged, calendar.select("repo", "tag", "date"), "at", ["repo"]).where("tag is not null")
     named = F.concat("repo", F.lit(":"), "tag")
@@ -150,7 +152,7 @@ class GraphStore:
     """
 
     def __init__(self, spark, path: str):
-        self.spark, self.segments = spark, Segments(spark, path, {n: (schema, "owner", "graph") for n, schema in STATED.items()})
+        self.spark, self.segments = spark, Segments(spark, path, {n: (schema, "owner", "graph") for n, schema in STATED.items()}, thin=True)
 
     def update(self, docs: DataFrame, entities, tables: DataFrame | None = None, removed: DataFrame | None = None) -> int:
         """Takes in new or changed documents, whole, and lets go of ``removed`` ones (source_id); in one commit."""

@@ -8,7 +8,8 @@ readable until :meth:`Segments.vacuum`, and :meth:`Segments.restore` makes one o
 A rename has to refuse a name that is taken, as HDFS does; a local disk and object stores need one writer at a time. A table
 may gain columns: they are null in rows of older segments, which stay as they are.
 
-Segments of like size are merged when there are ``FAN`` of them, so their number grows with the logarithm of the table and
+Keys that are gone are left out when rows are read, by a join of the segments older than they are; newer ones are read as they
+are. Segments of like size are merged when there are ``FAN`` of them, so their number grows with the logarithm of the table and
 a row is written again as often.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +37,11 @@ class Conflict(RuntimeError):
 class Segments:
     """``tables`` names each table's schema, its key column and the group of tables whose rows of a key go together."""
 
-    def __init__(self, spark: SparkSession, path: str, tables: Mapping[str, tuple[T.StructType, str, str]], layout: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, options: Mapping[str, Mapping[str, str]] | None = None):
-        """``layout`` deals out and sorts a table's rows before they are written, with its ``options``."""
+    def __init__(self, spark: SparkSession, path: str, tables: Mapping[str, tuple[T.StructType, str, str]], layout: Mapping[str, Callable[[DataFrame], DataFrame]] | None = None, options: Mapping[str, Mapping[str, str]] | None = None, thin: bool = False):
+        """``layout`` deals out and sorts a table's rows before they are written, with its ``options``. With ``thin`` a commit lets
+        go of segments that are gone by half: for tables that are read often, each time by a join with the keys that are gone.
+        """
+        self.thin = thin
         self.spark, self.path, self.tables, self.layout, self.options = spark, path.rstrip("/"), dict(tables), dict(layout or {}), dict(options or {})
 
     # files -------------------------------------------------------------------------------------------------------------
@@ -83,12 +88,25 @@ class Segments:
         full = T.StructType([*schema, T.StructField(SEQ, T.LongType())])
         if not segments:
             return self.spark.createDataFrame([], full)
-        rows = self.spark.read.schema(full).parquet(*[s["path"] for s in segments])
-        later = [g for g in gone if g["seq"] > min(s["low"] for s in segments)]
-        if not later:
-            return rows
-        last = self.spark.read.schema(f"_key string, {SEQ} bigint").parquet(*[g["path"] for g in later]).groupBy("_key").agg(F.max(SEQ).alias("_gone"))
-        return rows.join(last, F.col(key).cast("string") == F.col("_key"), "left").where(f"_gone is null or {SEQ} >= _gone").select(*full.fieldNames())
+        files = lambda some: self.spark.read.schema(full).parquet(*[s["path"] for s in some])
+        older = [s for s in segments if any(g["seq"] > s["low"] for g in gone)]
+        whole = [s for s in segments if s not in older]
+        if not older:
+            return files(whole)
+        rows = files(older).withColumn("_key", F.col(key).cast("string"))
+        living = rows.join(self._gone(gone, older), self._later(), "left_anti").select(*full.fieldNames())
+        return living.unionByName(files(whole)) if whole else living
+
+    def _gone(self, gone: list[dict], segments: list[dict]) -> DataFrame:
+        """gone_key, gone_hash, gone_seq of the keys that went after some of the segments were written."""
+        low = min(s["low"] for s in segments)
+        keys = self.spark.read.schema(f"_key string, {SEQ} bigint").parquet(*[g["path"] for g in gone if g["seq"] > low])
+        return keys.select(F.col("_key").alias("gone_key"), F.xxhash64("_key").alias("gone_hash"), F.col(SEQ).alias("gone_seq")).where(F.col("gone_seq") > low)
+
+    @staticmethod
+    def _later() -> Column:
+        # the hash comes first, as sorting keys that begin alike takes long
+        return (F.xxhash64("_key") == F.col("gone_hash")) & (F.col("_key") == F.col("gone_key")) & (F.col(SEQ) < F.col("gone_seq"))
 
     def read(self, table: str, state: dict | None = None) -> DataFrame:
         """The rows of a table as a version has them."""
@@ -122,9 +140,11 @@ class Segments:
         new = {"segments": {t: state["segments"].get(t, []) + list(added.get(t, [])) for t in self.tables}, "gone": {g: list(x) for g, x in state["gone"].items()}}
         for group, keys in gone.items():
             path = f"{self.path}/data/gone/{uuid.uuid4().hex}"
-            keys.select(F.col(keys.columns[0]).cast("string").alias("_key"), F.lit(version).cast("bigint").alias(SEQ)).where("_key is not null").distinct().write.parquet(path)
-            if self._count(path):
-                new["gone"].setdefault(group, []).append({"path": path, "seq": version})
+            keys.select(F.col(keys.columns[0]).cast("string").alias("_key"), F.lit(version).cast("bigint").alias(SEQ)).where("_key is not null").write.parquet(path)
+            if n := self._count(path):
+                new["gone"].setdefault(group, []).append({"path": path, "seq": version, "rows": n})
+                if self.thin:
+                    new["segments"] |= self._thinned(group, new, version)
         for table in self.tables:
             new["segments"][table] = self._merged(table, new["segments"][table], new["gone"].get(self.tables[table][2], []), version)
         for group in new["gone"]:
@@ -132,6 +152,28 @@ class Segments:
         self._commit(new, version)
         return version
 
+    def _thinned(self, group: str, state: dict, version: int) -> dict[str, list[dict]]:
+        """The segments of a group's tables, those that are gone by half written again without what is gone.
+
+        Only segments at most twice as large as the keys that went since are looked at, all in one join, so the work is in
+        proportion to those keys.
+        """
+        gone, tables = state["gone"][group], {t: key for t, (_, key, g) in self.tables.items() if g == group}
+        went = lambda s: sum(g.get("rows", 0) for g in gone if g["seq"] > s["low"])
+        some = [(t, s) for t in tables for s in state["segments"][t] if 2 * went(s) >= s["rows"]]
+        if not some:
+            return {}
+        keys = [self.spark.read.schema(T.StructType([*self.tables[t][0], T.StructField(SEQ, T.LongType())])).parquet(s["path"]).select(F.lit(s["path"]).alias("path"), F.col(tables[t]).cast("string").alias("_key"), SEQ) for t, s in some]
+        held = reduce(DataFrame.unionByName, keys).join(self._gone(gone, [s for _, s in some]), self._later(), "left_semi")
+        dead = {r["path"]: r["count"] for r in held.groupBy("path").count().collect()}
+        out = {}
+        for t in tables:
+            most = [s for s in state["segments"][t] if 2 * dead.get(s["path"], 0) >= s["rows"]]
+            left = [s for s in most if dead[s["path"]] < s["rows"]]
+            again = self._write(t, self._rows(t, left, gone), version, version) if left else []
+            out[t] = [s for s in state["segments"][t] if s not in most] + again
+        return out
+
     def _merged(self, table: str, segments: list[dict], gone: list[dict], version: int) -> list[dict]:
         """Segments after merging: the last ones, where FAN of them are of one size (within a factor of eight)."""
         size = lambda s: len(f"{s['rows']:o}")  # noqa: E731  octal digits
@@ -155,7 +197,7 @@ class Segments:
             return gone
         path = f"{self.path}/data/gone/{uuid.uuid4().hex}"
         self.spark.read.schema(f"_key string, {SEQ} bigint").parquet(*[g["path"] for g in gone]).groupBy("_key").agg(F.max(SEQ).alias(SEQ)).write.parquet(path)
-        return [{"path": path, "seq": max(g["seq"] for g in gone)}]
+        return [{"path": path, "seq": max(g["seq"] for g in gone), "rows": self._count(path)}]
 
     def restore(self, version: int) -> int:
         """Makes an older version the last one again, as a new commit."""

@@ -312,3 +312,29 @@ def test_a_table_may_gain_columns(spark, tmp_path):
         rows = spark.createDataFrame([("b", f"m{i}", "3")], "k string, more string, v string")
         new.commit(state, {"t": new.written("t", rows, state)}, {"g": rows.select("k")})
         assert {tuple(r) for r in new.read("t").collect()} == {("a", None, "1"), ("b", f"m{i}", "3")}
+
+
+def test_segments_that_are_mostly_gone(spark, tmp_path):
+    """A commit leaves out what is gone of segments that are gone by half; others are read by a join, and older versions stay."""
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.LongType())])
+    store = Segments(spark, str(tmp_path / "s"), {"t": (schema, "k", "g"), "u": (schema, "k", "g")}, thin=True)
+    frame = lambda keys, v: spark.createDataFrame([(k, v) for k in keys], schema)
+    got = lambda name, version=None: sorted((r.k or "", r.v) for r in store.read(name, store.state(version)).collect())
+
+    def put(t, u, v):
+        state = store.state()
+        gone = {"g": frame([*t, *t, *u], v).select("k")} if state["version"] >= 0 else {}
+        store.commit(state, {"t": store.written("t", frame(t, v), state), "u": store.written("u", frame(u, v), state)}, gone)
+
+    paths = lambda name: [s["path"] for s in store.state()["segments"][name]]
+    put("abcd", [*"aaaaaaab", None], 0)
+    first = {n: paths(n) for n in "tu"}
+    put("b", "x", 1)  # a quarter of one table, an eighth of the other
+    assert {n: paths(n)[:1] for n in "tu"} == first and got("t") == [("a", 0), ("b", 1), ("c", 0), ("d", 0)]
+    assert "gone_key" in store.read("t")._jdf.queryExecution().toString()
+    put("bcd", "", 2)  # the second one's segments stay but for one key
+    assert first["t"][0] not in paths("t") and got("t") == [("a", 0), ("b", 2), ("c", 2), ("d", 2)]
+    assert paths("u")[0] == first["u"][0] and got("u") == [("", 0)] + [("a", 0)] * 7 + [("x", 1)]
+    put("abcdefgh", "ax", 3)  # all of one table, and of the other all but the row without a key
+    assert len(paths("t")) == 1 and got("u") == [("", 0), ("a", 3), ("x", 3)] and store.state()["gone"]["g"] == [] and "gone_key" not in store.read("t")._jdf.queryExecution().toString()
+    assert got("t") == [(k, 3) for k in "abcdefgh"] and got("t", 1) == [("a", 0), ("b", 1), ("c", 0), ("d", 0)]
