@@ -116,10 +116,10 @@ class Segments:
 
     # writing -----------------------------------------------------------------------------------------------------------
 
-    def _write(self, table: str, df: DataFrame, seq: int, low: int | None = None) -> list[dict]:
+    def _write(self, table: str, df: DataFrame, seq: int, low: int | None = None, beside: T.StructType | None = None) -> list[dict]:
         """A new segment, or none where there are no rows; the files themselves tell how many there are."""
         schema, path = self.tables[table][0], f"{self.path}/data/{table}/{uuid.uuid4().hex}"
-        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in schema], *([SEQ] if SEQ in df.columns else [F.lit(seq).cast("bigint").alias(SEQ)]))
+        rows = df.select(*[F.col(f.name).cast(f.dataType) for f in [*schema, *(beside or [])]], *([SEQ] if SEQ in df.columns else [F.lit(seq).cast("bigint").alias(SEQ)]))
         self.layout.get(table, lambda d: d)(rows).write.options(**self.options.get(table, {})).parquet(path)
         n = self._count(path)
         return [{"path": path, "rows": n, "seq": seq, "low": seq if low is None else low}] if n else []
@@ -127,9 +127,17 @@ class Segments:
     def _count(self, path: str) -> int:
         return self.spark.read.schema(f"{SEQ} bigint").parquet(path).count()
 
-    def written(self, table: str, df: DataFrame, state: dict) -> list[dict]:
-        """Rows of the commit that follows ``state``, written but part of no version yet."""
-        return self._write(table, df, state["version"] + 1)
+    def written(self, table: str, df: DataFrame, state: dict, beside: T.StructType | None = None) -> list[dict]:
+        """Rows of the commit that follows ``state``, written but part of no version yet.
+
+        Columns ``beside`` the table's own are written with them, for the build that goes on from there; versions don't have them.
+        """
+        return self._write(table, df, state["version"] + 1, None, beside)
+
+    def fresh(self, table: str, segments: list[dict], beside: T.StructType | None = None) -> DataFrame:
+        """Rows as they were just written, so that what is made of them needs no table of its own."""
+        schema = T.StructType([*self.tables[table][0], *(beside or [])])
+        return self.spark.read.schema(schema).parquet(*[s["path"] for s in segments]) if segments else self.spark.createDataFrame([], schema)
 
     def commit(self, state: dict, added: Mapping[str, list[dict]], gone: Mapping[str, DataFrame]) -> int:
         """The version after ``state``: with segments ``added``, and without older rows of the keys ``gone`` (by group).

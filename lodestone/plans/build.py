@@ -16,7 +16,7 @@ from ..operators import chunking, fulltext, graph, ingest
 from ..operators.code import indexed_sources
 from ..operators.code_index import EXTENSIONS
 from ..operators.segments import Cache, Segments
-from ..operators.stored import SPREAD, stored
+from ..operators.stored import stored
 from ..operators.vector_store import ReadOnly, VectorStore, embedded
 from ..sources import sinks
 from ..sources.registry import build_sources, collect, conformed, exists, symbol_tables
@@ -43,6 +43,8 @@ TABLES = {
     "lengths": (_schema(chunk_id=_S, dl=T.IntegerType(), doc_id=_S), "doc_id", "text"),
     "vectors": (_schema(chunk_id=_S, doc_id=_S, embedding=T.ArrayType(T.FloatType()), meta=T.MapType(_S, _S)), "doc_id", "text"),
 }
+#: What a build does with a document, written beside its row.
+ACTION = _schema(action=_S)
 
 
 @dataclass(frozen=True)
@@ -69,9 +71,14 @@ class Frozen:
 
 
 def tables(spark: SparkSession, path: str) -> Segments:
-    """The segments of the build under ``path``. Postings of a token are dealt out by chunk, and sorted by token in each file."""
-    spread = lambda df: df.repartition("token", F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))).sortWithinPartitions("token", "chunk_id", "pos")
-    return Segments(spark, path, TABLES, {"postings": spread}, {"postings": {"parquet.block.size": str(POSTING_BYTES), "parquet.page.row.count.limit": str(POSTING_ROWS)}})
+    """The segments of the build under ``path``. Postings stay with their chunks, and are sorted by token in each file.
+
+    They are several times as large as the texts, so they aren't dealt out by token: each file has all tokens of its chunks.
+    """
+    by_token = lambda df: df.sortWithinPartitions("token", "chunk_id", "pos")
+    options = {name: {"compression": "zstd"} for name in TABLES}
+    options["postings"] |= {"parquet.block.size": str(POSTING_BYTES), "parquet.page.row.count.limit": str(POSTING_ROWS)}
+    return Segments(spark, path, TABLES, {"postings": by_token}, options)
 
 
 def build(spark: SparkSession, configs: Sequence[Mapping], path: str, rebuild: bool = False, limit: int | None = None, provider: Callable | str = "echo", buckets: int = 64) -> Built:
@@ -98,24 +105,24 @@ def ingest_documents(spark: SparkSession, docs: DataFrame, path: str, rebuild: b
     state = store.state()
     fresh_start = rebuild or state["version"] < 0
     base = {**state, "segments": {}, "gone": {}} if rebuild else state
-    incoming = ingest.hashed(sinks.unique(conformed(docs)), EMBED, EVERY)
-    held = store.read("docs", base)
-    planned = ingest.plan(incoming, held.select("source_id", "embed_hash", "meta_hash"), "source_id")
-    planned = stored(planned, "planned")
-    changed = planned.where("action <> 'skip'")
-    again = planned.where("action = 'embed'")
-    chunks = stored(chunking.chunk_documents(again).select(*TABLES["chunks"][0].fieldNames()), "chunks")
-    vectors = _vectors(spark, chunks, path, provider, cache)
-    added = {
-        "docs": store.written("docs", changed, state),
-        "chunks": store.written("chunks", chunks, state),
-        "postings": store.written("postings", fulltext.postings(chunks, also=("doc_id",)), state),
-        "lengths": store.written("lengths", chunks.select("chunk_id", fulltext.token_count(F.col("text")).alias("dl"), "doc_id"), state),
-        "vectors": store.written("vectors", vectors, state),
-    }
+    docs = conformed(docs)
+    incoming = ingest.hashed(sinks.unique(docs), EMBED, EVERY)
+    held = store.read("docs", base).select("source_id", "embed_hash", "meta_hash")
+    planned = ingest.plan(incoming, held, "source_id")
+    # texts are written as rows of the commit only; what is made of them is read from there
+    added = {"docs": store.written("docs", planned.where("action <> 'skip'"), state, ACTION)}
+    changed = store.fresh("docs", added["docs"], ACTION)
+    again = changed.where("action = 'embed'")
+    added["chunks"] = store.written("chunks", chunking.chunk_documents(again), state)
+    chunks = store.fresh("chunks", added["chunks"])
+    added["postings"] = store.written("postings", fulltext.postings(chunks, also=("doc_id",)), state)
+    added["lengths"] = store.written("lengths", chunks.select("chunk_id", fulltext.token_count(F.col("text")).alias("dl"), "doc_id"), state)
+    added["vectors"] = store.written("vectors", _vectors(spark, chunks, path, provider, cache), state)
+    skipped = docs.select("source_id").distinct().join(held, "source_id", "left_semi").join(changed, "source_id", "left_anti")
+    actions = stored(changed.select("source_id", "action").unionByName(skipped.select("source_id", F.lit("skip").alias("action"))), "actions")
     gone = {} if fresh_start else {"docs": changed.select("source_id"), "text": again.select("source_id")}
     version = store.commit(base | {"version": state["version"]}, added, gone)
-    return replace(opened(spark, path, version=version), actions=planned.select("source_id", "action"))
+    return replace(opened(spark, path, version=version), actions=actions)
 
 
 def _vectors(spark: SparkSession, chunks: DataFrame, path: str, provider: Callable | str, cache: str | None) -> DataFrame:
